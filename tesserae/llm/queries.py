@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, licenses, quality
+from tesserae.llm import byte_bpe, chat, language, licenses, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_license_scans": licenses.op2_license_scans,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op5_language_id": language.op5_language_id,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
+#: Tokenizers, fitted models, searches and media formats are beyond SQL; tests hold them against brute force.
 ORACLES = {
     "op1_quality_rules": quality.SQL,
     "op2_license_scans": licenses.SQL,
