@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,9 +27,17 @@ def local_session(cpus: int | None = None, partitions: int = 8, memory: str = "8
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A table of the data folder, read by Spark alone so that any store it knows will do."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started."""
+    here, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if here not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), here]))
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Give the session a checkpoint folder: the one the cluster names, or a local one where none is named."""
     sc = spark.sparkContext
