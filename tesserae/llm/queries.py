@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import byte_bpe, chat, language, licenses, packing, quality
+from tesserae.llm import byte_bpe, chat, language, licenses, near_dedup, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
 }
 #: Tokenizers, fitted models, searches and media formats are beyond SQL; tests hold them against brute force.
 ORACLES = {
