@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at a time within a batch; one longer text is a slice of its own.
 SLICE_BYTES = 6_000_000
@@ -120,3 +122,31 @@ def single_spaces(flat: np.ndarray) -> np.ndarray:
 
 def blanks(flat: np.ndarray) -> np.ndarray:
     return _ASCII_BLANK[flat]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All runs of bytes other than ASCII blanks, and each text's bounds among them."""
+    flat, offsets = text_bytes(texts)
+    solid = ~blanks(flat)
+    first = np.zeros(len(flat), bool)
+    first[offsets[offsets < len(flat)]] = True
+    starts = np.flatnonzero(solid & (first | ~np.concatenate([[False], solid[:-1]]))) if len(flat) else np.empty(0, np.int64)
+    ends = np.flatnonzero(solid & np.concatenate([first[1:] | ~solid[1:], [True]])) + 1 if len(flat) else starts
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat[solid]))])
+    return found, np.searchsorted(starts, offsets)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words with A-Z in lower case, and each text's bounds among them."""
+    found, at = words(texts)
+    coded = pc.ascii_lower(found.view(pa.string())).view(pa.binary()).dictionary_encode()
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return (hashed[coded.indices.to_numpy()] if len(hashed) else hashed), at

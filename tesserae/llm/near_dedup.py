@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import _arrow
+from tesserae.llm._arrow import mix
 from tesserae.llm.components import components
 from tesserae.session import checkpoint_ready, table
 
@@ -51,34 +51,9 @@ LEAST_AGREE = math.floor(T * PERCENT / 100 - 6 * math.sqrt(T * PERCENT / 100 * (
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and each text's bounds among them."""
-    flat, offsets = _arrow.text_bytes(texts)
-    solid = ~_arrow.blanks(flat)
-    first = np.zeros(len(flat), bool)
-    first[offsets[offsets < len(flat)]] = True
-    starts = np.flatnonzero(solid & (first | ~np.concatenate([[False], solid[:-1]])))
-    ends = np.flatnonzero(solid & np.concatenate([first[1:] | ~solid[1:], [True]])) + 1 if len(flat) else starts
-    if not len(starts):
-        return np.empty(0, _U), np.zeros(len(offsets), np.int64)
-    lengths = ends - starts
-    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat[solid]))])
-    coded = pc.ascii_lower(words).cast(pa.binary()).dictionary_encode()
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), _U, len(coded.dictionary))
-    return hashed[coded.indices.to_numpy()], np.searchsorted(starts, offsets)
-
-
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, at = word_hashes(texts)
+    words, at = _arrow.word_hashes(texts)
     salt = [mix(np.array([k + 1], _U))[0] | _U(1) for k in range(SHINGLE)]
     n = len(words) - SHINGLE + 1
     whole = mix(sum(words[k : n + k] * salt[k] for k in range(SHINGLE))) if n > 0 else np.empty(0, _U)
