@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tesserae.plans import graph_queries, relational_queries, version_queries
+
+QUERIES = graph_queries.QUERIES | relational_queries.QUERIES | version_queries.QUERIES
+ORACLES = graph_queries.ORACLES | relational_queries.ORACLES | version_queries.ORACLES
