@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import _arrow
 from tesserae.llm._arrow import mix
+from tesserae.llm._names import fresh
 from tesserae.llm.components import components
 from tesserae.session import checkpoint_ready, table
 
@@ -195,11 +196,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, that of the least doc_id, with the columns it had; rows without doc_id all stay."""
-    kept = classes(df, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__nd_kept"))
-    kept = kept.groupBy("__nd_kept").agg(F.count(F.lit(1)).alias("__nd_rows")).checkpoint()
-    size = kept.agg(F.count("__nd_kept").alias("n"), F.max("__nd_rows").alias("most")).first()
+    key, rows = fresh(df, "kept", "rows")
+    kept = classes(df, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
+    kept = kept.groupBy(key).agg(F.count(F.lit(1)).alias(rows)).checkpoint()
+    size = kept.agg(F.count(key).alias("n"), F.max(rows).alias("most")).first()
     side = F.broadcast(kept) if size["n"] <= BROADCAST_IDS else kept
-    found = df.join(side, F.col(doc_id) == F.col("__nd_kept"))
+    found = df.join(side, F.col(doc_id) == F.col(key))
     if (size["most"] or 0) > 1:  # only rows that repeat a doc_id need to be brought together
-        found = found.filter("__nd_rows = 1").unionByName(found.filter("__nd_rows > 1").dropDuplicates([doc_id]))
-    return found.drop("__nd_kept", "__nd_rows").unionByName(df.filter(F.col(doc_id).isNull()))
+        found = found.filter(F.col(rows) == 1).unionByName(found.filter(F.col(rows) > 1).dropDuplicates([doc_id]))
+    return found.drop(key, rows).unionByName(df.filter(F.col(doc_id).isNull()))

@@ -2,10 +2,10 @@
 
 Texts become token lists, lists longer than `CAPACITY` are cut, and only the lengths go on: pieces are dealt into
 shards of about `SHARD_DOCS` documents by a hash, and each shard is packed on its own. Within a shard, best fit
-in falling order of length comes first; then, while there are more bins than the total length asks for, the
-emptiest bin is drained by moves and by one-for-one and two-for-one exchanges with underfull bins. Each exchange
-moves a positive amount from the emptier to the fuller bin and so increases the sum of squared fills; the search
-ends when the bin is empty or nothing increases the sum.
+in falling order of length comes first; then, while there are more bins than the total length asks for, pairs of
+underfull bins make moves and one-for-one and two-for-one exchanges, the emptiest bins first. Each exchange
+moves a positive amount from the emptier to the fuller bin and so increases the sum of squared fills, until bins
+are empty and go, or nothing increases the sum.
 
 Shards bound memory whatever the input's size, and cost at most about one underfull bin per shard.
 
@@ -31,6 +31,8 @@ from tesserae.llm import _arrow
 from tesserae.session import table
 
 CAPACITY, END_ID, SHARD_DOCS = 4096, 1, 16384
+#: Pairs of bins that the local search of a shard looks at.
+SEARCH_TRIES = 200_000
 
 
 def vocabulary_path() -> str:
@@ -199,24 +201,32 @@ def exchange(low: Bin, high: Bin) -> bool:
     return True
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Drain the emptiest bin into other underfull bins, again and again, while a bin could be saved."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = SEARCH_TRIES) -> list[list[int]]:
+    """Exchange between pairs of underfull bins, from the emptier to the fuller, while a bin could be saved.
+
+    Passes over the pairs, the emptiest bins first, go on until the bins are as few as the total length asks for, a
+    pass finds nothing, or `tries` pairs have been looked at, which bounds the time and never leaves an item out.
+    """
     least = -(-sum(lengths) // capacity)
     made = [Bin(b, lengths, capacity) for b in bins]
-    while len(made) > least:
+    moved = True
+    while moved and len(made) > least and tries > 0:
+        moved = False
         made.sort(key=lambda b: b.room)
-        low = made[-1]
-        moved = True
-        while low.items and moved:
-            moved = False
-            for high in made[:-1]:
-                while high.room and low.items and exchange(low, high):
-                    moved = True
-                if not low.items:
+        under = [b for b in made if b.room]
+        for low in reversed(under):
+            for high in under:
+                if high.room and low.items and high.room <= low.room and high is not low:
+                    tries -= 1
+                    while low.items and high.room and high.room <= low.room and exchange(low, high):
+                        moved = True
+                if not low.items or tries <= 0:
                     break
-        if low.items:
-            break
-        made.pop()
+            if not low.items:
+                made = [b for b in made if b.items]
+                break
+            if tries <= 0:
+                break
     return [b.items for b in made]
 
 
