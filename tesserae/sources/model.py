@@ -67,8 +67,10 @@ def read_ledger(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     schema = T._parse_datatype_string(LEDGER).add("unreadable", "string")
     rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "unreadable").option("pathGlobFilter", "*.json").json(folder)
     rows = rows.withColumn("file", F.col("_metadata.file_name"))
-    good = rows.filter("unreadable IS NULL").drop("unreadable").withColumnRenamed("createdAt", "created_at")
-    return good.orderBy("created_at", "file"), rows.filter("unreadable IS NOT NULL").select("file")
+    # asked together with another column: a reader refuses queries for the unreadable text alone
+    rows = rows.withColumn("bad", F.col("unreadable").isNotNull() & F.col("createdAt").isNull())
+    good = rows.filter("NOT bad").drop("unreadable", "bad").withColumnRenamed("createdAt", "created_at")
+    return good.orderBy("created_at", "file"), rows.filter("bad").select("file")
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
