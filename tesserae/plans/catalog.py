@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tesserae.plans import graph_queries, relational_queries, version_queries
+from tesserae.plans import graph_queries, relational_queries, selection_queries, version_queries
 
-QUERIES = graph_queries.QUERIES | relational_queries.QUERIES | version_queries.QUERIES
-ORACLES = graph_queries.ORACLES | relational_queries.ORACLES | version_queries.ORACLES
+MODULES = [graph_queries, relational_queries, version_queries, selection_queries]
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

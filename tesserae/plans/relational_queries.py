@@ -94,15 +94,15 @@ def one_per_line(spark, d):
     return rules.one_per_line(f, ["ts", "event_id"]).select("rule", "project", "line", "event_id")
 
 
-@query("""WITH r(rule, pack, severity, below, lower_severity) AS (VALUES ('click', 'api', 'warning', 8.0, 'info'), ('view', 'api', 'error', NULL, NULL), ('purchase', 'old', 'error', NULL, NULL), ('login', 'api', 'info', NULL, NULL)),
-o(rule, severity) AS (VALUES ('login', 'none')), a AS (SELECT r.rule, coalesce(o.severity, CASE WHEN 6.0 < below THEN lower_severity ELSE r.severity END) AS severity FROM r LEFT JOIN o USING (rule) WHERE pack != 'old')
+@query("""WITH r(rule, pack, severity, below, lower_severity) AS (VALUES ('click', 'api', 'warning', 8.0, 'info'), ('view', 'api', 'error', NULL, NULL), ('purchase', 'old', 'error', NULL, NULL), ('signup', 'api', 'info', NULL, NULL)),
+o(rule, severity) AS (VALUES ('signup', 'none')), a AS (SELECT r.rule, coalesce(o.severity, CASE WHEN 6.0 < below THEN lower_severity ELSE r.severity END) AS severity FROM r LEFT JOIN o USING (rule) WHERE pack != 'old')
 SELECT a.rule, a.severity, count(*) AS n FROM events JOIN a ON event_type = a.rule WHERE a.severity != 'none' GROUP BY ALL""")
 def severity_override(spark, d):
     r = spark.createDataFrame(
-        [("click", "api", "warning", 8.0, "info"), ("view", "api", "error", None, None), ("purchase", "old", "error", None, None), ("login", "api", "info", None, None)],
+        [("click", "api", "warning", 8.0, "info"), ("view", "api", "error", None, None), ("purchase", "old", "error", None, None), ("signup", "api", "info", None, None)],
         "rule string, pack string, severity string, below double, severity_below string",
     )
-    force = rules.active(r, disabled=["old"], target="6.0", overrides=spark.createDataFrame([("login", "none")], "rule string, severity string"))
+    force = rules.active(r, disabled=["old"], target="6.0", overrides=spark.createDataFrame([("signup", "none")], "rule string, severity string"))
     e = table(spark, d, "events")
     return e.join(F.broadcast(force), e.event_type == force.rule).groupBy("rule", "severity").agg(F.count("event_id").alias("n"))
 
@@ -303,9 +303,9 @@ def three_valued(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.condition(tree, known).alias("holds"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'web' WHEN p_size > 40 THEN 'service' WHEN p_brand = 'Brand#11' THEN 'console' ELSE 'library' END AS kind, CASE WHEN p_type LIKE '%STEEL' THEN 'type' WHEN p_size > 40 THEN 'size' WHEN p_brand = 'Brand#11' THEN 'brand' ELSE 'none' END AS evidence FROM part")
+@query("SELECT p_partkey, CASE WHEN p_type LIKE '%NOMY' THEN 'web' WHEN p_size > 40 THEN 'service' WHEN p_brand = 'Brand#11' THEN 'console' ELSE 'library' END AS kind, CASE WHEN p_type LIKE '%NOMY' THEN 'type' WHEN p_size > 40 THEN 'size' WHEN p_brand = 'Brand#11' THEN 'brand' ELSE 'none' END AS evidence FROM part")
 def kind_classification(spark, d):
-    found = scalars.first_match((F.col("p_type").endswith("STEEL"), "web", "type"), (F.col("p_size") > 40, "service", "size"), (F.col("p_brand") == "Brand#11", "console", "brand"), otherwise=("library", "none"))
+    found = scalars.first_match((F.col("p_type").endswith("NOMY"), "web", "type"), (F.col("p_size") > 40, "service", "size"), (F.col("p_brand") == "Brand#11", "console", "brand"), otherwise=("library", "none"))
     return table(spark, d, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.kind", "f.evidence")
 
 
