@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import cuts, fixpoints, graph
 
-# Ten projects: Contracts (standard) <- Core <- Data <- Web and Data.Tests; Core <- Tool; Contracts <- Api (dual); A <-> B <- Report.
+# Fixed values, a model with a known plan. Ten projects: Contracts (standard) <- Core <- Data <- Web and Data.Tests; Core <- Tool; Contracts <- Api (dual); A <-> B <- Report.
 TEN = [
     ("lib/Contracts/Contracts.csproj", "standard", "library", []),
     ("src/Core/Core.csproj", "framework", "library", ["lib/Contracts/Contracts.csproj"]),
