@@ -205,3 +205,23 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     if (size["most"] or 0) > 1:  # only rows that repeat a doc_id need to be brought together
         found = found.filter(F.col(rows) == 1).unionByName(found.filter(F.col(rows) > 1).dropDuplicates([doc_id]))
     return found.drop(key, rows).unionByName(df.filter(F.col(doc_id).isNull()))
+
+
+#: DuckDB: pairs by shared shingles, and the least doc_id reachable over links.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, g FROM (
+    SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid
+), l AS (
+  SELECT dx.doc_id AS u, dy.doc_id AS v FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y JOIN d dx ON dx.rid = x JOIN d dy ON dy.rid = y
+  WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)
+), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l
+), r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.u, r.c FROM r JOIN e ON e.v = r.id
+), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id IS NOT DISTINCT FROM c AS kept FROM d LEFT JOIN n USING (rid) LEFT JOIN m ON m.id = d.doc_id
+"""

@@ -16,10 +16,11 @@ QUERIES = {
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_media_columns": media.op10_media_columns,
 }
-#: Tokenizers, fitted models, searches and media formats are beyond SQL; tests hold them against brute force.
+#: Tokenizers, fitted models, packing and media formats are beyond SQL; tests hold them against brute force.
 ORACLES = {
     "op1_quality_rules": quality.SQL,
     "op2_license_scans": licenses.SQL,
     "op6_chat_formatting": chat.SQL,
     "op7_lm_scoring": lm.SQL,
+    "op9_minhash_near_dedup": near_dedup.SQL,
 }
