@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
 #: Bytes of text handled at a time within a batch; one longer text is a slice of its own.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 #: Strings kept in a worker's memo before it starts afresh.
 MEMO_ITEMS = 300_000
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE_BYTES bytes of the given string column."""
+    """The batch in slices of about SLICE_BYTES bytes of the given string column; freed memory goes back at its end."""
     n = batch.num_rows
     if not n:
         return
@@ -26,6 +32,14 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and what one operator held would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_offsets(texts: pa.Array) -> np.ndarray:
