@@ -5,7 +5,8 @@ dealt into blocks of about `BLOCK_BYTES` bytes by a hash. Each block sends its d
 there to the n-gram's hash partition (aggregation before the shuffle: however often a pair occurs, a block sends it
 once). A partition of the count table adds up the blocks' counts and joins the totals back to each block's n-grams.
 The block, joined with its totals, explodes its texts into n-grams again and sums their scores for every text.
-What is gathered so is the corpus's whole table, in partitions that grow in number, not in size.
+What is gathered so is the corpus's whole table, in partitions that grow in number, not in size. A block sends a row
+to each partition that it has n-grams for, so rows never outnumber the distinct n-grams of the blocks.
 
 Scores leave the scored text's own counts out, so that a text can't vouch for itself. With C the counts in all
 other rows and N their words: a pair (v, w) scores C(v, w) / C(v) if C(v, w) > 0, else `ALPHA` times the score of w;
@@ -26,11 +27,27 @@ from tesserae.llm import _arrow
 from tesserae.session import table
 
 ALPHA = 0.4
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
+#: Blocks to a partition of the count table.
+BLOCKS_PER_PART = 4
 
 _U = np.uint64
 
 
+def shrunk(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs (told by the first byte), all lowest bytes first.
+
+    Upper bytes, mostly zeros, stand together, so that the shuffle compresses them away.
+    """
+    width = next(w for w in (1, 2, 4, 8) if int(numbers.max()) >> (8 * w) == 0)
+    return bytes([width]) + np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def grown(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{data[0]}").astype(_U)
+
+
 class Block:
     """A block's words and pairs, and its sorted distinct n-grams."""
 
@@ -68,38 +85,42 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
+    parts = -(-blocks // BLOCKS_PER_PART)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def send(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         block = Block(group["text"].chunk(0))
         # the hash's upper half says which partition; n-grams are sorted, so each partition's are a run
-        bounds = np.searchsorted(block.grams >> _U(32), np.array([-(-(k << 32) // blocks) for k in range(blocks + 1)], _U))
+        bounds = np.searchsorted(block.grams >> _U(32), np.array([-(-(k << 32) // parts) for k in range(parts + 1)], _U))
         runs = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-        counts = block.counts.astype("<u4")
-        words = [int(block.sizes.sum())] + [0] * max(0, len(runs) - 1)
-        return pa.table(
+        counts = block.counts
+        made = pa.table(
             {
                 "part": pa.array([k for k, _, _ in runs], pa.int32()),
                 "block": pa.array([group["block"][0].as_py()] * len(runs), pa.int32()),
-                "grams": pa.array([block.grams[a:b].tobytes() for _, a, b in runs], pa.binary()),
-                "counts": pa.array([counts[a:b].tobytes() for _, a, b in runs], pa.binary()),
-                "words": pa.array(words[: len(runs)], pa.int64()),
+                "grams": pa.array([shrunk(np.diff(block.grams[a:b], prepend=_U(0))) for _, a, b in runs], pa.binary()),
+                "counts": pa.array([shrunk(counts[a:b]) for _, a, b in runs], pa.binary()),
             }
         )
+        del block
+        _arrow.release()
+        return made
 
-    sent = docs.groupBy("block").applyInArrow(send, "part int, block int, grams binary, counts binary, words long")
+    sent = docs.groupBy("block").applyInArrow(send, "part int, block int, grams binary, counts binary")
 
     def total(group: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, "<u8") for x in group["grams"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"].to_pylist()]).astype(np.float64)
+        grams = [np.cumsum(grown(x), dtype=_U) for x in group["grams"].to_pylist()]
+        counts = np.concatenate([grown(x) for x in group["counts"].to_pylist()]).astype(np.float64)
         _, at = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.bincount(at, counts).astype("<u8")[at]
+        sums = np.bincount(at, counts).astype(_U)[at]
         ends = np.cumsum([len(x) for x in grams])
-        back = [x.tobytes() for x in np.split(sums, ends[:-1])]
+        back = [shrunk(x) for x in np.split(sums, ends[:-1])]
+        del grams, counts, at
+        _arrow.release()
         return pa.table({"block": group["block"], "part": group["part"], "totals": pa.array(back, pa.binary())})
 
-    totals = sent.select("part", "block", "grams", "counts").groupBy("part").applyInArrow(total, "block int, part int, totals binary")
+    totals = sent.groupBy("part").applyInArrow(total, "block int, part int, totals binary")
     corpus = docs.agg(F.sum(word_count(F.col("text"))).alias("n")).first()["n"] or 0
 
     def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
@@ -107,9 +128,12 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
         if not texts.num_rows:
             return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
         block = Block(texts["text"].chunk(0))
-        parts = totals.sort_by("part")["totals"].to_pylist()
-        known = np.concatenate([np.frombuffer(x, "<u8") for x in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
-        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(block.sizes, pa.int64()), "log_score": pa.array(block.scores(known, corpus), pa.float64())})
+        found = totals.sort_by("part")["totals"].to_pylist()
+        known = np.concatenate([grown(x) for x in found]).astype(np.int64) if found else np.empty(0, np.int64)
+        made = pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(block.sizes, pa.int64()), "log_score": pa.array(block.scores(known, corpus), pa.float64())})
+        del block, known, found
+        _arrow.release()
+        return made
 
     found = docs.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double")
     return found.withColumn("mean_log_score", F.try_divide("log_score", "n_words"))
