@@ -17,7 +17,7 @@ except (OSError, AttributeError):  # another C library
 
 #: Bytes of text handled at a time within a batch; one longer text is a slice of its own.
 SLICE_BYTES = 4_000_000
-#: Strings kept in a worker's memo before it starts afresh.
+#: Strings kept in a task's memo before it starts afresh.
 MEMO_ITEMS = 300_000
 
 

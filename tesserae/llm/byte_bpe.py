@@ -112,6 +112,8 @@ def encode_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", offs
                     starts = [tool.char_offsets(t or "", ids[a:b]) for t, a, b in zip(texts, ends, ends[1:])]
                     made.append(pa.array([s.tolist() for s in starts], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(made, ["doc_id", "ids", "char_starts"][: len(made)])
+        tool.memo.clear()
+        _arrow.release()
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", char_starts array<long>" * offsets)
@@ -149,6 +151,8 @@ def digests(df: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        tool.memo.clear()
+        _arrow.release()
 
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -98,6 +98,8 @@ def pieces_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacit
                     [part.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(row + owner, pa.int64())], names
                 )
                 row += n
+        tool.memo.clear()
+        _arrow.release()
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long")

@@ -124,6 +124,8 @@ def token_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
                 counts = np.fromiter(map(memo.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if distinct else np.empty(0, np.int64)
                 tokens, unknown = (np.concatenate([[0], np.cumsum(x)]) for x in (np.maximum(counts, 1), counts == 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(at), tokens[at[1:]] - tokens[at[:-1]], unknown[at[1:]] - unknown[at[:-1]]))], names)
+        memo.clear()
+        _arrow.release()
 
     return df.select(doc_id, text).mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
 
