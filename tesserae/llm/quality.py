@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
-A rule is a name and a function from the text column to a boolean that is true where the rule rejects.
+A rule is a name and a function of the text and its words to a boolean that is true where the rule rejects.
 `plan_cascade` measures on a bounded sample what each rule costs and how many rows it rejects, and orders the
 rules by rejection per cost (the order that minimises the expected cost of a conjunction of independent
 filters); `cascade` then evaluates them in a CASE chain, which stops at the first rule that rejects. The order
 changes cost only, never the verdict, so a timing that varies between runs cannot change results.
 
 Defined results: a null or empty text has no words and is rejected by `few_words`; repeated rows are judged one
-by one; an empty table gives an empty table; other columns pass through, and helper columns start with `__q_`.
+by one; an empty table gives an empty table; other columns pass through whatever their names, but for the
+statistics' own, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm._names import fresh
 from tesserae.session import table
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -65,18 +67,17 @@ def dup_lines_of(text: Column) -> Column:
 def repeat_words_of(words: Column) -> Column:
     """Words that stand in a three-word window whose words occur as a window twice or more.
 
-    Windows become strings; a text whose windows are all distinct (a hash-set test) is done. Otherwise sorting
-    (window, place) puts equal windows side by side, and the places of those that have an equal neighbour are
+    A text whose windows all have distinct hashes has no equal windows and is done. Otherwise windows become strings;
+    sorting (window, place) puts equal ones side by side, and the places of those that have an equal neighbour are
     widened to the three words each covers. Everything is linear but for the sort.
     """
 
-    def windows(w: Column) -> Column:
+    def zipped(w: Column) -> Column:
         n = F.size(w) - 2
-        zipped = F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n))
-        return F.transform(zipped, lambda x: F.concat_ws(" ", x["0"], x["1"], x["2"]))
+        return F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n))
 
     def covered(w: Column) -> Column:
-        pairs = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(zipped(w), lambda x, i: F.struct(F.concat_ws(" ", x["0"], x["1"], x["2"]).alias("w"), i.alias("i"))))
 
         def places(s: Column) -> Column:
             same = lambda a, b: F.get(s, a)["w"] == F.get(s, b)["w"]
@@ -90,33 +91,34 @@ def repeat_words_of(words: Column) -> Column:
         return let(pairs, places)
 
     def counted(w: Column) -> Column:
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))
+        hashes = F.transform(zipped(w), lambda x: F.xxhash64(x["0"], x["1"], x["2"]))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(w) - 2, F.lit(0)).otherwise(covered(w))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows(words), counted)).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(counted(words)).cast("long")
 
 
-def few_words(text: Column) -> Column:
-    return F.size(words_of(text)) < MIN_WORDS
+def few_words(text: Column, words: Column) -> Column:
+    return F.size(words) < MIN_WORDS
 
 
-def repetitive(text: Column) -> Column:
-    return let(words_of(text), lambda w: 100 * repeat_words_of(w) > MAX_REPEAT_PERCENT * F.size(w))
+def repetitive(text: Column, words: Column) -> Column:
+    return 100 * repeat_words_of(words) > MAX_REPEAT_PERCENT * F.size(words)
 
 
-def symbol_heavy(text: Column) -> Column:
-    return 10 * count_of(text, SYMBOLS) > MAX_SYMBOLS_PER_10_WORDS * F.size(words_of(text))
+def symbol_heavy(text: Column, words: Column) -> Column:
+    return 10 * count_of(text, SYMBOLS) > MAX_SYMBOLS_PER_10_WORDS * F.size(words)
 
 
-def shouting(text: Column) -> Column:
-    return 2 * count_of(text, "!") > MAX_SHOUTS_PER_2_WORDS * F.size(words_of(text))
+def shouting(text: Column, words: Column) -> Column:
+    return 2 * count_of(text, "!") > MAX_SHOUTS_PER_2_WORDS * F.size(words)
 
 
-def line_copies(text: Column) -> Column:
+def line_copies(text: Column, words: Column) -> Column:
     return let(lines_of(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > MAX_DUP_LINE_PERCENT * F.size(x))
 
 
-def odd_word_length(text: Column) -> Column:
-    n = F.size(words_of(text))
+def odd_word_length(text: Column, words: Column) -> Column:
+    n = F.size(words)
     return (word_chars_of(text) < MIN_WORD_CHARS * n) | (word_chars_of(text) > MAX_WORD_CHARS * n)
 
 
@@ -128,35 +130,41 @@ RULES = BASE_RULES | METHOD_RULES
 def plan_cascade(df: DataFrame, text: str = "text", rules: dict | None = None, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
     """The rules in the order of rejection per cost, with what was measured.
 
-    The sample is the first `sample_rows` rows that a scan yields (a bounded read, not a pass over the table);
-    it steers cost only. Each rule runs alone over the cached sample; its cost is the best of two timings.
+    The sample is the first `sample_rows` rows that a scan yields: partitions are read one by one until there are
+    enough, so no pass over the table is made. It steers cost only. Each rule runs alone over the sample, which is
+    kept as a local table; its cost is the best of two timings.
     """
     rules = RULES if rules is None else rules
-    sample = df.select(F.col(text).alias("__q_text")).limit(sample_rows).persist()
-    try:
-        total = sample.count()
-        found = []
-        for name, rule in rules.items():
-            asked = sample.agg(F.count_if(rule(F.col("__q_text"))).alias("n"))
-            times = []
-            for _ in range(2):
-                began = time.perf_counter()
-                rejected = asked.first()["n"]
-                times.append(time.perf_counter() - began)
-            found.append({"rule": name, "cost_s": min(times), "rejects": rejected / total if total else 0.0})
-    finally:
-        sample.unpersist()
+    session = df.sparkSession
+    first = df.select(F.col(text).alias("text"))._jdf.limit(sample_rows)
+    sample = DataFrame(session._jsparkSession.createDataFrame(first.collectAsList(), first.schema()), session)
+    sample = sample.withColumn("words", words_of(F.col("text"))).persist()  # all rules share the words
+    total = sample.count()
+    found = []
+    for name, rule in rules.items():
+        asked = sample.agg(F.count_if(rule(F.col("text"), F.col("words"))).alias("n"))
+        times = []
+        for _ in range(2):
+            began = time.perf_counter()
+            rejected = asked.first()["n"]
+            times.append(time.perf_counter() - began)
+        found.append({"rule": name, "cost_s": min(times), "rejects": rejected / total if total else 0.0})
+    sample.unpersist()
     return sorted(found, key=lambda x: (-x["rejects"] / max(x["cost_s"], 1e-9), x["cost_s"], x["rule"]))
 
 
-def verdict(text: Column, order: list[str], rules: dict | None = None, first: Column | None = None) -> Column:
-    """True where no rule rejects; rules after the first that rejects are not evaluated."""
+def verdict(text: Column, order: list[str], rules: dict | None = None, words: Column | None = None, first: Column | None = None) -> Column:
+    """True where no rule rejects; rules after the first that rejects are not evaluated. The words are found once."""
     rules = RULES if rules is None else rules
-    chain = F.when(first, F.lit(False)) if first is not None else None
-    for name in order:
-        rejects = F.coalesce(rules[name](text), F.lit(False))
-        chain = F.when(rejects, F.lit(False)) if chain is None else chain.when(rejects, F.lit(False))
-    return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
+
+    def chained(w: Column) -> Column:
+        chain = F.when(first, F.lit(False)) if first is not None else None
+        for name in order:
+            rejects = F.coalesce(rules[name](text, w), F.lit(False))
+            chain = F.when(rejects, F.lit(False)) if chain is None else chain.when(rejects, F.lit(False))
+        return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
+
+    return chained(words) if words is not None else let(words_of(text), chained)
 
 
 def cascade(df: DataFrame, text: str = "text", rules: dict | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -165,28 +173,29 @@ def cascade(df: DataFrame, text: str = "text", rules: dict | None = None, sample
     return df.filter(verdict(df[text], order, rules))
 
 
-def with_statistics(df: DataFrame, text: str = "text", out_prefix: str = "") -> DataFrame:
-    """The base statistics beside every row."""
+def with_statistics(df: DataFrame, text: str = "text", out_prefix: str = "", words: str | None = None) -> DataFrame:
+    """The base statistics beside every row; `words` names a column in which the words stay."""
     c, p = df[text], out_prefix
-    read = df.withColumn("__q_words", words_of(c)).withColumn("__q_n", F.size("__q_words").cast("long"))
-    return read.withColumns(
+    held = words or fresh(df, "words")[0]
+    found = df.withColumn(held, words_of(c)).withColumns(
         {
-            f"{p}n_words": F.col("__q_n"),
+            f"{p}n_words": F.size(held).cast("long"),
             f"{p}word_chars": word_chars_of(c),
             f"{p}n_symbols": count_of(c, SYMBOLS),
             f"{p}n_dup_lines": dup_lines_of(c),
-            f"{p}n_repeat_words": repeat_words_of(F.col("__q_words")),
+            f"{p}n_repeat_words": repeat_words_of(F.col(held)),
         }
-    ).drop("__q_words", "__q_n")
+    )
+    return found if words else found.drop(held)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = [x["rule"] for x in plan_cascade(docs, rules=METHOD_RULES)]
-    found = with_statistics(docs)
+    found = with_statistics(docs, words="words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
-    kept = verdict(F.col("text"), order, METHOD_RULES, first=F.col("base_failed"))
+    kept = verdict(F.col("text"), order, METHOD_RULES, F.col("words"), F.col("base_failed"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
