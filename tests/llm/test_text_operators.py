@@ -211,6 +211,17 @@ def test_language_held_out_accuracy(spark):
     assert len(held) > 200 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.98
 
 
+def test_language_sample_goes_by_distinct_texts(spark):
+    from pyspark.sql import functions as F
+
+    word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij").alias("text")
+    others = spark.range(4000).select(word, F.lit("en").alias("lang"))
+    copies = spark.range(100_000).select(F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(50).select(word, F.lit("fr").alias("lang"))
+    counts = language.sample_counts(others.unionByName(copies).unionByName(few), "text", "lang", 200)
+    assert 140 < len(counts["en"]) < 260 and len(counts["fr"]) == 50
+
+
 def test_lm_scores(docs, nothing):
     texts = [(r["doc_id"], WORD.findall((r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) for r in docs.collect()]
     one, two = Counter(), Counter()
