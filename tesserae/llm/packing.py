@@ -5,9 +5,11 @@ shards of about `SHARD_DOCS` documents by a hash, and each shard is packed on it
 in falling order of length comes first; then, while there are more bins than the total length asks for, pairs of
 underfull bins make moves and one-for-one and two-for-one exchanges, the emptiest bins first. Each exchange
 moves a positive amount from the emptier to the fuller bin and so increases the sum of squared fills, until bins
-are empty and go, or nothing increases the sum.
+are empty and go, or no exchange is left that increases the sum. Then the underfull bins of all shards are brought
+together, dealt anew, and searched again in the same way (`gather`).
 
-Shards bound memory whatever the input's size, and cost at most about one underfull bin per shard.
+Shards bound memory whatever the input's size. Where all that is underfull fits in one group, the last search is
+over all of it; beyond that, rounds go on until two running save no sequence.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; repeated rows are packed as
 often as they occur; an empty table gives an empty table; only the id and text columns are read.
@@ -28,11 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import _arrow
-from tesserae.session import table
+from tesserae.session import checkpoint_ready, table
 
 CAPACITY, END_ID, SHARD_DOCS = 4096, 1, 16384
-#: Pairs of bins that the local search of a shard looks at.
-SEARCH_TRIES = 200_000
 
 
 def vocabulary_path() -> str:
@@ -203,39 +203,127 @@ def exchange(low: Bin, high: Bin) -> bool:
     return True
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = SEARCH_TRIES) -> list[list[int]]:
+def gains(bin_: Bin, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the bin gains from one item of a size, for one or two or none of its own, and from two of a sum, for one."""
+    size = np.arange(capacity + 1)
+    own = np.unique(np.array(bin_.sizes, np.int64))
+
+    def best(back: np.ndarray) -> np.ndarray:
+        """size - the least of `back` from size - room to size - 1."""
+        least = np.searchsorted(back, np.maximum(size - bin_.room, 0))
+        least = np.append(back, capacity + 1)[least]
+        return np.where(least < size, size - least, 0).astype(np.int16)
+
+    return best(np.unique(np.concatenate([[0], own, sums_of_two(bin_)]))), best(own)
+
+
+def sums_of_two(bin_: Bin) -> np.ndarray:
+    """Distinct sums of two items; a bin has few distinct sizes, since they add up to at most the capacity."""
+    own, n = np.unique(np.array(bin_.sizes, np.int64), return_counts=True)
+    i, j = np.triu_indices(len(own), 1)
+    return np.unique(np.concatenate([own[i] + own[j], 2 * own[n > 1]]))
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Exchange between pairs of underfull bins, from the emptier to the fuller, while a bin could be saved.
 
-    Passes over the pairs, the emptiest bins first, go on until the bins are as few as the total length asks for, a
-    pass finds nothing, or `tries` pairs have been looked at, which bounds the time and never leaves an item out.
+    Passes over the underfull bins, the emptiest first, go on until the bins are as few as the total length asks for
+    or a pass finds nothing. A table of what each bin would gain from each size (`gains`) tells at once which pairs
+    have an exchange, so that none is left out and none is tried in vain; the largest gain comes first.
     """
     least = -(-sum(lengths) // capacity)
     made = [Bin(b, lengths, capacity) for b in bins]
-    moved = True
-    while moved and len(made) > least and tries > 0:
+    if len(made) <= least:
+        return [b.items for b in made]
+    under = [b for b in made if b.room]
+    one, two = (np.zeros((capacity + 1, len(under)), np.int16) for _ in range(2))
+    rooms = np.array([b.room for b in under], np.int64)
+    for k, b in enumerate(under):
+        one[:, k], two[:, k] = gains(b, capacity)
+    left, moved = len(made), True
+    while moved and left > least:
         moved = False
-        made.sort(key=lambda b: b.room)
-        under = [b for b in made if b.room]
-        for low in reversed(under):
-            for high in under:
-                if high.room and low.items and high.room <= low.room and high is not low:
-                    tries -= 1
-                    while low.items and high.room and high.room <= low.room and exchange(low, high):
-                        moved = True
-                if not low.items or tries <= 0:
+        for k in np.argsort(-rooms, kind="stable").tolist():
+            low = under[k]
+            while low.items and left > least:
+                gain = one[np.unique(np.array(low.sizes, np.int64))].max(axis=0)
+                sums = sums_of_two(low)
+                if len(sums):
+                    gain = np.maximum(gain, two[sums].max(axis=0))
+                gain[(rooms > low.room) | (rooms == capacity)] = 0
+                gain[k] = 0
+                to = int(gain.argmax())
+                if not gain[to] or not exchange(low, under[to]):
                     break
-            if not low.items:
-                made = [b for b in made if b.items]
-                break
-            if tries <= 0:
+                moved = True
+                for at in (k, to):
+                    rooms[at] = under[at].room
+                    one[:, at], two[:, at] = gains(under[at], capacity)
+            left = sum(1 for b in made if b.items) if not low.items else left
+            if left <= least:
                 break
-    return [b.items for b in made]
+    return [b.items for b in made if b.items]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
+def gather(packed: DataFrame, capacity: int, shard_docs: int) -> DataFrame:
+    """The sequences of all shards, after further searches that bring underfull ones together.
+
+    What is underfull is dealt anew into groups of about `shard_docs` pieces, whole sequences at a time: by fill, the
+    emptiest together, and by a hash, in turn. It ends when one group held all of it, or two rounds running saved none.
+    """
+    spark, schema = packed.sparkSession, packed.schema
+    checkpoint_ready(spark)
+    names, done, round_, groups, idle = packed.columns, None, 0, 0, 0
+
+    def run(group: pa.Table) -> pa.Table:
+        order = group.select(names).sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        lengths, ids = order["length"].to_pylist(), order["sequence_id"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist()
+        bins = [list(range(a, b)) for a, b in zip(starts, [*starts[1:], len(ids)])]
+        return placed(order, local_search(bins, lengths, capacity), lengths, ids[starts])
+
+    while True:
+        packed = packed.checkpoint()
+        open_ = packed.filter(F.col("fill") < capacity)
+        size = open_.agg(F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("offset") == 0).alias("bins"), F.sum("length").alias("total")).first()
+        # sequences beyond what their total length asks for; filling one up changes nothing here, emptying one does
+        excess = size["bins"] - -(-(size["total"] or 0) // capacity)
+        idle = idle + 1 if round_ and excess >= before else 0
+        if excess <= 0 or groups == 1 or idle == 2:
+            return (packed if done is None else done.unionByName(packed)).drop("fill")
+        closed = packed.filter(F.col("fill") >= capacity)
+        done = closed if done is None else done.unionByName(closed)
+        groups, round_, before = -(-size["pieces"] // shard_docs), round_ + 1, excess
+        code = F.xxhash64("sequence_id", F.lit(round_))
+        if round_ % 2:
+            rows, total = [], 0
+            for r in sorted(open_.groupBy("fill").count().collect()):
+                rows.append((r[0], total // shard_docs, -(-r[1] // shard_docs)))
+                total += r[1]
+            at = F.broadcast(spark.createDataFrame(rows, "__fill long, first long, parts long"))
+            dealt = open_.join(at, F.col("fill") == F.col("__fill")).withColumn("group", F.col("first") + F.pmod(code, F.col("parts")))
+        else:
+            dealt = open_.withColumn("group", F.pmod(code, F.lit(groups)))
+        packed = dealt.groupBy("group").applyInArrow(run, schema)
+
+
+def placed(order: pa.Table, bins: list[list[int]], lengths: list[int], ids: np.ndarray) -> pa.Table:
+    """The pieces with their sequence, their offset and their sequence's fill."""
+    sequence, offset, fill = (np.zeros(len(lengths), np.int64) for _ in range(3))
+    for k, items in enumerate(bins):
+        at = 0
+        for i in items:
+            sequence[i], offset[i] = ids[k], at
+            at += lengths[i]
+        fill[items] = at
+    kept = order.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+    return kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
+
+
 def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, path: str | None = None) -> DataFrame:
     """One row per piece with its sequence and its place there."""
     shards = max(1, -(-df.count() // shard_docs))
@@ -246,16 +334,12 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     def run(group: pa.Table) -> pa.Table:
         order = group.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("salt", "ascending")])
         lengths = order["length"].to_pylist()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         base = order["shard"][0].as_py() << 32
-        for k, items in enumerate(pack(lengths, capacity)):
-            at = 0
-            for i in items:
-                sequence[i], offset[i] = base + k, at
-                at += lengths[i]
-        return order.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    return pieces.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        bins = pack(lengths, capacity)
+        return placed(order, bins, lengths, base + np.arange(len(bins)))
+
+    packed = pieces.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long")
+    return gather(packed, capacity, shard_docs)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

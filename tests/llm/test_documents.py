@@ -119,6 +119,29 @@ def test_local_search_saves_bins_and_loses_nothing():
     assert len(packing.best_fit(lengths, 100)) == 3 and len(packing.pack(lengths, 100)) == 2
 
 
+def test_local_search_leaves_no_exchange():
+    random.seed(5)
+    for low, high, n in ((1400, 3000, 1800), (300, 2600, 300)):
+        lengths = [random.randint(low, high) for _ in range(n)]
+        bins = packing.pack(lengths, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(n))
+        if len(bins) > -(-sum(lengths) // 4096):
+            made = [packing.Bin(b, lengths, 4096) for b in bins]
+            pairs = [(a, b) for a in made for b in made if a is not b and a.room >= b.room > 0]
+            assert not any(packing.exchange(a, b) for a, b in pairs)
+
+
+def test_underfull_sequences_of_all_shards_are_brought_together(spark):
+    rows = [(i, "cat " * 20) for i in range(400)]
+    got = packing.pack_documents(documents(spark, rows), capacity=100, shard_docs=10).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["sequence_id"]] += r["length"]
+    assert len(got) == 400 and max(sizes.values()) <= 100 and {r["length"] for r in got} == {21}
+    # four to a sequence; ten to a shard on their own would leave one underfull sequence in nearly each of forty
+    assert len(sizes) <= 104
+
+
 # ---- near duplicates
 
 
