@@ -1,13 +1,14 @@
 """Near-duplicate classes: fast similarity sketches, banding, and exact verification.
 
 A document's set is its distinct shingles of five words (lower case A-Z, 64-bit hashes). Two documents are
-linked if their sets' Jaccard similarity reaches `PERCENT` per cent; classes are the connected components.
+linked if their sets' Jaccard similarity reaches a given per cent (`PERCENT` by default); classes are the connected components.
 
 Sketch. `T` bins are filled in rounds: in each of the first T rounds every shingle is hashed anew to one bin, and
 bins that are still open take the least hash of those that fall in; rounds T to 2T - 1 offer every shingle to one
 bin each, so no bin can stay open. Two sets agree in a bin with a probability of their similarity, and agreements
-concentrate as for independent samples. T = BANDS * ROWS bins make BANDS keys. A link of exactly 85 % is missed
-with a probability of (1 - 0.85 ** ROWS) ** BANDS, about 2e-7, and a member of a larger class must be missed by
+concentrate as for independent samples. T = BANDS * ROWS bins make BANDS keys. Both follow from the per cent asked
+for (`Plan`): 48 bands of 8 for 85, 51 of 6 for 80. A link of exactly that per cent is missed with a probability of
+at most `MISS`, and a member of a larger class must be missed by
 all its links.
 
 Steps. (1) Equal sets are one class from the start; only its least doc_id goes on. (2) Within each band key every
@@ -16,7 +17,7 @@ hold all linked pairs. Each is cut in blocks of about `BLOCK` documents, and eac
 bounded size, which gets the full texts, tests pairs that are not connected yet on their full sets (most alike
 sketches first) and returns a spanning forest of links, never all pairs. (4) Components of the forests are
 the classes. Pairs whose sketches agree in too few bins are not tested; the limit lies six standard deviations
-below what a similarity of `PERCENT` gives.
+below what that similarity gives.
 
 Defined results: a text without words, empty or null, has an empty set, is linked with nothing and kept; fewer than
 five words are one shingle; a row without doc_id can't be linked: it is kept, with a null class; rows that
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,41 @@ from tesserae.llm.components import components
 from tesserae.session import checkpoint_ready, table
 
 SHINGLE, PERCENT = 5, 85
-ROWS, BANDS = 8, 48
-T = ROWS * BANDS
+#: A link of exactly the asked similarity may be missed with this probability.
+MISS = 2.5e-7
 BLOCK = 1024
 #: Ids of documents that may have a partner are broadcast up to this many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
-#: Bins that must agree for a pair to be tested.
-LEAST_AGREE = math.floor(T * PERCENT / 100 - 6 * math.sqrt(T * PERCENT / 100 * (1 - PERCENT / 100)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from the per cent asked for."""
+
+    percent: int
+
+    @property
+    def rows(self) -> int:
+        """Bins of a band: a link of exactly `percent` shares a band with a probability of a quarter or a little more."""
+        return max(1, math.floor(math.log(0.25) / math.log(self.percent / 100)))
+
+    @property
+    def bands(self) -> int:
+        return math.ceil(math.log(MISS) / math.log(1 - (self.percent / 100) ** self.rows))
+
+    @property
+    def bins(self) -> int:
+        return self.rows * self.bands
+
+    @property
+    def least_agree(self) -> int:
+        """Bins that must agree for a pair to be tested."""
+        p = self.percent / 100
+        return math.floor(self.bins * p - 6 * math.sqrt(self.bins * p * (1 - p)))
+
+
+ROWS, BANDS = Plan(PERCENT).rows, Plan(PERCENT).bands
+T, LEAST_AGREE = Plan(PERCENT).bins, Plan(PERCENT).least_agree
 
 _U = np.uint64
 
@@ -70,24 +100,24 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def sketch_sets(sets: list[np.ndarray]) -> np.ndarray:
+def sketch_sets(sets: list[np.ndarray], n_bins: int = T) -> np.ndarray:
     """[set, bin] -> the hash that the bin took; rows of empty sets are all ones."""
     none = _U(2**64 - 1)
-    out = np.full((len(sets), T), none)
+    out = np.full((len(sets), n_bins), none)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     open_ = np.flatnonzero(sizes)
     items = np.concatenate(sets) if len(sets) else np.empty(0, _U)
     starts = np.cumsum(sizes) - sizes
-    for k in range(2 * T):
+    for k in range(2 * n_bins):
         if not len(open_):
             break
         mine = items[_arrow.ragged(starts[open_], sizes[open_])]
         hashed = mix(mine ^ mix(np.array([k + 0x51ED27], _U))[0])
-        bins = (hashed % _U(T)).astype(np.int64) if k < T else np.full(len(hashed), k - T)
+        bins = (hashed % _U(n_bins)).astype(np.int64) if k < n_bins else np.full(len(hashed), k - n_bins)
         # at most the hash itself: all ones marks an open bin
         value = np.minimum(mix(hashed ^ _U(0xD6E8FEB86659FD93)), none - _U(1))
-        fresh = np.full((len(open_), T), none)
-        np.minimum.at(fresh.reshape(-1), np.repeat(np.arange(len(open_)), sizes[open_]) * T + bins, value)
+        fresh = np.full((len(open_), n_bins), none)
+        np.minimum.at(fresh.reshape(-1), np.repeat(np.arange(len(open_)), sizes[open_]) * n_bins + bins, value)
         was = out[open_]
         now = np.where(was == none, fresh, was)
         out[open_] = now
@@ -95,37 +125,39 @@ def sketch_sets(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
+def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """[set, band] -> key; the band's number is part of the key."""
-    cells = sketches.reshape(len(sketches), BANDS, ROWS)
-    salt = np.array([int(mix(np.array([k + 77], _U))[0]) | 1 for k in range(ROWS)], _U)
-    return mix((cells * salt).sum(axis=2, dtype=_U) ^ mix(np.arange(BANDS, dtype=_U) + _U(1))).view(np.int64)
+    cells = sketches.reshape(len(sketches), bands, rows)
+    salt = np.array([int(mix(np.array([k + 77], _U))[0]) | 1 for k in range(rows)], _U)
+    return mix((cells * salt).sum(axis=2, dtype=_U) ^ mix(np.arange(bands, dtype=_U) + _U(1))).view(np.int64)
 
 
-def sketches_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class, bands): class is a 128-bit digest of the set, null for an empty one."""
+    plan = Plan(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _arrow.slices(batch, 1):
                 sets = shingle_sets(part.column(1))
-                keys = band_keys(sketch_sets(sets))
+                keys = band_keys(sketch_sets(sets, plan.bins), plan.bands, plan.rows)
                 full = np.fromiter((len(s) > 0 for s in sets), bool, len(sets))
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(keys[full].ravel(), pa.int64()))
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * plan.bands)]), pa.int32()), pa.array(keys[full].ravel(), pa.int64()))
                 digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, bands], ["doc_id", "n_shingles", "class", "bands"])
 
     return df.select(doc_id, text).mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_shingles long, class binary, bands array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what is linked; pairs that are connected already are not tested."""
-    sketches = (sketch_sets(sets) & _U(0xFFFF)).astype(np.uint16)
+    plan = Plan(percent)
+    sketches = (sketch_sets(sets, plan.bins) & _U(0xFFFF)).astype(np.uint16)
     root = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -139,7 +171,7 @@ def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     for i in range(len(ids) - 1):
         agree = (sketches[i + 1 :] == sketches[i]).sum(axis=1)
         small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-        js = np.flatnonzero((agree >= LEAST_AGREE) & (100 * small >= PERCENT * large))
+        js = np.flatnonzero((agree >= plan.least_agree) & (100 * small >= percent * large))
         if len(js):
             asked.append((agree[js], np.full(len(js), i), js + i + 1))
     links = []
@@ -148,18 +180,18 @@ def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         order = np.argsort(-agree, kind="stable")
         for i, j in zip(left[order].tolist(), right[order].tolist()):
             a, b = find(i), find(j)
-            if a != b and similar(sets[i], sets[j]):
+            if a != b and similar(sets[i], sets[j], percent):
                 root[a] = b
                 links.append((ids[i], ids[j]))
     return links
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; links are of `percent` or more."""
     spark = df.sparkSession
     checkpoint_ready(spark)
     kind = df.schema[doc_id].dataType.simpleString()
-    drawn = sketches_of(df, doc_id, text).checkpoint()
+    drawn = sketches_of(df, doc_id, text, percent).checkpoint()
     lead = drawn.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = lead.select("rep", F.explode("bands").alias("key"))
     least = keyed.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("least"), F.count("rep").alias("n")).filter("n > 1").drop("n")
@@ -178,7 +210,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         group = group.combine_chunks()
         batches = group.select(["node", "text"]).to_batches()
         sets = [s for b in batches for part in _arrow.slices(b, 1) for s in shingle_sets(part.column(1))]
-        found = forest(group["node"].to_pylist(), sets)
+        found = forest(group["node"].to_pylist(), sets, percent)
         names = group.schema.field("node").type
         return pa.table({"u": pa.array([a for a, _ in found], names), "v": pa.array([b for _, b in found], names)})
 
@@ -194,10 +226,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each class, that of the least doc_id, with the columns it had; rows without doc_id all stay."""
     key, rows = fresh(df, "kept", "rows")
-    kept = classes(df, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
+    kept = classes(df, doc_id, text, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
     kept = kept.groupBy(key).agg(F.count(F.lit(1)).alias(rows)).checkpoint()
     size = kept.agg(F.count(key).alias("n"), F.max(rows).alias("most")).first()
     side = F.broadcast(kept) if size["n"] <= BROADCAST_IDS else kept

@@ -305,6 +305,20 @@ def test_media_query(spark):
 # ---- pipeline
 
 
+def test_near_duplicates_at_eighty_per_cent(spark, monkeypatch):
+    # copies with a word changed in every 25 to 60
+    rows, words = [], [f"w{i}" for i in range(300)]
+    for k in range(40):
+        base = [f"{w}x{k}" for w in words]
+        for copy, gap in enumerate([0, 50, 40, 60, 25]):
+            rows.append((k * 10 + copy, " ".join(f"v{copy}" if gap and i % gap == gap // 2 else w for i, w in enumerate(base))))
+    kept = {r["doc_id"] for r in near_dedup.keep_one(documents(spark, rows), percent=80).collect()}
+    tight = {i for i, c in plain_classes(rows).items() if i == c}
+    monkeypatch.setattr(near_dedup, "PERCENT", 80)
+    want = {i for i, c in plain_classes(rows).items() if i == c}
+    assert kept == want and len(want) < len(tight)
+
+
 def test_pipeline_against_plain_stages(spark):
     import corpus_pipeline
     from tesserae.llm import language, quality
