@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or between two languages, go."""
+    """Documents without a letter, in no learned language, or in several, go."""
     return language.keep_known(docs)
 
 

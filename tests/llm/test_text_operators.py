@@ -222,6 +222,20 @@ def test_language_sample_goes_by_distinct_texts(spark):
     assert 140 < len(counts["en"]) < 260 and len(counts["fr"]) == 50
 
 
+def test_mixed_and_unknown_languages_go(spark):
+    random.seed(3)
+    made = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IN ('en', 'fr', 'de')").select("text", "lang").distinct().collect()
+    by = {k: sorted(r["text"] for r in made if r["lang"] == k and 80 <= len(r["text"].split()) <= 400)[:60] for k in ("en", "fr", "de")}
+    rows = [(t, k, "clean") for k in ("en", "fr") for t in by[k]]
+    rows += [(" ".join(a.split()[:40] + b.split()[:40]), None, "mixed") for a, b in zip(by["en"], by["fr"])]
+    rows += [(t, None, "unknown") for t in by["de"]]
+    rows += [(" ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(90)), None, "junk") for _ in range(20)]
+    df = spark.createDataFrame(rows, "text string, lang string, kind string")
+    kept, total = Counter(r["kind"] for r in language.keep_known(df).collect()), Counter(r[2] for r in rows)
+    assert all(total[k] >= 10 for k in ("clean", "mixed", "unknown", "junk"))
+    assert kept["clean"] >= 0.98 * total["clean"] and kept["unknown"] == kept["junk"] == 0 and kept["mixed"] <= 0.1 * total["mixed"]
+
+
 def test_lm_scores(docs, nothing):
     texts = [(r["doc_id"], WORD.findall((r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) for r in docs.collect()]
     one, two = Counter(), Counter()
