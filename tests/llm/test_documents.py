@@ -339,3 +339,33 @@ def test_pipeline_against_plain_stages(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in packed} == {i for i, c in classes.items() if i == c}
     assert language.UNKNOWN == "und" and isinstance(pa.__version__, str)
+
+
+# ---- what is read back through the loss mask
+
+
+def mask_rows(spark):
+    rows = [(1, 0, "user", "a<"), (1, 1, "assistant", "x<|im_end|>\\"), (1, 2, "assistant", "|y"), (1, 3, "user", None), (2, 0, "user", "no answer"), (3, 0, "assistant", ""), (3, 1, "assistant", "é😀<\\|z")]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+@pytest.mark.parametrize("runs", [512, 2])
+def test_loss_comes_through_the_mask(spark, monkeypatch, runs):
+    monkeypatch.setattr(chat, "CHUNK_RUNS", runs)
+    made = chat.format_chats(mask_rows(spark))
+    want = {1: "x<|im_end|>\\|y", 2: "", 3: "é😀<\\|z"}
+    got = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.digests(made).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in want.items()}
+    # a wrong mask shows
+    moved = made.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(m["length"].alias("length"), (~m["trained"]).alias("trained"))))
+    other = {r["conv_id"]: r["loss_sha256"] for r in chat.digests(moved).collect()}
+    assert all(other[k] != got[k][1] for k in want)
+    assert "trained" in chat.digests(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert chat.digests(made.limit(0)).count() == 0
+
+
+def test_very_long_conversation_is_read_back(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<|"), "id").alias("text"))
+    row = chat.digests(chat.format_chats(df)).first()
+    loss = "".join(f"t<|{i}" for i in range(1, 20_000, 2))
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (20_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
