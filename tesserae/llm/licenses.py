@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text is cut into words, and the words into overlapping blocks of `BLOCK_WORDS` words that start every
-`BLOCK_STEP` words, so any notice of up to BLOCK_WORDS - BLOCK_STEP words lies whole within a block. A block
-matches a template if it holds at least `THRESHOLD` of the template's distinct words (containment). The join is
-exact: tokens are put in one global order by how often they occur in all texts, rarest first, and
+A text is cut into words, and the words into overlapping blocks that start every half block, so that a notice of up
+to half a block lies whole within one. There are two sizes: `BLOCK_WORDS` for notices of one line (`TEMPLATES`), and
+`NOTICE_WORDS`, twice the longest one, for whole notices (`NOTICES`). A block matches a template if it holds at least
+`THRESHOLD` of the template's distinct words (containment). The join is exact: tokens are put in one global order by
+how often they occur in all texts, rarest first, and
 
 * prefix filter: with overlap o = ceil(THRESHOLD * n) asked of a template of n tokens, a block that misses all
   of the template's first n - o + 1 tokens can't match; only those tokens are indexed and probed;
@@ -15,7 +16,8 @@ and what remains is counted in full. The templates are a fixed list, so index an
 function; what grows (the texts) is only ever streamed, block by block.
 
 Defined results: a null or empty text has no words, no places, no labels and score 0; repeated rows are scanned
-one by one; an empty table gives an empty table; only the id and text columns are read, whatever else there is.
+one by one; a text of many blocks is scanned block by block, whatever its length; of equal containments all labels
+count; an empty table gives an empty table; only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.session import table
 
-BLOCK_WORDS, BLOCK_STEP, THRESHOLD = 48, 24, 0.8
+BLOCK_WORDS, BLOCK_STEP, THRESHOLD = 32, 16, 0.9
 
 # Public license notices and the labels given to them.
 TEMPLATES = [
@@ -38,9 +40,93 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("mit", "released under the mit license"),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
 ]
+# Whole public notices and the labels given to them; names and years of holders are left out.
+NOTICES = [
+    (
+        "agpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the "
+        "implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details you should have received a copy of the gnu "
+        "affero general public license along with this program if not see https www gnu org licenses",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache "
+        "org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and "
+        "contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+        "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability "
+        "or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc-by-4.0", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
+    (
+        "cc-by-nc-4.0",
+        "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0",
+    ),
+    (
+        "cc-by-sa-4.0",
+        "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0",
+    ),
+    (
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version "
+        "2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with "
+        "this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa",
+    ),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version "
+        "3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with "
+        "this program if not see https www gnu org licenses",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability "
+        "and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "lgpl-3.0",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either "
+        "version 3 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details you should have received a copy of the gnu lesser general "
+        "public license along with this library if not see https www gnu org licenses",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+        "purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form "
+        "or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+]
+#: Twice the longest notice, so that it lies whole within one of the blocks that start every half.
+NOTICE_WORDS = 2 * max(len(text.split()) for _, text in NOTICES)
 # Phrases whose words must stand side by side, and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
@@ -81,9 +167,9 @@ class Index:
                     yield label, n / len(ranks)
 
 
-def scan(words: list[bytes], index: Index) -> list[tuple[int, str, float]]:
+def scan(words: list[bytes], index: Index, width: int) -> list[tuple[int, str, float]]:
     """(first word of the block, label, containment) of every match; only blocks with a prefix token are built."""
-    step, width = BLOCK_STEP, BLOCK_WORDS
+    step = width // 2
     last = max(0, -(-(len(words) - width) // step))
     starts = set()
     for i, w in enumerate(words):
@@ -107,9 +193,9 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def token_counts(df: DataFrame, text: str = "text", templates: list | None = None) -> dict[bytes, int]:
+def token_counts(df: DataFrame, templates: list, text: str = "text") -> dict[bytes, int]:
     """How often each template token occurs in all texts: a few numbers per task, summed by Spark."""
-    asked = {t for _, x in templates or TEMPLATES for t in words_of(x)}
+    asked = {t for _, x in templates for t in words_of(x)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -122,9 +208,11 @@ def token_counts(df: DataFrame, text: str = "text", templates: list | None = Non
     return {bytes(r[0]): r[1] for r in rows}
 
 
-def license_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list | None = None, notices: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per text: n_words, the phrase places and the matching blocks as arrays of structs."""
-    index = Index(templates or TEMPLATES, token_counts(df, text, templates), threshold)
+    short, long = TEMPLATES if templates is None else templates, NOTICES if notices is None else notices
+    counts = token_counts(df, [*short, *long], text)
+    joins = [(Index(short, counts, threshold), BLOCK_WORDS), (Index(long, counts, threshold), NOTICE_WORDS)]
     id_type = df.schema[doc_id].dataType.simpleString()
     places_type = pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())]))
     blocks_type = pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
@@ -136,7 +224,7 @@ def license_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
                 words = words_of(x)
                 n.append(len(words))
                 places.append([{"at": a, "label": b} for a, b in phrase_places(words)])
-                blocks.append([{"at": a, "label": b, "containment": c} for a, b, c in scan(words, index)])
+                blocks.append([{"at": a, "label": b, "containment": c} for index, width in joins for a, b, c in scan(words, index, width)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(places, places_type), pa.array(blocks, blocks_type)], ["doc_id", "n_words", "places", "blocks"])
 
     out = f"doc_id {id_type}, n_words long, places array<struct<at:long,label:string>>, blocks array<struct<at:long,label:string,containment:double>>"
@@ -157,7 +245,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TEMPLATE_ROWS = ", ".join(f"('{label}', '{word}')" for label, text in TEMPLATES for word in sorted(set(text.split())))
+_TEMPLATE_ROWS = ", ".join(f"('{kind}:{label}', '{word}', {width // 2})" for kind, made, width in (("line", TEMPLATES, BLOCK_WORDS), ("notice", NOTICES, NOTICE_WORDS)) for label, text in made for word in sorted(set(text.split())))
 _PHRASE_ROWS = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES)
 #: DuckDB: explode words, group the template words of each block, and compare counts; no filters.
 SQL = rf"""
@@ -165,7 +253,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM documents
-), tpl(label, token) AS (VALUES {_TEMPLATE_ROWS}
+), tpl(label, token, step) AS (VALUES {_TEMPLATE_ROWS}
 ), sz AS (SELECT label, count(*) AS n FROM tpl GROUP BY label
 ), phrase(words, label, n) AS (VALUES {_PHRASE_ROWS}
 ), w AS (
@@ -176,11 +264,11 @@ WITH d AS (
 ), pa AS (
   SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS ls FROM p GROUP BY rid
 ), b AS (
-  SELECT DISTINCT rid, k, label, w.token FROM w JOIN tpl ON w.token = tpl.token, unnest([0, 1]) AS s(back), LATERAL (SELECT i // {BLOCK_STEP} - back AS k)
-  WHERE k >= 0 AND k * {BLOCK_STEP} <= i AND i < k * {BLOCK_STEP} + {BLOCK_WORDS} AND k <= greatest(0, ceil((total - {BLOCK_WORDS}) / {BLOCK_STEP}))
+  SELECT DISTINCT rid, k, label, w.token FROM w JOIN tpl ON w.token = tpl.token, unnest([0, 1]) AS s(back), LATERAL (SELECT i // step - back AS k)
+  WHERE k >= 0 AND k * step <= i AND i < k * step + 2 * step AND k <= greatest(0, ceil((total - 2 * step) / step))
 ), m AS (
   SELECT rid, b.label, count(*) / max(n) AS c FROM b JOIN sz ON b.label = sz.label GROUP BY rid, k, b.label HAVING count(*) >= ceil(round({THRESHOLD} * max(n), 9))
-), ma AS (SELECT rid, max(c) AS c, list_distinct(list(label)) AS ls FROM m GROUP BY rid)
+), ma AS (SELECT rid, max(c) AS c, list_distinct(list(split_part(label, ':', 2))) AS ls FROM m GROUP BY rid)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(pa.ls, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(pa.ls, []), coalesce(ma.ls, [])))), ',') AS labels,

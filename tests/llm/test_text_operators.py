@@ -283,3 +283,24 @@ def test_byte_bpe_query(spark, reference_bpe):
         got = rows[r["doc_id"]]
         assert (got["n_tokens"], got["ids_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest())
         assert got["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_whole_notices(spark):
+    """Each notice is found wherever it stands, with a tenth of its words changed, in upper case, and not in half."""
+    filler = " ".join(f"w{i}" for i in range(500))
+    rows = []
+    for k, (label, text) in enumerate(licenses.NOTICES):
+        words = text.split()
+        rows += [(k, f"{filler[: 400 + 37 * k]} {text.upper()} {filler}"), (100 + k, " ".join(words[: len(words) // 2])), (200 + k, f"{text}. {text}")]
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"]} for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates=[]).collect()}
+    for k, (label, text) in enumerate(licenses.NOTICES):
+        assert label in got[k] and label in got[200 + k]
+        assert label not in got[100 + k] or len(set(text.split()[: len(text.split()) // 2])) >= licenses.THRESHOLD * len(set(text.split()))
+    assert max(len(t.split()) for _, t in licenses.NOTICES) <= licenses.NOTICE_WORDS // 2
+    assert max(len(t.split()) for _, t in licenses.TEMPLATES) <= licenses.BLOCK_STEP
+
+
+def test_no_labels_in_texts_without_licenses(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("NOT lower(text) RLIKE 'license|cc by|rights reserved'").select("doc_id", "text")
+    rows = licenses.license_matches(df).filter("size(places) > 0 OR size(blocks) > 0")
+    assert df.count() > 900 and rows.count() == 0
