@@ -2,8 +2,12 @@
 
 A large star links each node's larger neighbours to the least node of its neighbourhood, a small star its smaller
 ones; rounds repeat until the edges stay the same, which takes about log of the longest path. Every round is cut
-off by a checkpoint in the shared folder, so that lost executors cost no more than a round. The joins are plain
-ones on a node, which Spark splits where one node holds many edges.
+off by a checkpoint in the shared folder, so that lost executors cost no more than a round. A node with a large share
+of all edges (a hub, and every large component ends as one) would be one task of a plain join: `with_least` deals
+its edges out.
+
+Defined results: edges from a node to itself and edges with a null end are left out; repeated edges count once; no
+edges give no rows. Node ids may be of any type that orders.
 """
 
 from __future__ import annotations
@@ -13,6 +17,24 @@ from pyspark.sql import functions as F
 
 from tesserae.session import checkpoint_ready
 
+#: A key of more rows than this, and than this share of all rows, is dealt out; so there are at most MOST_HOT such keys.
+LEAST_HOT, MOST_HOT = 256, 10_000
+
+
+def with_least(pairs: DataFrame, key: str, value: str, total: int, n: int = 1) -> DataFrame:
+    """(key, value, least): the pairs of keys with n pairs or more, and the least value of their key.
+
+    total: the number of pairs, or more. A hot key's pairs go to as many places as they fill, and its least value to
+    each of them. Hot keys are broadcast: each holds more than one in MOST_HOT of all pairs, so they are at most that many.
+    """
+    size = max(LEAST_HOT, total // MOST_HOT)
+    low = pairs.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("least"), F.count(value).alias("__n")).filter(F.col("__n") >= n)
+    parts = F.ceil(F.col("__n") / size).cast("int")
+    hot = low.filter(F.col("__n") > size).select(F.col("__key").alias("__hot"), parts.alias("__parts"))
+    dealt = pairs.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__at", F.coalesce(F.pmod(F.xxhash64(value), F.col("__parts")).cast("int"), F.lit(0)))
+    spread = low.select("__key", "least", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__place"))
+    return dealt.join(spread, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__place"))).select(key, value, "least")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v) but the least of each component; component is that least node."""
@@ -21,11 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        joined = large.join(least, F.col("u") == F.col("w"))
-        small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
+        large = with_least(both, "u", "v", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+        joined = with_least(large, "u", "v", state[0])
+        small = joined.filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(joined.select("u", F.col("least").alias("v"))).distinct()
         now = small.checkpoint()
         before, state = state, mark(now)
         if state == before:

@@ -12,7 +12,8 @@ at most `MISS`, and a member of a larger class must be missed by
 all its links.
 
 Steps. (1) Equal sets are one class from the start; only its least doc_id goes on. (2) Within each band key every
-document is tied to the least one: a tie, not yet a link, and linear in the key's size. (3) Components of the ties
+document is tied to the least one: a tie, not yet a link, and linear in the key's size; keys that many documents
+share are dealt out (`components.with_least`). (3) Components of the ties
 hold all linked pairs. Each is cut in blocks of about `BLOCK` documents, and each pair of blocks is one group of
 bounded size, which gets the full texts, tests pairs that are not connected yet on their full sets (most alike
 sketches first) and returns a spanning forest of links, never all pairs. (4) Components of the forests are
@@ -39,15 +40,15 @@ from pyspark.sql import functions as F
 from tesserae.llm import _arrow
 from tesserae.llm._arrow import mix
 from tesserae.llm._names import fresh
-from tesserae.llm.components import components
+from tesserae.llm.components import components, with_least
 from tesserae.session import checkpoint_ready, table
 
 SHINGLE, PERCENT = 5, 85
 #: A link of exactly the asked similarity may be missed with this probability.
 MISS = 2.5e-7
 BLOCK = 1024
-#: Ids of documents that may have a partner are broadcast up to this many (8 bytes each), and shuffled beyond.
-BROADCAST_IDS = 1_000_000
+#: Ids of documents that may have a partner are broadcast up to this many bytes, and shuffled beyond.
+BROADCAST_BYTES = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -186,6 +187,13 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> li
     return links
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Broadcast a table whose bytes were counted; a larger one is joined by shuffling."""
+    wide = [F.octet_length(F.col(c).cast("string")) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.agg(F.coalesce(F.sum(sum(wide, F.lit(16 + 16 * len(df.columns)))), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are of `percent` or more."""
     spark = df.sparkSession
@@ -194,14 +202,12 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     drawn = sketches_of(df, doc_id, text, percent).checkpoint()
     lead = drawn.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = lead.select("rep", F.explode("bands").alias("key"))
-    least = keyed.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("least"), F.count("rep").alias("n")).filter("n > 1").drop("n")
-    ties = keyed.join(least, F.col("key") == F.col("k")).filter("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    ties = with_least(keyed, "key", "rep", Plan(percent).bands * drawn.count(), 2).filter("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     tied = components(ties)
     tied = tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct())
     sizes = tied.groupBy(F.col("component").alias("c")).agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("blocks"))
     members = tied.join(sizes, F.col("component") == F.col("c")).select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")).checkpoint()
-    side = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    texts = df.select(F.col(doc_id).alias("__nd_id"), F.col(text).alias("text")).join(side, F.col("__nd_id") == F.col("node")).select("node", "component", "blocks", "mine", "text")
+    texts = df.select(F.col(doc_id).alias("__nd_id"), F.col(text).alias("text")).join(narrow(members), F.col("__nd_id") == F.col("node")).select("node", "component", "blocks", "mine", "text")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "text"
     )
@@ -231,10 +237,9 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     key, rows = fresh(df, "kept", "rows")
     kept = classes(df, doc_id, text, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
     kept = kept.groupBy(key).agg(F.count(F.lit(1)).alias(rows)).checkpoint()
-    size = kept.agg(F.count(key).alias("n"), F.max(rows).alias("most")).first()
-    side = F.broadcast(kept) if size["n"] <= BROADCAST_IDS else kept
-    found = df.join(side, F.col(doc_id) == F.col(key))
-    if (size["most"] or 0) > 1:  # only rows that repeat a doc_id need to be brought together
+    most = kept.agg(F.max(rows)).first()[0] or 0
+    found = df.join(narrow(kept), F.col(doc_id) == F.col(key))
+    if most > 1:  # only rows that repeat a doc_id need to be brought together
         found = found.filter(F.col(rows) == 1).unionByName(found.filter(F.col(rows) > 1).dropDuplicates([doc_id]))
     return found.drop(key, rows).unionByName(df.filter(F.col(doc_id).isNull()))
 

@@ -20,12 +20,14 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +71,15 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def pieces_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt) of every piece; salt differs between rows of one doc_id."""
+    """(doc_id, piece, start, length, ids_crc32, salt) of every piece; salt numbers rows of equal doc_id and text in a task.
+
+    Equal rows can change places, so a task that runs again on the same rows in another order yields the same pieces.
+    """
     path = path or vocabulary_path()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, row = word_encoder(path), 0
+        tool, met = word_encoder(path), Counter()
         for batch in batches:
             for part in _arrow.slices(batch, 1):
                 ids, ends = tool.encode(part.column(1))
@@ -93,11 +98,15 @@ def pieces_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacit
                 size = np.minimum(lengths[owner] - start, capacity)
                 at = bounds[owner] + start
                 raw = memoryview(whole.tobytes())
+                salt = np.zeros(n, np.int64)
+                for i, name in enumerate(part.column(0).to_pylist()):
+                    row = xxhash.xxh3_64_intdigest(raw[4 * bounds[i] : 4 * bounds[i + 1]], xxhash.xxh3_64_intdigest(repr(name)))
+                    salt[i] = met[row]
+                    met[row] += 1
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + size).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(row + owner, pa.int64())], names
+                    [part.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt[owner], pa.int64())], names
                 )
-                row += n
         tool.memo.clear()
         _arrow.release()
 
@@ -328,7 +337,7 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     """One row per piece with its sequence and its place there."""
     shards = max(1, -(-df.count() // shard_docs))
     pieces = pieces_of(df, doc_id, text, capacity, path)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(shards)))
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:

@@ -369,3 +369,89 @@ def test_very_long_conversation_is_read_back(spark):
     row = chat.digests(chat.format_chats(df)).first()
     loss = "".join(f"t<|{i}" for i in range(1, 20_000, 2))
     assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (20_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+# ---- row order, hot keys, whole queries
+
+
+def packed_as(df, **kw):
+    bins = defaultdict(list)
+    for r in packing.pack_documents(df, **kw).collect():
+        bins[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["ids_crc32"]))
+    return sorted(sorted(b) for b in bins.values())
+
+
+def test_packing_does_not_depend_on_row_order(spark):
+    random.seed(9)
+    rows = [(i % 50, "the cat sat " * (i % 37)) for i in range(500)] + [(7, "same text")] * 60 + [(None, None)] * 9
+    pieces = lambda df: Counter(map(tuple, packing.pieces_of(df).collect()))
+    one, other = (spark.createDataFrame(random.sample(rows, len(rows)), "doc_id long, text string").coalesce(1) for _ in range(2))
+    assert pieces(one) == pieces(other)
+    assert packed_as(one, shard_docs=100) == packed_as(other, shard_docs=100)
+
+
+def test_best_fit_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    tokenizer.encode_special_tokens = True
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[r["doc_id"], k // 4096, k, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))] += 1
+    rows = queries.QUERIES["op8_best_fit_packing"](spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 4096
+    # no fewer sequences can hold so many tokens
+    assert len(bins) <= -(-sum(r["length"] for r in rows) // 4096) + 1
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HOT", 8)
+    random.seed(6)
+    edges = [(0, k) for k in range(1, 400)] + [(500 + k, 500 + random.randrange(k)) for k in range(1, 200)] + [(None, 3), (3, None), (900, 900)] + [(0, 1)] * 50
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["component"] for r in components.components(df).collect()}
+    assert got == {k: 0 for k in range(1, 400)} | {k: 500 for k in range(501, 700)}
+    pairs = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(99, 5)], "k long, v long"))
+    rows = components.with_least(pairs, "k", "v", 1001, 2).collect()
+    assert len(rows) == 1000 and all(r["least"] == r["k"] for r in rows)
+
+
+def test_media_fields(spark):
+    """media_bytes and media_sha256 are of a file from which a plain reader gets the payload; equal texts have equal features."""
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows, seen = queries.QUERIES["op10_media_columns"](spark, SF).collect(), {}
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        payload = raw + b" " * (192 if not raw else -len(raw) % 192)
+        file = media.write_avi(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        assert seen.setdefault(raw, r["feature"]) == r["feature"] and r["feature"]
+
+
+EDGES = [(1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", None, None, None), (None, "no id at all " * 30, "en", "s", 1), (3, "x" * 300_000, "en", "s", 2), (4, "word " * 50_000, None, "s", 3), (5, "12 34 " * 40, "fr", "s", 4)]
+
+
+def test_pipeline_stages_take_what_comes(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, no labels, no rows, and columns that clash."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame(EDGES, docs.schema)
+    for name, df in {"odd": docs.unionByName(odd).unionByName(docs.limit(20)), "only odd": odd, "none": docs.limit(0), "no labels": docs.withColumn("lang", F.lit(None).cast("string")), "clash": docs.withColumns({c: F.lit(1) for c in ("__kept", "node", "component", "shard", "class")})}.items():
+        for k, (stage, step) in enumerate(corpus_pipeline.STAGES):
+            out = step(spark, df, SF)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == df.columns, (name, stage)
+                out.write.parquet(str(tmp_path / f"{name}{k}"))
+                before, df = df, spark.read.parquet(str(tmp_path / f"{name}{k}"))
+                assert df.exceptAll(before).isEmpty(), (name, stage)  # rows go or stay, and never change
+            else:
+                assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in df.collect()}

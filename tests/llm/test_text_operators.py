@@ -304,3 +304,115 @@ def test_no_labels_in_texts_without_licenses(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("NOT lower(text) RLIKE 'license|cc by|rights reserved'").select("doc_id", "text")
     rows = licenses.license_matches(df).filter("size(places) > 0 OR size(blocks) > 0")
     assert df.count() > 900 and rows.count() == 0
+
+
+def bounded_greedy(vocabulary, word, longest=64):
+    """`greedy` for long words: no longer slices than the longest piece."""
+    at = n = 0
+    while at < len(word):
+        mark = "▁" if at == n == 0 else ""
+        to = next((j for j in range(min(len(word), at + longest), at, -1) if mark + word[at:j] in vocabulary), None)
+        if to is None:
+            if mark and mark in vocabulary:
+                n = 1
+                continue
+            return 0
+        at, n = to, n + 1
+    return n
+
+
+def test_token_counts_query(spark):
+    """The query over a whole table against a split word by word, long words and their numbers included."""
+    vocabulary = set(token_counts.pieces(token_counts.vocabulary_path()))
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op4_token_counts"](spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    known = {}
+    assert max(map(len, vocabulary)) <= 64
+    for r in docs:
+        words = WORD.findall(r["text"] or "")
+        counts = [known[w] if w in known else known.setdefault(w, bounded_greedy(vocabulary, w)) for w in words]
+        got = rows[r["doc_id"]]
+        assert (got["n_words"], got["n_tokens"], got["n_unknown"]) == (len(words), sum(max(1, c) for c in counts), counts.count(0))
+    assert len(rows) == len(docs)
+
+
+def test_very_long_words_are_counted_whole(spark):
+    vocabulary = set(token_counts.pieces(token_counts.vocabulary_path()))
+    texts = ["supercalifragilistic" * 60, "ab" * 700 + "é", "x" * 3001, "a" * 900 + " b"]
+    rows = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        counts = [bounded_greedy(vocabulary, w) for w in WORD.findall(texts[r["doc_id"]])]
+        assert (r["n_tokens"], r["n_unknown"]) == (sum(max(1, c) for c in counts), counts.count(0))
+
+
+def segmentations(word, place):
+    """Every way to cut a word into known pieces, one by one."""
+    if not word:
+        yield []
+    for n in range(1, min(language.PIECE_BYTES, len(word)) + 1):
+        if (key := int.from_bytes(b"\1" + word[:n], "big")) in place:
+            for rest in segmentations(word[n:], place):
+                yield [place[key], *rest]
+
+
+def test_scores_and_fit_equal_an_enumeration():
+    path = language.vocabulary_path()
+    counts = {"a": {b" abca": 3, b" cab": 2}, "b": {b" bb": 5, b" ccab": 1}}
+    place = {k: i for i, k in enumerate(language.piece_keys(path).tolist())}
+    # one round of expectation maximisation over listed segmentations
+    for language_name, words in counts.items():
+        used, start = Counter(), 1 / len(place)
+        for word, n in words.items():
+            ways = [(w, start ** len(w)) for w in segmentations(word, place)]
+            whole = sum(p for _, p in ways)
+            for w, p in ways:
+                for piece in w:
+                    used[piece] += n * p / whole
+        total = sum(used.values()) + language.SMOOTHING * len(place)
+        got = language.fit({language_name: words}, path, rounds=1).prob[:-1, 0]
+        want = [(used[i] + language.SMOOTHING) / total for i in range(len(place))]
+        assert got == pytest.approx(want)
+    model = language.fit(counts, path)
+    for word in (b" abca", b" bbcc", b" cabcab", " né".encode(), b" zq"):
+        for k in range(2):
+            want = math.log(sum(math.prod(model.prob[i, k] for i in w) for w in segmentations(word, place)))
+            assert model.score_words([word])[0, k] == pytest.approx(want)
+
+
+def test_language_query_against_plain_predictions(spark):
+    """Predictions of the query, each word's segmentations summed in plain Python with the model that its rows give."""
+    import zlib
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = language.train(docs.filter(~language.held_out(docs["doc_id"])))
+    place = {k: i for i, k in enumerate(model.keys.tolist())}
+    known = {}
+
+    def log(word):
+        if word not in known:
+            sums = [[1.0] * len(model.languages)]
+            for end in range(1, len(word) + 1):
+                parts = [(s, place.get(int.from_bytes(b"\1" + word[s:end], "big"))) for s in range(max(0, end - language.PIECE_BYTES), end)]
+                sums.append([sum(sums[s][k] * model.prob[i, k] for s, i in parts if i is not None) for k in range(len(model.languages))])
+            known[word] = [math.log(x) for x in sums[-1]]
+        return known[word]
+
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op5_language_id"](spark, d).collect()}
+    asked = docs.filter("length(text) < 3000").limit(60).collect()
+    for r in asked:
+        words = re.findall(rb"[a-z\x80-\xff]+", (r["text"] or "").lower().encode())
+        got = rows[r["doc_id"]]
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+            continue
+        logs = [sum(x) for x in zip(*(log(b" " + w) for w in words))]
+        assert got["lang_pred"] == model.languages[logs.index(max(logs))]
+        assert got["score"] == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs), abs=1e-6)
+    assert len(asked) > 40
+
+
+def test_unlabelled_texts_stay(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language.keep_known(df).collect()] == [1]
