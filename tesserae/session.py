@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,11 +40,13 @@ def reachable(spark: SparkSession) -> None:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Give the session a checkpoint folder: the one the cluster names, or a local one where none is named."""
+    """Give the session a checkpoint folder: the one the cluster names; where none is named, a local one, on one machine only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if named is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="tesserae-checkpoint-")
