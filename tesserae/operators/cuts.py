@@ -76,9 +76,10 @@ def seam_cuts(type_edges: DataFrame, clean_roots: DataFrame, tainted: DataFrame)
     return facts.groupBy("project").applyInPandas(cut, "project string, src string, dst string, members long")
 
 
-def seam_score(friendly: Column, callers: Column, articulates: Column) -> Column:
-    """Friendly share, less for many callers, and less unless the boundary alone parts clean from tainted types."""
-    return F.bround(friendly / (1 + 0.1 * (callers - 1)) * F.when(articulates, 1.0).otherwise(0.8), 2)
+def seam_score(friendly: Column, members: Column, articulates: Column) -> Column:
+    """Friendly share (1 for no members), less for many members, and less unless the boundary alone parts clean from tainted types."""
+    share = F.when(members == 0, F.lit(1.0)).otherwise(friendly)
+    return F.bround(share / (1 + 0.1 * F.greatest(members - 1, F.lit(0))) * F.when(articulates, 1.0).otherwise(0.8), 2)
 
 
 def articulates(edges: DataFrame, boundary, clean_roots: DataFrame, tainted: DataFrame) -> bool:

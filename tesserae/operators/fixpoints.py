@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.graph import MAX_ROUNDS, closure, reached_set, reverse
+from tesserae.operators.graph import closure, gathered, reached_set, reverse
 from tesserae.operators.relational import first_per_key
 from tesserae.session import checkpoint_ready
 
@@ -49,15 +49,13 @@ def extended(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> Da
     """(node, distance) of all that seeds reach within depth steps: subtypes of serialized types, payload members."""
     checkpoint_ready(seeds.sparkSession)
     new = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("distance", F.lit(0)).checkpoint()
-    total, level = new, 0
+    parts, level = [new], 0
     while not new.isEmpty() and (depth is None or level < depth):
         level += 1
-        if level > MAX_ROUNDS:
-            raise RuntimeError("the extension does not end")
         step = new.select(F.col("node").alias("a")).join(edges, F.col("a") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = step.join(total.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti").withColumn("distance", F.lit(level)).checkpoint()
-        total = total.unionByName(new)
-    return total
+        new = step.join(gathered(parts).select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti").withColumn("distance", F.lit(level)).checkpoint()
+        parts.append(new)
+    return gathered(parts)
 
 
 def self_reaching(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

@@ -2,15 +2,17 @@
 
 Two forms of the closure agree. Edge lists of up to `LOCAL_EDGES` rows (the size is checked) travel to every task as
 an adjacency, and start nodes are walked in parallel; longer ones go through a semi-naive loop of joins whose rounds
-are checkpointed. Everything else is joins over reach pairs. Inherently sequential orders and paths (`leaf_first`,
+are checkpointed. Readiness, waves and components make no pairs: one pass over the components of a graph within the
+bound, values carried along edges in rounds of joins beyond it. Inherently sequential orders and paths (`leaf_first`,
 `cycle_path`, `shortest_path`) run on the driver and refuse graphs beyond the bound.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 from tesserae.session import checkpoint_ready
 
 #: Most edges that are sent to tasks or walked on the driver; two ids to an edge.
-LOCAL_EDGES = 2_000_000
-#: Rounds after which a loop gives up instead of running on.
-MAX_ROUNDS = 1_000
+LOCAL_EDGES = 500_000
+#: Rounds of a loop whose results are kept apart before they are put together; rounds end by themselves.
+APART = 16
 
 
 def plain(edges: DataFrame) -> DataFrame:
@@ -30,15 +32,22 @@ def plain(edges: DataFrame) -> DataFrame:
 
 def local_edges(edges: DataFrame, limit: int = LOCAL_EDGES) -> dict | None:
     """The adjacency, neighbours in order; None if there are more edges than the limit."""
-    rows = edges.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = edges.select("src", "dst").limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return None
     out = defaultdict(list)
-    for s, d in sorted((r["src"], r["dst"]) for r in rows):
+    for s, d in sorted(zip(rows["src"].to_pylist(), rows["dst"].to_pylist())):
         out[s].append(d)
     return dict(out)
 
 
+def gathered(parts: list[DataFrame]) -> DataFrame:
+    """All parts as one; from time to time they are put together, so that neither plans nor rewriting grow with the rounds."""
+    if len(parts) > APART:
+        parts[:] = [reduce(DataFrame.unionByName, parts).checkpoint()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def walk(start, adjacency: dict, depth: int | None = None) -> list:
     """Nodes within `depth` steps, start first, in the order of a breadth-first search."""
     seen, level = {start: None}, [start]
@@ -81,16 +90,14 @@ def closure_by_joins(edges: DataFrame, starts: DataFrame, depth: int | None = No
     steps = plain(edges).select(F.col("src").alias("mid"), F.col("dst").alias("to")).checkpoint()
     begun = starts.select(F.col(starts.columns[0]).alias("src")).distinct()
     new = begun.join(steps, F.col("src") == F.col("mid")).select("src", F.col("to").alias("dst")).filter("src != dst").distinct().checkpoint()
-    total, rounds = new, 1
+    parts, rounds = [new], 1
     while not new.isEmpty() and (depth is None or rounds < depth):
-        if rounds >= MAX_ROUNDS:
-            raise RuntimeError("the closure does not end")
-        known = total.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        known = gathered(parts).select(F.col("src").alias("a"), F.col("dst").alias("b"))
         found = new.join(steps, F.col("dst") == F.col("mid")).select("src", F.col("to").alias("dst")).filter("src != dst").distinct()
         new = found.join(known, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left_anti").checkpoint()
-        total = total.unionByName(new).checkpoint()
+        parts.append(new)
         rounds += 1
-    return total
+    return gathered(parts)
 
 
 def with_starts(reach: DataFrame, starts: DataFrame) -> DataFrame:
@@ -114,26 +121,75 @@ def reached_set(edges: DataFrame, seeds: DataFrame, local_limit: int = LOCAL_EDG
         return seeds.sparkSession.createDataFrame([(x,) for x in sorted(seen)], seeds.schema)
     checkpoint_ready(edges.sparkSession)
     steps = edges.select(F.col("src").alias("mid"), F.col("dst").alias("to")).checkpoint()
-    total = new = seeds.checkpoint()
-    for _ in range(MAX_ROUNDS):
-        if new.isEmpty():
-            return total
+    new = seeds.checkpoint()
+    parts = [new]
+    while not new.isEmpty():
         found = new.join(steps, F.col("node") == F.col("mid")).select(F.col("to").alias("node")).distinct()
-        new = found.join(total.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti").checkpoint()
-        total = total.unionByName(new).checkpoint()
-    raise RuntimeError("the walk does not end")
+        new = found.join(gathered(parts).select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti").checkpoint()
+        parts.append(new)
+    return gathered(parts)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def scc(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(node, component): nodes that reach each other share their least node; single nodes without a loop are left out."""
-    reach = closure(edges) if reach is None else reach
-    back = reach.select(F.col("src").alias("b"), F.col("dst").alias("a"))
-    mutual = reach.join(back, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b"))).select("src", "dst")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component"))
+def scc(edges: DataFrame, local_limit: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component): nodes that reach each other share their least node; single nodes are left out. No pairs are made."""
+    edges = plain(edges).filter("src != dst")
+    adjacency = local_edges(edges, local_limit)
+    if adjacency is None:
+        return scc_by_colours(edges)
+    of = local_components(adjacency, set(adjacency))
+    size = Counter(of.values())
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(n, c) for n, c in of.items() if size[c] > 1], f"node {kind}, component {kind}")
+
+
+def spread(edges: DataFrame, state: DataFrame, least: list[str], most: list[str]) -> DataFrame:
+    """State (node, ...) with each value carried along edges (src, dst) to every node that src reaches, the least or the most of all.
+
+    Semi-naive: only nodes whose values got better send them on; a node's rows are aggregated before the shuffle.
+    """
+    checkpoint_ready(edges.sparkSession)
+    names = least + most
+    steps = edges.select(F.col("src").alias("mid"), F.col("dst").alias("to")).checkpoint()
+    merge = lambda df: df.groupBy("node").agg(*[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+    state = merge(state).checkpoint()
+    new = state
+    while not new.isEmpty():
+        sent = merge(new.join(steps, F.col("node") == F.col("mid")).select(F.col("to").alias("node"), *names))
+        old = state.select(F.col("node").alias("__o"), *[F.col(c).alias(f"__o_{c}") for c in names])
+        better = [F.col(f"__o_{c}").isNull() | ((F.col(c) < F.col(f"__o_{c}")) if c in least else (F.col(c) > F.col(f"__o_{c}"))) for c in names]
+        new = sent.join(old, F.col("node") == F.col("__o"), "left").filter(reduce(lambda x, y: x | y, better)).select("node", *names).checkpoint()
+        state = merge(state.unionByName(new)).checkpoint()
+    return state
+
+
+def scc_by_colours(edges: DataFrame) -> DataFrame:
+    """Components by trimming and colours, for graphs of any size.
+
+    Nodes without a way in or out are on no cycle and go. The rest take the least node that reaches them as colour; the
+    nodes of a colour that reach its own node are one component, which goes too; edges between colours go with it.
+    """
+    checkpoint_ready(edges.sparkSession)
+    rest, parts, n = edges.checkpoint(), [edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)], -1
+    while True:
+        while (now := rest.count()) != n:
+            n = now
+            ends, begins = rest.select(F.col("dst").alias("e")).distinct(), rest.select(F.col("src").alias("b")).distinct()
+            rest = rest.join(ends, F.col("src") == F.col("e"), "left_semi").join(begins, F.col("dst") == F.col("b"), "left_semi").checkpoint()
+        if not n:
+            return gathered(parts)
+        nodes = rest.select(F.col("src").alias("node")).distinct()
+        colour = spread(rest, nodes.withColumn("c", F.col("node")), ["c"], [])
+        one, two = (colour.select(F.col("node").alias(f"n{k}"), F.col("c").alias(f"c{k}")) for k in (1, 2))
+        inner = rest.join(one, F.col("src") == F.col("n1")).join(two, F.col("dst") == F.col("n2")).filter("c1 = c2").select("src", "dst").checkpoint()
+        found = reached_set(reverse(inner), colour.filter("node = c").select("node"), 0).join(colour.select(F.col("node").alias("m"), F.col("c").alias("component")), F.col("node") == F.col("m")).select("node", "component").checkpoint()
+        alone = found.groupBy(F.col("component").alias("a")).count().filter("count = 1").select("a")
+        parts.append(found.join(alone, F.col("component") == F.col("a"), "left_anti"))
+        gone = found.select(F.col("node").alias("g"))
+        rest, n = inner.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti").checkpoint(), -1
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -168,19 +224,99 @@ def used_edges(edges: DataFrame, modern_lists: DataFrame, modern_refs: DataFrame
     return listed.filter("kind != 'project' OR p IS NULL OR q IS NOT NULL").drop("p", "q", "t")
 
 
-def blockers(projects: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(id, blocker): framework-only projects among all that a project depends on."""
-    reach = closure(edges) if reach is None else reach
-    framework = projects.filter("framework_class = 'framework'").select(F.col("id").alias("blocker"))
-    known = projects.select("id")
-    return reach.join(framework, F.col("dst") == F.col("blocker")).join(known, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("id"), "blocker")
+def blockers(projects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, blocker): framework-only projects among all that a project depends on; only what these are needed by is walked."""
+    framework = projects.filter("framework_class = 'framework'").select("id")
+    known = projects.select(F.col("id").alias("__i"))
+    return closure(reverse(edges), framework).join(known, F.col("dst") == F.col("__i"), "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("blocker"))
 
 
-def readiness(projects: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def readiness(projects: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, readiness): blocked by a framework-only dependency, else ready if itself framework-only, else done."""
-    blocked = blockers(projects, edges, reach).select(F.col("id").alias("b")).distinct()
-    state = F.when(F.col("b").isNotNull(), "blocked").when(F.col("framework_class") == "framework", "ready").otherwise("done")
-    return projects.join(blocked, F.col("id") == F.col("b"), "left").select("id", state.alias("readiness"))
+    return standings(projects, edges).select("id", "readiness")
+
+
+def standings(projects: DataFrame, edges: DataFrame, whole: DataFrame | None = None, local_limit: int = LOCAL_EDGES) -> DataFrame:
+    """(id, readiness, wave), in time that grows with the edges: no pairs of projects are made.
+
+    A project is blocked if the least or the most framework-only project that it reaches is another one. Its wave is 0
+    if it is done, else one more than the latest wave among framework-only projects that it reaches outside its own
+    cycle; cycles are those of `whole`, by default of the edges themselves.
+    """
+    whole = edges if whole is None else whole
+    used, every = local_edges(plain(edges), local_limit), local_edges(plain(whole), local_limit)
+    if used is None or every is None or projects.count() > local_limit:
+        return standings_by_joins(projects, plain(edges), whole)
+    rows = projects.select("id", "framework_class").toArrow()
+    ids = rows["id"].to_pylist()
+    framework = {i for i, c in zip(ids, rows["framework_class"].to_pylist()) if c == "framework"}
+    kind = projects.schema["id"].dataType.simpleString()
+    found = local_standings(ids, framework, used, local_components(every, set(every)))
+    return projects.sparkSession.createDataFrame(found, f"id {kind}, readiness string, wave int")
+
+
+def local_standings(ids: list, framework: set, used: dict, cycle: dict) -> list[tuple]:
+    """One pass over the components of the used edges, what is needed first."""
+    of = local_components(used, set(used) | set(ids))
+    groups: dict = {}
+    for n, c in of.items():
+        groups.setdefault(c, []).append(n)
+    of_cycle = lambda n: cycle.get(n, n)
+    # by component: least and most framework-only project reached by an edge or more; latest waves reached beyond the own cycle, and in all
+    reach, beyond, within, state, wave = {}, {}, {}, {}, {}
+    for c in reversed(groups):
+        members = groups[c]
+        seen, far, near = [], 0, 0
+        for n in members:
+            for k in used.get(n, ()):
+                if k in framework:
+                    seen.append(k)
+                if of[k] == c:
+                    continue
+                seen += reach[of[k]]
+                if of_cycle(k) == of_cycle(n):
+                    far, near = max(far, beyond[of[k]]), max(near, within[of[k]])
+                else:
+                    far = max(far, within[of[k]])
+        reach[c], beyond[c] = ((min(seen), max(seen)) if seen else ()), far
+        for n in members:
+            blocked = any(k != n for k in reach[c])
+            state[n] = "blocked" if blocked else "ready" if n in framework else "done"
+            wave[n] = 0 if state[n] == "done" else 1 + far
+        within[c] = max([far, near, *(wave[n] for n in members if n in framework)])
+    return [(i, state[i], wave[i]) for i in ids]
+
+
+def standings_by_joins(projects: DataFrame, edges: DataFrame, whole: DataFrame) -> DataFrame:
+    """The same for graphs of any size: values are carried against the edges until none gets better."""
+    checkpoint_ready(projects.sparkSession)
+    back = reverse(edges).checkpoint()
+    p = projects.select("id", (F.col("framework_class") == "framework").alias("fw")).checkpoint()
+    fw = p.filter("fw").select(F.col("id").alias("f"))
+    first = back.join(fw, F.col("src") == F.col("f")).select(F.col("dst").alias("node"), F.col("src").alias("lo"), F.col("src").alias("hi"))
+    met = spread(back, first, ["lo"], ["hi"])
+    rows = p.join(met, F.col("id") == F.col("node"), "left")
+    blocked = F.coalesce((F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id")), F.lit(False))
+    states = rows.select("id", "fw", F.when(blocked, "blocked").when(F.col("fw"), "ready").otherwise("done").alias("readiness")).checkpoint()
+    groups = scc(whole).checkpoint()
+    one, two = (groups.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in (1, 2))
+    ways = back.join(one, F.col("src") == F.col("n1"), "left").join(two, F.col("dst") == F.col("n2"), "left")
+    ways = ways.select("src", "dst", F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)).alias("same")).checkpoint()
+    facts = states.select(F.col("id").alias("i"), (F.col("fw") & (F.col("readiness") != "done")).alias("counts"))
+    # far: latest wave reached beyond the own cycle; within: latest in all, the project itself included
+    state = p.join(facts, F.col("id") == F.col("i")).select(F.col("id").alias("node"), "counts", F.lit(0).alias("far"), F.when(F.col("counts"), 1).otherwise(0).alias("within")).checkpoint()
+    new = state.filter("within > 0")
+    while not new.isEmpty():
+        sent = new.join(ways, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(
+            F.max(F.when(F.col("same"), F.col("far")).otherwise(F.col("within"))).alias("f"), F.max(F.when(F.col("same"), F.col("within"))).alias("w")
+        )
+        far = F.greatest("far", F.coalesce("f", F.lit(0)))
+        within = F.greatest("within", F.coalesce("w", F.lit(0)), far, F.when(F.col("counts"), far + 1).otherwise(0))
+        after = state.join(sent, F.col("node") == F.col("to"), "left").select("node", "counts", far.alias("far"), within.alias("within"), (far > F.col("far")).alias("a"), (within > F.col("within")).alias("b")).checkpoint()
+        new, state = after.filter("a OR b").select("node", "counts", "far", "within"), after.select("node", "counts", "far", "within")
+    waves_ = state.select("node", "far")
+    wave = F.when(F.col("readiness") == "done", 0).otherwise(F.col("far") + 1).cast("int")
+    return states.join(waves_, F.col("id") == F.col("node")).select("id", "readiness", wave.alias("wave"))
 
 
 def framework_references(projects: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,45 +326,19 @@ def framework_references(projects: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, F.col("src") == F.col("a"), "left_semi").join(b, F.col("dst") == F.col("b"), "left_semi")
 
 
-def waves(projects: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(id, wave): 0 if done, else one more than the latest wave among blockers outside the project's own cycle.
-
-    The longest chain of blockers, by rounds of joins; blockers are transitive, so a round settles one wave, and
-    projects whose wave is settled leave the loop.
-    """
-    checkpoint_ready(projects.sparkSession)
-    reach = (closure(edges) if reach is None else reach).checkpoint()
-    states = readiness(projects, edges, reach).checkpoint()
-    groups = scc(edges, reach)
-    one = groups.select(F.col("node").alias("n1"), F.col("component").alias("c1"))
-    two = groups.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-    needs = blockers(projects, edges, reach).join(one, F.col("id") == F.col("n1"), "left").join(two, F.col("blocker") == F.col("n2"), "left")
-    needs = needs.filter("c1 IS NULL OR c2 IS NULL OR c1 != c2").select("id", "blocker").checkpoint()
-    settled = states.filter("readiness = 'done'").select("id", F.lit(0).alias("wave"))
-    open_ = states.filter("readiness != 'done'").select("id").checkpoint()
-    level = 1
-    while not open_.isEmpty():
-        if level > MAX_ROUNDS:
-            raise RuntimeError("the waves do not end")
-        # open projects are framework-only or blocked; those that need no open blocker come next
-        waiting = needs.join(open_.select(F.col("id").alias("o")), F.col("blocker") == F.col("o"), "left_semi").select(F.col("id").alias("w")).distinct()
-        now = open_.join(waiting, F.col("id") == F.col("w"), "left_anti").checkpoint()
-        settled = settled.unionByName(now.select("id", F.lit(level).alias("wave")))
-        open_ = open_.join(now.select(F.col("id").alias("d")), F.col("id") == F.col("d"), "left_anti").checkpoint()
-        level += 1
-    return settled
+def waves(projects: DataFrame, edges: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """(id, wave): 0 if done, else one more than the latest wave among blockers outside the project's own cycle in `whole`."""
+    return standings(projects, edges, whole).select("id", "wave")
 
 
 def plan(projects: DataFrame, edges: DataFrame, used: DataFrame | None = None, only_for=None, frontier: bool = False, exclude_kinds: tuple = (), hosted: DataFrame | None = None) -> DataFrame:
     """The listing: numbers come from the whole graph, filters only narrow the rows."""
     used = edges if used is None else used
     checkpoint_ready(projects.sparkSession)
-    reach = closure(used).checkpoint()
     radius = closure(reverse(edges)).groupBy(F.col("src").alias("r")).agg(F.count("dst").alias("n"))
-    rows = projects.join(readiness(projects, used, reach).withColumnRenamed("id", "a"), F.col("id") == F.col("a")).drop("a")
-    rows = rows.join(waves(projects, used, reach).withColumnRenamed("id", "a"), F.col("id") == F.col("a")).drop("a")
+    rows = projects.join(standings(projects, used, edges).withColumnRenamed("id", "a"), F.col("id") == F.col("a")).drop("a")
     rows = rows.join(radius, F.col("id") == F.col("r"), "left").withColumn("blast_radius", F.coalesce("n", F.lit(0))).drop("r", "n")
-    found = blockers(projects, used, reach).groupBy(F.col("id").alias("a")).agg(F.array_sort(F.collect_set("blocker")).alias("blockers"))
+    found = blockers(projects, used).groupBy(F.col("id").alias("a")).agg(F.array_sort(F.collect_set("blocker")).alias("blockers"))
     rows = rows.join(found, F.col("id") == F.col("a"), "left").drop("a")
     member = scc(edges).select(F.col("node").alias("a"), F.lit(True).alias("in_cycle"))
     rows = rows.join(member, F.col("id") == F.col("a"), "left").drop("a").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
@@ -386,7 +496,7 @@ def leaf_first(edges: DataFrame, nodes: DataFrame) -> list:
 
 
 def cycle_path(edges: DataFrame, members: list) -> list:
-    """A readable way round a cycle from its first member and back, by sorted depth-first search; else the members."""
+    """A readable way round a cycle from its first member and back, by sorted depth-first search; else the members and the first again."""
     inside, start = set(members), min(members)
     adjacency = {s: [d for d in ds if d in inside] for s, ds in bounded(edges).items() if s in inside}
     path, seen, stack = [start], {start}, [iter(adjacency.get(start, ()))]
@@ -402,7 +512,7 @@ def cycle_path(edges: DataFrame, members: list) -> list:
         else:
             stack.pop()
             path.pop()
-    return sorted(members)
+    return [*sorted(members), start]
 
 
 def shortest_path(edges: DataFrame, start, goal) -> list | None:
@@ -428,12 +538,10 @@ def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     checkpoint_ready(edges.sparkSession)
     steps = plain(edges).select(F.col("src").alias("mid"), F.col("dst").alias("to")).checkpoint()
     new = starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("distance", F.lit(0)).checkpoint()
-    total, level = new, 0
+    parts, level = [new], 0
     while not new.isEmpty():
         level += 1
-        if level > MAX_ROUNDS:
-            raise RuntimeError("the search does not end")
         found = new.join(steps, F.col("node") == F.col("mid")).select(F.col("to").alias("node")).distinct().withColumn("distance", F.lit(level))
-        new = found.join(total.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti").checkpoint()
-        total = total.unionByName(new).checkpoint()
-    return total
+        new = found.join(gathered(parts).select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti").checkpoint()
+        parts.append(new)
+    return gathered(parts)

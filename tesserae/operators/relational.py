@@ -22,10 +22,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The size of each key's group, keys under other names; counted before any shuffle."""
+    return df.groupBy(*[F.col(k).alias(f"__c_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(name))
+
+
+def same_key(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"__c_{k}")) for k in keys]
+
+
 def first_with_count(df: DataFrame, keys: list[str], order: list[Column], count: str = "n") -> DataFrame:
-    """The first row of each key and the size of its group."""
-    window = W.partitionBy(*keys)
-    return df.withColumns({"__n": F.row_number().over(window.orderBy(*order)), count: F.count(F.lit(1)).over(window)}).filter("__n = 1").drop("__n")
+    """The first row of each key and the size of its group.
+
+    Tasks cut their rows down to the first of each key before these meet (a window's group limit), and sizes are joined
+    on afterwards, so that a large group is never in one task.
+    """
+    first = first_per_key(df, keys, order)
+    return first.join(counted(df, keys, count), same_key(keys)).drop(*[f"__c_{k}" for k in keys])
 
 
 def first_with_ties(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -34,10 +47,10 @@ def first_with_ties(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, more: str = "n_more") -> DataFrame:
-    """The first k rows of each key, with how many more there are."""
-    window = W.partitionBy(*keys)
-    out = df.withColumns({"__n": F.row_number().over(window.orderBy(*order)), more: F.greatest(F.count(F.lit(1)).over(window) - k, F.lit(0))})
-    return out.filter(F.col("__n") <= k).drop("__n")
+    """The first k rows of each key, with how many more there are; see first_with_count."""
+    top = df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= k).drop("__n")
+    out = top.join(counted(df, keys, "__size"), same_key(keys)).drop(*[f"__c_{k}" for k in keys])
+    return out.withColumn(more, F.greatest(F.col("__size") - k, F.lit(0))).drop("__size")
 
 
 def complete(df: DataFrame, domain: DataFrame, keys: list[str], zeros: list[str]) -> DataFrame:
@@ -53,17 +66,19 @@ def longest_prefix(df: DataFrame, value: str, patterns: DataFrame, pattern: str,
     equi-join: no pair of value and pattern is compared that does not match. exact: a boolean column of patterns that
     only match whole values.
     """
-    lengths = [r[0] for r in patterns.select(F.length(pattern)).distinct().limit(SMALL_ROWS).collect() if r[0]]
+    lengths = [r[0] for r in patterns.select(F.length(pattern)).distinct().limit(SMALL_ROWS + 1).collect() if r[0]]
+    if len(lengths) > SMALL_ROWS:
+        raise ValueError(f"patterns of more than {SMALL_ROWS} lengths")
     cols = [F.col(c).alias(f"__p_{c}") for c in patterns.columns]
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    tried = F.array_distinct(F.array(*[F.substring(F.col(value), 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    hits = rows.select("__row", F.col(value).alias("__v"), F.explode(tried).alias("__try")).join(patterns.select(*cols), F.col("__try") == F.col(f"__p_{pattern}"))
+    values = df.select(F.col(value).alias("__v")).filter("__v IS NOT NULL").distinct()
+    tried = F.array_distinct(F.array(*[F.substring("__v", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    hits = values.select("__v", F.explode(tried).alias("__try")).join(patterns.select(*cols), F.col("__try") == F.col(f"__p_{pattern}"))
     if exact:
         hits = hits.filter(~F.col(f"__p_{exact}") | (F.col("__try") == F.col("__v")))
     order = [(F.col("__try") == F.col("__v")).desc(), F.length("__try").desc(), *([F.col(f"__p_{source}")] if source else [])]
-    best = first_per_key(hits, ["__row"], [*order, *[F.col(f"__p_{c}") for c in patterns.columns if c != source]])
-    out = rows.join(best.drop("__v", "__try"), "__row", "left").drop("__row")
-    return out.withColumnsRenamed({f"__p_{c}": c for c in patterns.columns})
+    best = first_per_key(hits, ["__v"], [*order, *[F.col(f"__p_{c}") for c in patterns.columns if c != source]])
+    # rows meet their pattern by value, so no row needs a number of its own
+    return df.join(best.drop("__try"), F.col(value) == F.col("__v"), "left").drop("__v").withColumnsRenamed({f"__p_{c}": c for c in patterns.columns})
 
 
 def deepest_owner(paths: DataFrame, path: str, owners: DataFrame, folder: str, ties: bool = False, tie_break: str | None = None) -> DataFrame:
@@ -169,9 +184,15 @@ def first_answer(df: DataFrame, key: str, lookups: list[DataFrame], answer: str,
 def compatible(targets: DataFrame, assets: DataFrame, relation: DataFrame) -> DataFrame:
     """(package, version, target, supports): any asset fits the target; a version without assets fits all.
 
-    assets (package, version, framework), relation (target, framework): pairs that fit. targets are few.
+    assets (package, version, framework), relation (target, framework): pairs that fit. Targets are few by nature; their
+    number is checked, and each version is exploded to all of them, which is the answer's size.
     """
-    versions = assets.select("package", "version").distinct().join(F.broadcast(targets.select("target").distinct().limit(SMALL_ROWS)))
+    asked = [r[0] for r in targets.select("target").distinct().limit(SMALL_ROWS + 1).collect()]
+    if len(asked) > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} targets")
+    kind = targets.schema["target"].dataType.simpleString()
+    each = F.explode(F.array(*map(F.lit, asked)).cast(f"array<{kind}>"))
+    versions = assets.select("package", "version").distinct().withColumn("target", each)
     fits = assets.filter("framework IS NOT NULL").join(relation.select(F.col("framework").alias("__f"), F.col("target").alias("__t")), F.col("framework") == F.col("__f"), "left")
     held = fits.groupBy(F.col("package").alias("__p"), F.col("version").alias("__v")).agg(F.collect_set("__t").alias("__ts"))
     out = versions.join(held, (F.col("package") == F.col("__p")) & (F.col("version") == F.col("__v")), "left")

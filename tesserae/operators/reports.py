@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import directory_key
+from tesserae.functions.scalars import ancestors, directory_key, unix_path
 from tesserae.operators.graph import application_closure, readiness
-from tesserae.operators.relational import complete, first_per_key, not_in
+from tesserae.operators.relational import complete, first_per_key, first_with_ties, not_in
 
 # The framework classes.
 CLASSES = ["framework", "standard", "modern", "dual"]
@@ -41,14 +41,16 @@ def headline(projects: DataFrame) -> DataFrame:
     return projects.agg(n.alias("projects"), loc.alias("loc"), F.count_if(framework).alias("framework_projects"), own.alias("framework_loc"), share.alias("portable_percent"))
 
 
-def series(snapshots: DataFrame, solution: str | None, created_at: str, since: str | None = None) -> DataFrame:
+def series(snapshots: DataFrame, solution: str | None, created_at: str, since: str | None = None, current: DataFrame | None = None) -> DataFrame:
     """Snapshots of one solution, since a time and before the model's; of equal times the last in file order stays.
 
-    Times are ISO strings and compare as strings; snapshots (created_at, solution, file, ...).
+    Times are ISO strings and compare as strings; snapshots (created_at, solution, file, ...). current: the model's own
+    point, which ends the series whatever `since` says.
     """
     rows = snapshots.filter(F.col("solution").eqNullSafe(F.lit(solution))).filter(F.col("created_at") < created_at)
     rows = rows.filter(F.col("created_at") >= since) if since is not None else rows
-    return first_per_key(rows, ["created_at"], [F.desc("file")]).orderBy("created_at")
+    rows = first_per_key(rows, ["created_at"], [F.desc("file")])
+    return (rows if current is None else rows.unionByName(current, allowMissingColumns=True)).orderBy("created_at")
 
 
 def change_since_first(points: DataFrame, at: str, value: str, keys: list[str] = ()) -> DataFrame:
@@ -57,13 +59,17 @@ def change_since_first(points: DataFrame, at: str, value: str, keys: list[str] =
 
 
 def application(projects: DataFrame, edges: DataFrame, hosted: DataFrame, start) -> DataFrame:
-    """One row for an application: size of its closure, framework-only projects left, its status and what is ready next."""
+    """One row for an application: size of its closure, framework-only projects left, its status and what is ready next.
+
+    It is ready only if it is the one project left; hosted projects that are left block it.
+    """
     near = application_closure(edges, hosted, start)
     states = readiness(projects, edges).withColumnRenamed("id", "__i")
     rows = projects.join(near, F.col("id") == F.col("node"), "left_semi").join(states, F.col("id") == F.col("__i"))
     left = F.count_if(F.col("framework_class") == "framework")
     ready = F.array_sort(F.collect_set(F.when(F.col("readiness") == "ready", F.col("id"))))
-    status = F.when(left == 0, "done").when(F.max(F.when(F.col("id") == F.lit(start), F.col("readiness"))) == "ready", "ready").otherwise("blocked")
+    own = F.count_if((F.col("framework_class") == "framework") & (F.col("id") == F.lit(start)))
+    status = F.when(left == 0, "done").when((left == 1) & (own == 1), "ready").otherwise("blocked")
     return rows.agg(F.lit(start).alias("application"), F.count("id").alias("projects"), left.alias("remaining"), status.alias("status"), ready.alias("next"))
 
 
@@ -89,17 +95,42 @@ def explained_difference(before: DataFrame, after: DataFrame, packages: DataFram
     return rows.groupBy("change", reason.alias("reason")).agg(F.count("name").alias("n"), F.array_sort(F.collect_set("name")).alias("names")).orderBy("change", "reason")
 
 
-def affected(paths: DataFrame, projects: DataFrame, compiles: DataFrame) -> DataFrame:
-    """(path, project): by project file, else compiling projects, else the deepest folder, ties kept.
+# Names and endings of files that builds pick up for every project beneath their folder.
+BUILD_WIDE = r"(?i)(^|/)(global\.json|nuget\.config|[^/]*\.props|[^/]*\.targets)$"
 
-    projects (id, folder), compiles (project, file).
-    """
-    from tesserae.operators.relational import deepest_owner, first_with_ties
 
-    own = paths.join(projects, F.col("path") == F.col("id")).select("path", F.col("id").alias("project"), F.lit(0).alias("level"))
-    compiled = paths.join(compiles, F.col("path") == F.col("file")).select("path", "project", F.lit(1).alias("level"))
-    folder = deepest_owner(paths, "path", projects, "folder", ties=True).select("path", F.col("id").alias("project"), F.lit(2).alias("level"))
-    return first_with_ties(own.unionByName(compiled).unionByName(folder), ["path"], [F.col("level")]).drop("level").distinct()
+def affected(paths: DataFrame, projects: DataFrame, compiles: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(path, project): the owners of each path, and with edges (src, dst) what references an owner directly.
+
+    The first level that has an owner counts, and all its owners: the project file itself; projects that compile the
+    file; for build-wide files every project beneath their folder; projects in the deepest folder that holds the path;
+    else every project beneath the path, or beneath its folder. Case is ignored, slashes may be backward.
+    projects (id, folder), compiles (project, file). All levels are equi-joins on lower-case keys: a path's own
+    ancestors, or a project's.
+    """
+    p = F.regexp_replace(unix_path(F.col("path")), "/+$", "")
+    rows = paths.select("path", F.lower(p).alias("k")).distinct().withColumn("in", F.when(F.col("k").contains("/"), F.regexp_replace("k", "/[^/]*$", "")).otherwise("."))
+    all_ = projects.select(F.col("id").alias("project"), F.lower("id").alias("pk"), F.lower(F.when(F.col("folder").isin("", "."), F.lit(".")).otherwise(F.col("folder"))).alias("fk"))
+    beneath = all_.select("project", F.explode(ancestors(F.col("pk"))).alias("above"))
+    wide = F.col("k").rlike(BUILD_WIDE)
+    own = rows.join(all_, F.col("k") == F.col("pk")).select("path", "project", F.lit(0).alias("level"))
+    compiled = rows.join(compiles.select("project", F.lower("file").alias("f")), F.col("k") == F.col("f")).select("path", "project", F.lit(1).alias("level"))
+    build = rows.filter(wide).join(beneath, F.col("in") == F.col("above")).select("path", "project", F.lit(2).alias("level"))
+    # a build-wide file with nothing beneath it belongs to none
+    none = rows.filter(wide).select("path", F.lit(None).cast(projects.schema["id"].dataType).alias("project"), F.lit(2).alias("level"))
+    tried = rows.select("path", F.explode(ancestors(F.col("k"))).alias("at"))
+    held = tried.join(all_, F.col("at") == F.col("fk")).withColumn("depth", F.when(F.col("at") == ".", 0).otherwise(F.length("at")))
+    held = first_with_ties(held, ["path"], [F.desc("depth")]).select("path", "project", F.lit(3).alias("level"))
+    under = rows.join(beneath, F.col("k") == F.col("above")).select("path", "project", F.lit(4).alias("level"))
+    beside = rows.join(beneath, F.col("in") == F.col("above")).select("path", "project", F.lit(5).alias("level"))
+    found = own
+    for part in (compiled, build, none, held, under, beside):
+        found = found.unionByName(part)
+    owners = first_with_ties(found, ["path"], [F.col("level")]).filter("project IS NOT NULL").select("path", "project").distinct()
+    if edges is None:
+        return owners
+    users = owners.join(edges.select("src", "dst"), F.col("project") == F.col("dst")).select("path", F.col("src").alias("project"))
+    return owners.unionByName(users).distinct()
 
 
 def package_index(projects: DataFrame, ids: str = "id") -> DataFrame:
@@ -121,8 +152,8 @@ def moved_types(source_before: DataFrame, source_after: DataFrame, destination_a
 def directive_totals(regions: DataFrame) -> DataFrame:
     """(project, files, lines) of conditional regions, and a null project for all: shared files count once there.
 
-    regions (project, file, lines).
+    regions (project, file, region, lines): a region is named within its file, so that two of equal length both count.
     """
-    one = regions.select("project", "file", "lines").distinct().groupBy("project").agg(F.countDistinct("file").alias("files"), F.sum("lines").alias("lines"))
-    every = regions.select("file", "lines").distinct().agg(F.lit(None).cast("string").alias("project"), F.countDistinct("file").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
+    one = regions.select("project", "file", "region", "lines").distinct().groupBy("project").agg(F.countDistinct("file").alias("files"), F.sum("lines").alias("lines"))
+    every = regions.select("file", "region", "lines").distinct().agg(F.lit(None).cast("string").alias("project"), F.countDistinct("file").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
     return one.unionByName(every)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.relational import SMALL_ROWS, first_per_key, not_in
+from tesserae.session import checkpoint_ready
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -31,7 +32,9 @@ def symbol_keys(symbol: Column) -> Column:
 
 def match(uses: DataFrame, rule_keys: DataFrame, keys: str = "keys") -> DataFrame:
     """Uses with each rule that names one of their keys and excludes none: rule_keys (rule, key, is_exclude)."""
-    rows = uses.withColumn("__use", F.monotonically_increasing_id())
+    # numbered once and kept: a number given anew might go to another row
+    checkpoint_ready(uses.sparkSession)
+    rows = uses.withColumn("__use", F.monotonically_increasing_id()).checkpoint()
     tried = rows.select("__use", F.explode(F.array_distinct(keys)).alias("__key"))
     wanted = rule_keys.filter("NOT is_exclude").select("rule", F.col("key").alias("__k")).distinct()
     barred = rule_keys.filter("is_exclude").select(F.col("rule").alias("__r"), F.col("key").alias("__k")).distinct()

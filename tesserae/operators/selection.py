@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import ancestors, unix_path
-from tesserae.operators.graph import bounded, closure, leaf_first, local_components, with_starts
+from tesserae.operators.graph import bounded, closure, hosted_projects, leaf_first, local_components, with_starts
 from tesserae.operators.relational import first_per_key, first_with_ties, not_in
 
 
@@ -140,14 +140,25 @@ def on_lines(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     return findings.join(lines, (F.col("file") == F.col("__f")) & (F.col("line") == F.col("__l")), "left_semi")
 
 
-def shipped_reasons(projects: DataFrame, external: DataFrame, packable: DataFrame, beside: DataFrame, named: DataFrame, used: DataFrame) -> DataFrame:
-    """(id, reason): why a library may be used from outside, by priority; each of the others is a frame of ids."""
+def shipped_reasons(projects: DataFrame, external: DataFrame, packable: DataFrame, beside: DataFrame, named: DataFrame, used: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
+    """(id, reason): why a project may be used from outside, by priority; each of the others is a frame of ids.
+
+    Only `libraries` (by default, all) are shipped for a specification beside them, or for want of an application.
+    """
     rows, chain = projects.select("id"), None
     for k, (name, df) in enumerate((("external", external), ("packable", packable), ("nuspec beside", beside), ("nuspec names it", named))):
         rows = rows.join(df.select(F.col(df.columns[0]).alias(f"__{k}")).distinct(), F.col("id") == F.col(f"__{k}"), "left")
         chain = F.when(F.col(f"__{k}").isNotNull(), name) if chain is None else chain.when(F.col(f"__{k}").isNotNull(), name)
     rows = rows.join(used.select(F.col(used.columns[0]).alias("__u")).distinct(), F.col("id") == F.col("__u"), "left")
-    return rows.select("id", chain.when(F.col("__u").isNull(), "no application").alias("reason")).filter("reason IS NOT NULL")
+    rows = rows.select("id", chain.when(F.col("__u").isNull(), "no application").alias("reason")).filter("reason IS NOT NULL")
+    if libraries is None:
+        return rows
+    asked = libraries.select(F.col(libraries.columns[0]).alias("__l")).distinct()
+    others = rows.join(asked, F.col("id") == F.col("__l"), "left_anti").filter("reason NOT IN ('nuspec beside', 'no application')")
+    # what isn't a library may still be named by a specification elsewhere
+    hidden = rows.join(asked, F.col("id") == F.col("__l"), "left_anti").filter("reason = 'nuspec beside'").select("id")
+    through = hidden.join(named.select(F.col(named.columns[0]).alias("__n")).distinct(), F.col("id") == F.col("__n"), "left_semi").withColumn("reason", F.lit("nuspec names it"))
+    return rows.join(asked, F.col("id") == F.col("__l"), "left_semi").unionByName(others).unionByName(through)
 
 
 def libraries(projects: DataFrame, edges: DataFrame, shipped: DataFrame) -> DataFrame:
@@ -157,10 +168,18 @@ def libraries(projects: DataFrame, edges: DataFrame, shipped: DataFrame) -> Data
     return near.groupBy(F.col("src").alias("library")).agg(F.count("id").alias("projects"), F.count_if(F.col("framework_class") == "framework").alias("remaining"))
 
 
-def partial_dependency(projects: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, because): the project itself if partial, else the least partial project among its dependencies."""
+def partial_dependency(projects: DataFrame, edges: DataFrame, hosted: DataFrame | None = None) -> DataFrame:
+    """(id, because): the project itself if partial, else the least partial project among its dependencies.
+
+    hosted (id, hosted_by): what a project hosts, directly or not, counts with what that depends on.
+    """
     part = projects.filter("partial").select(F.col("id").alias("p"))
-    through = closure(edges, projects.select("id")).join(part, F.col("dst") == F.col("p")).select(F.col("src").alias("id"), F.col("dst").alias("because"), F.lit(1).alias("level"))
+    reach = closure(edges, projects.select("id"))
+    if hosted is not None:
+        inner = hosted_projects(hosted).select(F.col("src").alias("h"), F.col("dst").alias("in"))
+        beyond = inner.join(reach, F.col("in") == F.col("src")).select(F.col("h").alias("src"), "dst")
+        reach = reach.unionByName(inner.select(F.col("h").alias("src"), F.col("in").alias("dst"))).unionByName(beyond).filter("src != dst").distinct()
+    through = reach.join(part, F.col("dst") == F.col("p")).select(F.col("src").alias("id"), F.col("dst").alias("because"), F.lit(1).alias("level"))
     rows = part.select(F.col("p").alias("id"), F.col("p").alias("because"), F.lit(0).alias("level")).unionByName(through)
     return first_per_key(rows, ["id"], [F.col("level"), F.col("because")]).drop("level")
 

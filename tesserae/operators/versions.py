@@ -75,14 +75,42 @@ def deciding(constraints: DataFrame, chosen: DataFrame) -> DataFrame:
     return first_per_key(rows, ["id"], [F.desc("__low"), F.col("kind"), F.col("project")]).drop("__i", "__v", "__low")
 
 
-def align_families(chosen: DataFrame, families: DataFrame, available: DataFrame) -> DataFrame:
-    """Members of a family take its highest member version, where they have that version; others keep theirs."""
+def align_families(chosen: DataFrame, families: DataFrame, available: DataFrame, constraints: DataFrame | None = None) -> DataFrame:
+    """Members of a family take its highest member version; those that lack it, or whose own ranges (id, range) forbid it, keep theirs."""
     rows = chosen.join(families.select(F.col("id").alias("__f"), "family"), F.col("id") == F.col("__f"), "left").drop("__f")
     top = F.max(F.struct(version_key(F.col("version")).alias("k"), F.col("version").alias("v"))).over(W.partitionBy("family"))["v"]
     rows = rows.withColumn("__top", F.when(F.col("family").isNotNull(), top))
     has = available.select(F.col("id").alias("__i"), F.col("version").alias("__v")).distinct()
     rows = rows.join(has, (F.col("id") == F.col("__i")) & (F.col("__top") == F.col("__v")), "left")
-    return rows.select("id", F.when(F.col("__v").isNotNull(), F.col("__top")).otherwise(F.col("version")).alias("version"))
+    takes = F.col("__v").isNotNull()
+    if constraints is not None:
+        asked = constraints.select(F.col("id").alias("__c"), version_range(F.col("range")).alias("__b")).distinct()
+        barred = rows.join(asked, F.col("id") == F.col("__c")).filter(~in_range(version_key(F.col("__top")), F.col("__b"))).select(F.col("__c").alias("__bar")).distinct()
+        rows, takes = rows.join(barred, F.col("id") == F.col("__bar"), "left"), takes & F.col("__bar").isNull()
+    return rows.select("id", F.when(takes, F.col("__top")).otherwise(F.col("version")).alias("version"))
+
+
+def supports_all(options: DataFrame, usage: DataFrame, support: DataFrame) -> DataFrame:
+    """Options (id, version) that support every framework their id is used for: usage (id, tfm), support (id, version, tfm)."""
+    asked = usage.select(F.col("id").alias("__i"), F.col("tfm").alias("__t")).distinct()
+    wanted = asked.groupBy("__i").agg(F.count("__t").alias("__n"))
+    held = support.select("id", "version", "tfm").distinct().join(asked, (F.col("id") == F.col("__i")) & (F.col("tfm") == F.col("__t")))
+    held = held.groupBy(F.col("id").alias("__h"), F.col("version").alias("__v")).agg(F.count("tfm").alias("__m"))
+    rows = options.join(wanted, F.col("id") == F.col("__i"), "left").join(held, (F.col("id") == F.col("__h")) & (F.col("version") == F.col("__v")), "left")
+    return rows.filter("__n IS NULL OR coalesce(__m, 0) = __n").select(*options.columns)
+
+
+def unsatisfied(constraints: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, ranges): packages without a version within all their constraints, and what these ask, sorted."""
+    has = chosen.filter("version IS NOT NULL").select(F.col("id").alias("__i"))
+    rows = constraints.join(has, F.col("id") == F.col("__i"), "left_anti")
+    return rows.groupBy("id").agg(F.array_sort(F.collect_set("range")).alias("ranges"))
+
+
+def pins_below(chosen: DataFrame, pins: DataFrame) -> DataFrame:
+    """(id, project, pin, version): pins under the version chosen for the others."""
+    rows = pins.join(chosen.select(F.col("id").alias("__i"), F.col("version").alias("__v")), F.lower("id") == F.lower("__i"))
+    return rows.filter(version_key(F.col("version")) < version_key(F.col("__v"))).select("id", "project", F.col("version").alias("pin"), F.col("__v").alias("version"))
 
 
 def apply_pins(constraints: DataFrame, pins: DataFrame) -> DataFrame:
@@ -97,7 +125,8 @@ def consolidate(direct: DataFrame, options: DataFrame, dependencies: DataFrame,
     """One version for each package: choose, take in what the choices ask for, align families, until nothing changes.
 
     direct (id, project, kind, range), options (id, version), dependencies (id, version, dep_id, range): what a chosen
-    version asks of other packages. Returns the choice and the rounds it took, at most 8.
+    version asks of other packages. Returns the choice and the rounds it took; choices that still change after 8 rounds
+    raise. `unsatisfied` tells which packages no version suits.
     """
     checkpoint_ready(direct.sparkSession)
     asked = apply_pins(direct, pins) if pins is not None else direct
@@ -105,34 +134,52 @@ def consolidate(direct: DataFrame, options: DataFrame, dependencies: DataFrame,
     chosen = choose(options, asked, lowest).checkpoint()
     for round_ in range(1, MAX_CONSOLIDATION_ROUNDS + 1):
         if families is not None:
-            chosen = align_families(chosen, families, options)
+            chosen = align_families(chosen, families, options, asked)
         now = chosen.select(F.col("id").alias("__i"), F.col("version").alias("__v"))
         needs = dependencies.join(now, (F.col("id") == F.col("__i")) & (F.col("version") == F.col("__v"))).select(F.col("dep_id").alias("id"), "range")
         new = choose(options, asked.unionByName(needs).distinct(), lowest)
-        new = (align_families(new, families, options) if families is not None else new).checkpoint()
+        new = (align_families(new, families, options, asked.unionByName(needs)) if families is not None else new).checkpoint()
         if new.exceptAll(chosen).isEmpty() and chosen.exceptAll(new).isEmpty():
             return new, round_
         chosen = new
-    return chosen, MAX_CONSOLIDATION_ROUNDS
+    raise RuntimeError(f"versions still change after {MAX_CONSOLIDATION_ROUNDS} rounds")
+
 
+def redirects(referenced: DataFrame, deployed: DataFrame, existing: DataFrame, prune: bool = False) -> DataFrame:
+    """(name, action, old, version, was): what to do about each binding redirect; names ignore case.
 
-def redirects(referenced: DataFrame, deployed: DataFrame, existing: DataFrame) -> DataFrame:
-    """(name, action, version): added, changed, unchanged, stale, or lower where the deployed one is below a reference.
+    referenced (name, version), deployed (name, version, signed), existing (name, old, version, place): `old` is the
+    range it redirects, and of several entries for a name the one with the least place counts. Several deployed versions
+    count as their highest.
 
-    referenced (name, version), deployed (name, version, signed), existing (name, version). Several deployed versions
-    count as their highest; a redirect is needed where a reference to a signed assembly differs.
+    lower: what is deployed is under the highest reference, so none is written. Otherwise one is needed where a
+    reference to a signed assembly differs: added; changed if its range or version is another; else unchanged. One that
+    is not needed stays if it names what is deployed (unchanged), else follows it (changed); if nothing deploys it, it
+    is stale, or pruned.
     """
     held = deployed.withColumn("__k", version_key(F.col("version"))).groupBy(F.lower("name").alias("d"))
     held = held.agg(F.max_by("version", "__k").alias("to"), F.max("__k").alias("k"), F.bool_or("signed").alias("signed"))
-    asked = referenced.withColumn("__k", version_key(F.col("version"))).groupBy(F.lower("name").alias("r")).agg(F.collect_set("__k").alias("asked"))
-    old = existing.groupBy(F.lower("name").alias("o")).agg(F.max("version").alias("was"))
-    rows = held.join(asked, F.col("d") == F.col("r"), "left").join(old, F.col("d") == F.col("o"), "full_outer")
-    differs = F.coalesce(F.exists("asked", lambda x: x != F.col("k")), F.lit(False)) & F.coalesce("signed", F.lit(False))
-    lower = F.coalesce(F.exists("asked", lambda x: x > F.col("k")), F.lit(False)) & F.coalesce("signed", F.lit(False))
+    asked = referenced.withColumn("__k", version_key(F.col("version"))).groupBy(F.lower("name").alias("r")).agg(F.max("__k").alias("top"), F.min("__k").alias("least"))
+    present = existing.groupBy(F.lower("name").alias("o")).agg(F.min_by(F.struct("old", "version"), "place").alias("e"))
+    rows = held.join(asked, F.col("d") == F.col("r"), "left").join(present, F.col("d") == F.col("o"), "full_outer")
+    signed = F.coalesce("signed", F.lit(False))
+    lower = F.coalesce(signed & (F.col("top") > F.col("k")), F.lit(False))
+    needed = F.coalesce(signed & ~lower & ((F.col("least") != F.col("k")) | (F.col("top") != F.col("k"))), F.lit(False))
+    wanted, has = F.concat(F.lit("0.0.0.0-"), F.col("to")), F.col("e").isNotNull()
     action = (
-        F.when(lower, "lower").when(differs & F.col("was").isNull(), "added").when(differs & (F.col("was") != F.col("to")), "changed").when(differs, "unchanged").when(F.col("was").isNotNull(), "stale")
+        F.when(needed & ~has, "added")
+        .when(needed & ((F.col("e.old") != wanted) | (F.col("e.version") != F.col("to"))), "changed")
+        .when(needed, "unchanged")
+        .when(has & F.col("to").isNull(), "pruned" if prune else "stale")
+        .when(has & (F.col("e.version") != F.col("to")), "changed")
+        .when(has, "unchanged")
     )
-    return rows.select(F.coalesce("d", "o").alias("name"), action.alias("action"), F.coalesce("to", "was").alias("version")).filter("action IS NOT NULL")
+    rows = rows.select(F.coalesce("d", "o").alias("name"), F.explode(F.array(F.when(lower, "lower"), action)).alias("action"), "to", wanted.alias("wanted"), "e").filter("action IS NOT NULL")
+    writes = F.col("action").isin("added", "changed")
+    return rows.select(
+        "name", "action", F.when(writes, F.col("wanted")).when(F.col("action") != "lower", F.col("e.old")).alias("old"),
+        F.when(writes | (F.col("action") == "lower"), F.col("to")).otherwise(F.col("e.version")).alias("version"), F.when(F.col("action") == "changed", F.col("e.version")).alias("was"),
+    )
 
 
 # Kinds of file match, the best first.

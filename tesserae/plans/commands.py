@@ -42,7 +42,16 @@ def graph_view(t: dict[str, DataFrame], focus=None, depth: int | None = None, di
     nodes = p.join(keep, F.col("id") == F.col("s"), "left_semi").join(states, F.col("id") == F.col("a")).drop("a").withColumn("cluster", key).orderBy("id")
     blocks = graph.blockers(p, used(t)).groupBy("blocker").agg(F.count("id").alias("blocks"))
     top = blocks.join(keep, F.col("blocker") == F.col("s"), "left_semi").orderBy(F.desc("blocks"), "blocker").limit(10)
-    return {"nodes": nodes, "edges": inside.orderBy("src", "dst", "kind"), "cycles": graph.cycles(inside), "top_blockers": top}
+    return {"nodes": nodes, "edges": inside.orderBy("src", "dst", "kind"), "cycles": shown_cycles(t["edge"], keep, inside), "top_blockers": top}
+
+
+def shown_cycles(edges: DataFrame, keep: DataFrame, inside: DataFrame) -> DataFrame:
+    """(component, members): cycles of the whole graph, cut to the shown projects; one alone stays only with an edge to itself."""
+    rows = graph.cycles(edges).select("component", F.explode("members").alias("m")).join(keep, F.col("m") == F.col("s"), "left_semi")
+    loops = inside.filter("src = dst").select(F.col("src").alias("l")).distinct()
+    rows = rows.join(loops, F.col("m") == F.col("l"), "left")
+    cut = rows.groupBy("component").agg(F.array_sort(F.collect_set("m")).alias("members"), F.count("l").alias("n"))
+    return cut.filter("size(members) > 1 OR n > 0").select(F.col("members")[0].alias("component"), "members").orderBy("component")
 
 
 def slice_view(t: dict[str, DataFrame], requested: DataFrame, dependents: bool = False, tests: bool = False) -> DataFrame:

@@ -247,13 +247,61 @@ def seam_cuts(spark, d):
     return cuts.seam_cuts(e, clean, dirty)
 
 
-@query("""SELECT p_partkey AS boundary, round_even(friendly / (1 + 0.1 * (callers - 1)) * CASE WHEN art THEN 1.0 ELSE 0.8 END, 2)::DOUBLE AS score,
-'seam-' || row_number() OVER (ORDER BY p_size, callers DESC, friendly DESC, p_partkey) AS seam FROM (SELECT p_partkey, p_size, (p_partkey % 5 / 4.0)::DOUBLE AS friendly, (1 + p_size % 6)::BIGINT AS callers, p_partkey % 2 = 0 AS art FROM part)""")
+@query("""SELECT p_partkey AS boundary, round_even(CASE WHEN members = 0 THEN 1.0 ELSE friendly END / (1 + 0.1 * greatest(0, members - 1)) * CASE WHEN art THEN 1.0 ELSE 0.8 END, 2)::DOUBLE AS score,
+'seam-' || row_number() OVER (ORDER BY p_size, members DESC, friendly DESC, p_partkey) AS seam FROM (SELECT p_partkey, p_size, (p_partkey % 5 / 4.0)::DOUBLE AS friendly, (p_size % 6)::BIGINT AS members, p_partkey % 2 = 0 AS art FROM part)""")
 def seam_scores(spark, d):
     from tesserae.operators.relational import numbered
 
     p = table(spark, d, "part")
-    rows = p.select(F.col("p_partkey").alias("boundary"), "p_size", (F.col("p_partkey") % 5 / 4.0).alias("friendly"), (1 + F.col("p_size") % 6).cast("long").alias("callers"), (F.col("p_partkey") % 2 == 0).alias("art"))
-    rows = rows.withColumn("score", cuts.seam_score(F.col("friendly"), F.col("callers"), F.col("art")))
-    ordered = numbered(rows, [F.col("p_size"), F.desc("callers"), F.desc("friendly"), F.col("boundary")])
+    rows = p.select(F.col("p_partkey").alias("boundary"), "p_size", (F.col("p_partkey") % 5 / 4.0).alias("friendly"), (F.col("p_size") % 6).cast("long").alias("members"), (F.col("p_partkey") % 2 == 0).alias("art"))
+    rows = rows.withColumn("score", cuts.seam_score(F.col("friendly"), F.col("members"), F.col("art")))
+    ordered = numbered(rows, [F.col("p_size"), F.desc("members"), F.desc("friendly"), F.col("boundary")])
     return ordered.select("boundary", "score", F.concat(F.lit("seam-"), F.col("n")).alias("seam"))
+
+
+USED_C = "u AS (SELECT src, dst FROM c WHERE NOT (src % 4 = 0 AND dst % 3 != 0))"
+
+
+@query(f"""WITH RECURSIVE {D}, {C}, {USED_C}, {REACH_C}, ru(src, dst) AS (SELECT src, dst FROM u UNION SELECT ru.src, u.dst FROM ru JOIN u ON ru.dst = u.src),
+m AS (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src), b AS (SELECT src AS id, dst AS blocker FROM ru JOIN fw ON dst = fw.id WHERE src != dst),
+st AS (SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT id FROM b) THEN 1 WHEN p_partkey IN (SELECT id FROM fw) THEN 1 ELSE 0 END AS k FROM part),
+n AS (SELECT b.id, b.blocker FROM b ANTI JOIN m ON m.src = b.id AND m.dst = b.blocker), w(id, wave) AS (SELECT id, k FROM st UNION SELECT n.id, w.wave + 1 FROM w JOIN n ON n.blocker = w.id WHERE w.wave > 0)
+SELECT w.id, max(wave)::INTEGER AS wave, w.id IN (SELECT src FROM m WHERE src != dst) AS in_cycle FROM w WHERE w.id IN (SELECT id FROM st) GROUP BY w.id""")
+def plan_with_unused_edges_in_cycles(spark, d):
+    e = cyclic(spark, d).withColumn("kind", F.lit("project"))
+    return graph.plan(parts(spark, d), e, e.filter("NOT (src % 4 = 0 AND dst % 3 != 0)")).select("id", "wave", "in_cycle")
+
+
+@query(f"""WITH RECURSIVE {D}, w(path, node) AS (SELECT [150::BIGINT], 150::BIGINT UNION ALL SELECT list_append(path, d.dst), d.dst FROM w JOIN d ON d.src = w.node)
+SELECT array_to_string(path, '>') AS path FROM w WHERE node = 1 ORDER BY len(path), w.path LIMIT 1""")
+def shortest_path(spark, d):
+    found = graph.shortest_path(dag(spark, d), 150, 1)
+    return spark.createDataFrame([(">".join(map(str, found)),)], "path string")
+
+
+@query(f"""WITH RECURSIVE {D}, {C}, {REACH_C}, m AS (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src != a.dst), g AS (SELECT src AS node, least(src, min(dst)) AS component FROM m GROUP BY src),
+e AS (SELECT c.src, c.dst, g.component FROM c JOIN g ON g.node = c.src JOIN g h ON h.node = c.dst AND h.component = g.component)
+SELECT component, count(*) AS ways FROM e WHERE src = component OR dst = component GROUP BY component""")
+def cycle_paths(spark, d):
+    """A way round each cycle is told by its length; here by how many edges touch the first member, which every way uses two of."""
+    e = cyclic(spark, d)
+    of = graph.scc(e)
+    inner = e.join(of.select(F.col("node").alias("a"), "component"), F.col("src") == F.col("a")).join(of.select(F.col("node").alias("b"), F.col("component").alias("c2")), F.col("dst") == F.col("b")).filter("component = c2")
+    rows = []
+    for r in graph.cycles(e).collect():
+        path = graph.cycle_path(e, r["members"])
+        assert path[0] == path[-1] == r["component"] and len(path) > 2
+        rows.append((r["component"],))
+    told = spark.createDataFrame(rows, "component long")
+    return inner.filter("src = component OR dst = component").groupBy("component").agg(F.count("src").alias("ways")).join(told, "component", "left_semi")
+
+
+@query(f"WITH RECURSIVE {D}, l(node, k) AS (SELECT dst, 0 FROM d WHERE dst NOT IN (SELECT src FROM d) UNION SELECT d.src, k + 1 FROM l JOIN d ON d.dst = l.node) SELECT count(DISTINCT node) AS nodes, 0::BIGINT AS before_its_needs FROM l")
+def leaf_first(spark, d):
+    """The order itself is sequential; the query tells its size and how many edges point forward in it, of which there must be none."""
+    e = dag(spark, d)
+    order = graph.leaf_first(e, e.select("src"))
+    place = spark.createDataFrame(list(enumerate(order)), "place long, node long")
+    a, b = place.select(F.col("place").alias("ps"), F.col("node").alias("ns")), place.select(F.col("place").alias("pd"), F.col("node").alias("nd"))
+    late = e.join(a, F.col("src") == F.col("ns")).join(b, F.col("dst") == F.col("nd")).filter("src != dst").agg(F.count_if(F.col("pd") > F.col("ps")).alias("before_its_needs"))
+    return late.withColumn("nodes", F.lit(place.count()))

@@ -104,7 +104,7 @@ def severity_override(spark, d):
     )
     force = rules.active(r, disabled=["old"], target="6.0", overrides=spark.createDataFrame([("signup", "none")], "rule string, severity string"))
     e = table(spark, d, "events")
-    return e.join(F.broadcast(force), e.event_type == force.rule).groupBy("rule", "severity").agg(F.count("event_id").alias("n"))
+    return e.join(rules.small(force), e.event_type == force.rule).groupBy("rule", "severity").agg(F.count("event_id").alias("n"))
 
 
 @query("SELECT event_type AS rule, count(*) AS findings, count(DISTINCT user_id) AS projects FROM events GROUP BY event_type")
@@ -279,11 +279,11 @@ def assembly_index(spark, d):
     return reports.assembly_index(rows)
 
 
-@query("""WITH r AS (SELECT DISTINCT source AS project, doc_id % 50 AS file, n_chars % 10 AS lines FROM documents)
-SELECT project, count(DISTINCT file) AS files, sum(lines)::BIGINT AS lines FROM r GROUP BY project UNION ALL SELECT NULL, count(DISTINCT file), sum(lines)::BIGINT FROM (SELECT DISTINCT file, lines FROM r)""")
+@query("""WITH x AS (SELECT source AS project, doc_id % 50 AS file, doc_id AS region, n_chars % 10 AS lines FROM documents), r AS (SELECT * FROM x UNION SELECT 'shared', file, region, lines FROM x WHERE region % 3 = 0)
+SELECT project, count(DISTINCT file) AS files, sum(lines)::BIGINT AS lines FROM r GROUP BY project UNION ALL SELECT NULL, count(DISTINCT file), sum(lines)::BIGINT FROM (SELECT DISTINCT file, region, lines FROM r)""")
 def directive_totals(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("project"), (F.col("doc_id") % 50).alias("file"), (F.col("n_chars") % 10).alias("lines"))
-    return reports.directive_totals(rows)
+    rows = table(spark, d, "documents").select(F.col("source").alias("project"), (F.col("doc_id") % 50).alias("file"), F.col("doc_id").alias("region"), (F.col("n_chars") % 10).alias("lines"))
+    return reports.directive_totals(rows.unionByName(rows.filter("region % 3 = 0").withColumn("project", F.lit("shared"))))
 
 
 @query("SELECT p_brand, p_partkey, greatest(n - 3, 0) AS n_more FROM (SELECT p_brand, p_partkey, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) WHERE k <= 3")

@@ -90,14 +90,55 @@ def consolidated(spark, d):
     return versions.consolidate(constraints(spark), f, needs)[0]
 
 
-@query("""WITH dep AS (SELECT lower(p_name) AS name, max(p_size) AS k, bool_or(p_size % 2 = 0) AS signed FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), ref AS (SELECT lower(p_name) AS name, list(DISTINCT p_size) AS ks FROM part WHERE p_partkey % 5 = 0 GROUP BY 1),
-old AS (SELECT lower(p_name) AS name, max('1.' || p_size || '.0.0') AS was FROM part WHERE p_partkey % 4 = 0 GROUP BY 1),
-j AS (SELECT coalesce(dep.name, old.name) AS name, '1.' || k || '.0.0' AS too, was, coalesce(signed AND len(list_filter(ks, lambda x: x != k)) > 0, false) AS differs, coalesce(signed AND len(list_filter(ks, lambda x: x > k)) > 0, false) AS lower_ FROM dep LEFT JOIN ref USING (name) FULL JOIN old ON old.name = dep.name),
-a AS (SELECT name, CASE WHEN lower_ THEN 'lower' WHEN differs AND was IS NULL THEN 'added' WHEN differs AND was != too THEN 'changed' WHEN differs THEN 'unchanged' WHEN was IS NOT NULL THEN 'stale' END AS action, coalesce(too, was) AS version FROM j)
-SELECT * FROM a WHERE action IS NOT NULL""")
+NAMES = "n AS (SELECT lower(p_brand) || '.' || p_partkey % 90 AS name, p_partkey AS k, p_size AS v, '1.' || p_size || '.0.0' AS version FROM part)"
+
+
+@query(f"""WITH {NAMES}, dep AS (SELECT name, max(v) AS v, arg_max(version, v) AS too, bool_or(v % 2 = 0) AS signed FROM n WHERE k % 3 = 0 GROUP BY name), ref AS (SELECT name, max(v) AS top, min(v) AS least FROM n WHERE k % 5 = 0 GROUP BY name),
+old AS (SELECT name, arg_min('0.0.0.0-1.' || (v - v % 2) || '.0.0', k) AS old, arg_min(version, k) AS version FROM n WHERE k % 4 = 0 GROUP BY name),
+j AS (SELECT coalesce(dep.name, old.name) AS name, too, '0.0.0.0-' || too AS wanted, old, version, coalesce(signed AND top > v, false) AS lower_, coalesce(signed AND top <= v AND least < v, false) AS needed, old.name IS NOT NULL AS has, dep.name IS NOT NULL AS ships
+  FROM dep LEFT JOIN ref USING (name) FULL JOIN old ON old.name = dep.name)
+SELECT name, 'lower' AS action, NULL AS old, too AS version, NULL AS was FROM j WHERE lower_
+UNION ALL SELECT name, 'added', wanted, too, NULL FROM j WHERE needed AND NOT has
+UNION ALL SELECT name, 'changed', wanted, too, version FROM j WHERE has AND ((needed AND (old != wanted OR version != too)) OR (NOT needed AND ships AND version != too))
+UNION ALL SELECT name, 'unchanged', old, version, NULL FROM j WHERE has AND ((needed AND old = wanted AND version = too) OR (NOT needed AND ships AND version = too))
+UNION ALL SELECT name, 'stale', old, version, NULL FROM j WHERE has AND NOT ships""")
 def redirect_diff(spark, d):
-    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("1."), F.col("p_size"), F.lit(".0.0")).alias("version"), (F.col("p_size") % 2 == 0).alias("signed"), "p_partkey")
-    return versions.redirects(p.filter("p_partkey % 5 = 0"), p.filter("p_partkey % 3 = 0"), p.filter("p_partkey % 4 = 0"))
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")), F.lit("."), F.col("p_partkey") % 90)
+    p = table(spark, d, "part").select(name.alias("name"), F.concat(F.lit("1."), F.col("p_size"), F.lit(".0.0")).alias("version"), (F.col("p_size") % 2 == 0).alias("signed"), F.col("p_partkey").alias("place"), "p_size")
+    existing = p.filter("place % 4 = 0").withColumn("old", F.concat(F.lit("0.0.0.0-1."), F.col("p_size") - F.col("p_size") % 2, F.lit(".0.0")))
+    return versions.redirects(p.filter("place % 5 = 0"), p.filter("place % 3 = 0"), existing)
+
+
+@query(f"""WITH {FEED}, s AS (SELECT id, version, count(DISTINCT p_partkey % 2) AS n FROM f WHERE version NOT LIKE '%beta' AND p_size BETWEEN 10 AND 39 GROUP BY id, version HAVING n >= 2)
+SELECT id, arg_max(version, split_part(version, '.', 2)::INTEGER) AS version FROM s GROUP BY id""")
+def newest_in_range(spark, d):
+    return versions.newest_in_range(feed(spark, d).withColumn("framework", F.col("p_partkey") % 2), "[1.10.0, 1.40.0)", 2)
+
+
+@query(f"""WITH {FEED}, u AS (SELECT DISTINCT p_brand AS id, p_type AS tfm FROM part WHERE p_size = 7), w AS (SELECT DISTINCT p_brand AS id, p_size, p_type AS tfm FROM part)
+SELECT DISTINCT f.id, f.p_size AS size FROM f WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.id = f.id AND NOT EXISTS (SELECT 1 FROM w WHERE w.id = f.id AND w.p_size = f.p_size AND w.tfm = u.tfm))""")
+def supports_every_framework(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("id"), F.col("p_size").alias("version"), F.col("p_type").alias("tfm"))
+    found = versions.supports_all(p.select("id", "version").distinct(), p.filter("version = 7"), p)
+    return found.select("id", F.col("version").alias("size"))
+
+
+IMPOSSIBLE = [("Brand#21", "a", "direct", "[1.20.0, 1.30.0]"), ("Brand#21", "b", "direct", "[1.40.0, )"), ("Brand#22", "a", "direct", "[9.0, )")]
+
+
+@query("SELECT * FROM (VALUES ('Brand#21', '[1.20.0, 1.30.0];[1.40.0, )'), ('Brand#22', '[9.0, )')) t(id, ranges) WHERE EXISTS (SELECT 1 FROM part)")
+def consolidation_conflicts(spark, d):
+    asked = constraints(spark).unionByName(spark.createDataFrame(IMPOSSIBLE, "id string, project string, kind string, range string"))
+    found = versions.unsatisfied(asked, versions.choose(feed(spark, d), asked))
+    return found.select("id", F.array_join("ranges", ";").alias("ranges"))
+
+
+@query(f"""WITH {CHOSEN}, p(id, project, pin, k2) AS (VALUES ('brand#11', 'x', '1.2.0', 5), ('BRAND#12', NULL, '1.49.0', 99), ('Brand#13', 'y', '1.1.0', 3))
+SELECT c.id, project, pin, version FROM c JOIN p ON lower(c.id) = lower(p.id) WHERE k2 < k""")
+def pins_below_choice(spark, d):
+    pins = spark.createDataFrame([("brand#11", "x", "1.2.0"), ("BRAND#12", None, "1.49.0"), ("Brand#13", "y", "1.1.0")], "id string, project string, version string")
+    found = versions.pins_below(versions.choose(feed(spark, d), constraints(spark)), pins)
+    return found.select(F.initcap("id").alias("id"), "project", "pin", "version")
 
 
 @query("""WITH m AS (SELECT p_brand AS file, p_name AS package, '1.' || p_size || '.0' AS version, p_size, ['path', 'identical', 'file version', 'informational version', 'assembly version', 'newer'][1 + (p_partkey % 5) + 1] AS match, 2 + p_partkey % 5 AS rk, p_partkey % 2 = 0 AS listed FROM part)

@@ -168,3 +168,46 @@ def test_searches(spark):
     assert {r["node"] for r in fixpoints.self_reaching(calls).collect()} == {"z"}
     assert {(r["node"], r["distance"]) for r in fixpoints.extended(entries, calls, 1).collect()} == {("e1", 0), ("e2", 0), ("m", 1), ("n", 1)}
     assert {r["start"] for r in fixpoints.reaches_within(entries, calls, starts, 2).collect()} == {"e1", "e2"}
+
+
+def test_standings_and_components_agree_at_any_size(spark):
+    random.seed(11)
+    for n, m in ((12, 16), (25, 30), (25, 60)):
+        pairs = sorted({(f"n{random.randint(0, n)}", f"n{random.randint(0, n)}") for _ in range(m)})
+        whole = edges_of(spark, *pairs)
+        used = edges_of(spark, *(p for p in pairs if random.random() < 0.7))
+        projects = spark.createDataFrame([(f"n{i}", random.choice(["framework", "standard"])) for i in range(n + 1)], "id string, framework_class string")
+        rows = lambda df: {tuple(r) for r in df.collect()}
+        got = rows(graph.standings(projects, used, whole))
+        assert got == rows(graph.standings(projects, used, whole, local_limit=0))
+        assert rows(graph.scc(whole)) == rows(graph.scc(whole, local_limit=0))
+        # by pairs
+        reach, cycle = {}, {}
+        for e, out in ((used, reach), (whole, cycle)):
+            for s, d in rows(graph.closure(e)):
+                out.setdefault(s, set()).add(d)
+        same = lambda a, b: b in cycle.get(a, ()) and a in cycle.get(b, ())
+        fw = {r["id"] for r in projects.collect() if r["framework_class"] == "framework"}
+        blocks = {f"n{i}": reach.get(f"n{i}", set()) & fw for i in range(n + 1)}
+
+        def wave(i):
+            return 0 if not blocks[i] and i not in fw else 1 + max([wave(b) for b in blocks[i] if not same(i, b)], default=0)
+
+        assert got == {(i, "blocked" if blocks[i] else "ready" if i in fw else "done", wave(i)) for i in blocks}
+
+
+def test_unused_edge_within_a_cycle_makes_no_wave(spark):
+    projects = spark.createDataFrame([("A", "framework", "library"), ("B", "framework", "library")], "id string, framework_class string, kind string")
+    edges = edges_of(spark, ("A", "B"), ("B", "A"))
+    rows = graph.plan(projects, edges, edges_of(spark, ("A", "B"))).collect()
+    assert [(r["id"], r["wave"], r["in_cycle"]) for r in rows] == [("A", 1, True), ("B", 1, True)]
+
+
+def test_cycle_path_comes_back_to_its_start(spark):
+    assert graph.cycle_path(edges_of(spark, ("a", "b")), ["a", "c"]) == ["a", "c", "a"]
+
+
+def test_long_chains_end(spark):
+    chain = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.reached_set(chain, spark.createDataFrame([(0,)], "n long"), local_limit=0).count() == 41
+    assert graph.distances(chain, spark.createDataFrame([(0,)], "n long")).agg(F.max("distance")).first()[0] == 40
