@@ -497,8 +497,12 @@ def leaf_first(edges: DataFrame, nodes: DataFrame) -> list:
 
 def cycle_path(edges: DataFrame, members: list) -> list:
     """A readable way round a cycle from its first member and back, by sorted depth-first search; else the members and the first again."""
+    return way_round(bounded(edges), members)
+
+
+def way_round(edges: dict, members: list) -> list:
     inside, start = set(members), min(members)
-    adjacency = {s: [d for d in ds if d in inside] for s, ds in bounded(edges).items() if s in inside}
+    adjacency = {s: [d for d in edges.get(s, ()) if d in inside] for s in inside}
     path, seen, stack = [start], {start}, [iter(adjacency.get(start, ()))]
     while stack:
         for n in stack[-1]:

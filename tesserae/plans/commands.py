@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import directory_key
-from tesserae.operators import graph, reports, rules, versions
-from tesserae.operators.relational import longest_prefix
+from tesserae.operators import cuts, facts, fixpoints, graph, reports, rules, versions
+from tesserae.operators.relational import SMALL_ROWS, baseline, longest_prefix, numbered
 
 
 def used(t: dict[str, DataFrame]) -> DataFrame:
@@ -80,3 +80,68 @@ def deps_audit(t: dict[str, DataFrame], support: DataFrame, found: DataFrame, re
     has = known.filter("replacement IS NOT NULL")
     status = versions.audit_status(in_use, found, support, has.select("id"))
     return status.join(known.select("id", "replacement"), "id", "left").orderBy("id")
+
+
+def deps_gac(references: DataFrame) -> DataFrame:
+    """(project, uses, names): framework assemblies that projects refer to; references (project, name, kind)."""
+    rows = references.filter("kind = 'framework'")
+    return rows.groupBy("project").agg(F.count("name").alias("uses"), F.array_sort(F.collect_set(F.lower("name"))).alias("names")).orderBy("project")
+
+
+def deps_consolidate(direct: DataFrame, options: DataFrame, dependencies: DataFrame, usage: DataFrame | None = None, support: DataFrame | None = None, families: DataFrame | None = None, pins: DataFrame | None = None, newest: bool = False) -> dict[str, DataFrame]:
+    """chosen versions, what decided them, packages that no version suits, and pins below the choice."""
+    options = versions.supports_all(options, usage, support) if usage is not None else options
+    chosen, _ = versions.consolidate(direct, options, dependencies, families, pins, not newest)
+    none = pins if pins is not None else direct.select("id", "project", F.lit(None).cast("string").alias("version")).limit(0)
+    return {"chosen": chosen.orderBy("id"), "deciding": versions.deciding(direct, chosen), "unsatisfied": versions.unsatisfied(direct, chosen), "pins_below": versions.pins_below(chosen, none)}
+
+
+def redirects_sync(referenced: DataFrame, deployed: DataFrame, existing: DataFrame, only: list[str] | None = None, prune: bool = False) -> DataFrame:
+    rows = versions.redirects(referenced, deployed, existing, prune)
+    return (rows.filter(F.col("name").isin(*[n.lower() for n in only])) if only is not None else rows).orderBy("name", "action")
+
+
+def resolve_dlls(matches: DataFrame) -> DataFrame:
+    return versions.best_match(matches).orderBy("file")
+
+
+def dead_code(declarations: DataFrame, uses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Unused declarations with their confidence; evidence (symbol, low_evidence, is_public, shipped, is_action, is_friend)."""
+    known = evidence.withColumnRenamed("symbol", "__s")
+    flags = [c for c in evidence.columns if c != "symbol"]
+    rows = rules.dead_code(declarations, uses).join(known, F.col("symbol") == F.col("__s"), "left").drop("__s")
+    return rules.confidence(rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})).orderBy("file", "begin", "symbol")
+
+
+def ifdef_report(regions: DataFrame, symbol: str | None = None) -> DataFrame:
+    """Totals of conditional regions (project, file, region, lines, symbol), of one symbol or of all."""
+    return reports.directive_totals(regions if symbol is None else regions.filter(F.col("symbol") == symbol))
+
+
+def seams(type_edges: DataFrame, clean: DataFrame, tainted: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """The cut of each project, and its boundaries (project, boundary, friendly, members, articulates) by score."""
+    scored = members.withColumn("score", cuts.seam_score(F.col("friendly"), F.col("members"), F.col("articulates")))
+    return {"cuts": cuts.seam_cuts(type_edges, clean, tainted), "seams": numbered(scored, [F.col("project"), F.desc("score"), F.col("boundary")], "place")}
+
+
+def verify(paths: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """(project) to build for changed paths: their owners and what references these directly."""
+    folder = F.when(F.col("id").contains("/"), F.regexp_replace("id", "/[^/]*$", "")).otherwise(".")
+    found = reports.affected(paths, t["project"].select("id", folder.alias("folder")), t["compile_item"], t["edge"])
+    return found.select("project").distinct().orderBy("project")
+
+
+def verdict(current: DataFrame, known: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
+    """One row: new, known and fixed errors, codes that the baseline has nowhere, and whether it passes."""
+    sides = baseline(current, known, keys)
+    fresh = sides.filter("standing = 'new'").select(code).distinct().join(known.select(F.col(code).alias("__c")).distinct(), F.col(code) == F.col("__c"), "left_anti")
+    codes = [r[0] for r in fresh.orderBy(code).limit(SMALL_ROWS).collect()]
+    count = lambda s: F.count_if(F.col("standing") == s).alias(s)
+    rows = sides.agg(count("new"), count("known"), count("fixed"))
+    return rows.withColumns({"new_codes": F.array(*map(F.lit, codes)).cast("array<string>"), "passes": F.col("new") == 0})
+
+
+def serializer_scan(facts_: DataFrame, detectors: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 4) -> dict[str, DataFrame]:
+    """Findings of the detectors, and the nearest entry point above each symbol that has one."""
+    found = facts.detected(facts_, detectors)
+    return {"findings": found, "entries": fixpoints.nearest_entry(found.select("symbol"), calls, entries, depth)}

@@ -287,9 +287,9 @@ def cycle_paths(spark, d):
     e = cyclic(spark, d)
     of = graph.scc(e)
     inner = e.join(of.select(F.col("node").alias("a"), "component"), F.col("src") == F.col("a")).join(of.select(F.col("node").alias("b"), F.col("component").alias("c2")), F.col("dst") == F.col("b")).filter("component = c2")
-    rows = []
+    rows, adjacency = [], graph.bounded(e)
     for r in graph.cycles(e).collect():
-        path = graph.cycle_path(e, r["members"])
+        path = graph.way_round(adjacency, r["members"])
         assert path[0] == path[-1] == r["component"] and len(path) > 2
         rows.append((r["component"],))
     told = spark.createDataFrame(rows, "component long")

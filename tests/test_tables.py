@@ -199,3 +199,74 @@ def test_ledger_stream(spark, tmp_path):
 
 def test_wrong_answers_fail():
     assert verify.key(1.0) != verify.key(2.0) and verify.key(None) != verify.key("None")
+
+
+def test_redirects_tell_cases_apart(spark):
+    ref = spark.createDataFrame([("A", "1.9.0.0"), ("A", "1.10.0.0"), ("B", "3.0.0.0"), ("C", "1.0.0.0"), ("D", "1.0.0.0"), ("E", "1.0.0.0")], "name string, version string")
+    dep = spark.createDataFrame([("a", "1.10.0.0", True), ("B", "2.0.0.0", True), ("C", "1.0.0.0", True), ("D", "2.0.0.0", False), ("E", "2.0.0.0", True)], "name string, version string, signed boolean")
+    old = spark.createDataFrame([("A", "0.0.0.0-1.10.0.0", "1.10.0.0", 1), ("A", "0.0.0.0-9.0.0.0", "9.0.0.0", 2), ("B", "x", "2.0.0.0", 3), ("C", "x", "0.9.0.0", 4), ("Gone", "x", "1.0.0.0", 5)], "name string, old string, version string, place int")
+    rows = {(r["name"], r["action"]): (r["old"], r["version"], r["was"]) for r in versions.redirects(ref, dep, old).collect()}
+    assert rows == {
+        ("a", "unchanged"): ("0.0.0.0-1.10.0.0", "1.10.0.0", None), ("b", "lower"): (None, "2.0.0.0", None), ("b", "unchanged"): ("x", "2.0.0.0", None), ("c", "changed"): ("0.0.0.0-1.0.0.0", "1.0.0.0", "0.9.0.0"),
+        ("e", "added"): ("0.0.0.0-2.0.0.0", "2.0.0.0", None), ("gone", "stale"): ("x", "1.0.0.0", None),
+    }
+    assert ("gone", "pruned") in {(r["name"], r["action"]) for r in versions.redirects(ref, dep, old, prune=True).collect()}
+
+
+def test_row_order_changes_nothing(spark):
+    rows = [(i, f"pkg{i % 7}.name{i % 5}") for i in range(300)]
+    patterns = spark.createDataFrame([("pkg1", 1), ("pkg1.name", 2), ("pkg2", 3)], "prefix string, source int")
+    keys = spark.createDataFrame([("R", "pkg1", False), ("R", "name2", True), ("S", "name3", False)], "rule string, key string, is_exclude boolean")
+    seen = set()
+    for n in (1, 7):
+        df = spark.createDataFrame(rows[:: 1 if n == 1 else -1], "id long, name string").repartition(n).distinct()
+        got = R.longest_prefix(df, "name", patterns, "prefix", source="source").select("id", "prefix").collect()
+        hit = rules.match(df.withColumn("keys", F.split("name", r"\.")), keys).select("id", "rule").collect()
+        seen.add((tuple(sorted((r["id"], r["prefix"] or "") for r in got)), tuple(sorted(map(tuple, hit)))))
+    assert len(seen) == 1 and len(next(iter(seen))[0]) == 300
+    assert sorted(seen.pop()[1]) == sorted([(i, "R") for i in range(300) if i % 7 == 1 and i % 5 != 2] + [(i, "S") for i in range(300) if i % 5 == 3])
+
+
+def test_many_targets_and_lengths_are_not_dropped(spark):
+    assets = spark.createDataFrame([("p", "1", "f")], "package string, version string, framework string")
+    relation = spark.createDataFrame([("t1", "f")], "target string, framework string")
+    targets = spark.range(9_000).select(F.concat(F.lit("t"), "id").alias("target"))
+    assert R.compatible(targets, assets, relation).count() == 9_000
+    with pytest.raises(ValueError):
+        R.compatible(spark.range(10_500).select(F.col("id").cast("string").alias("target")), assets, relation)
+
+
+def test_consolidation_says_what_it_cannot_settle(spark):
+    direct = spark.createDataFrame([("A", "p", "direct", "[1.0, 2.0)"), ("A", "q", "direct", "[3.0, )"), ("B", "p", "direct", "[1.0, 1.5]")], "id string, project string, kind string, range string")
+    options = spark.createDataFrame([("A", "1.0"), ("A", "3.0"), ("B", "1.0"), ("B", "2.0"), ("C", "2.0")], "id string, version string")
+    chosen = versions.choose(options, direct)
+    assert {tuple(r) for r in versions.unsatisfied(direct, chosen).select("id", F.array_join("ranges", ";")).collect()} == {("A", "[1.0, 2.0);[3.0, )")}
+    families = spark.createDataFrame([("B", "f"), ("C", "f")], "id string, family string")
+    held = {tuple(r) for r in versions.align_families(chosen.filter("id != 'A'"), families, options, direct.select("id", "range")).collect()}
+    assert ("B", "1.0") in held and ("C", "2.0") in held
+    usage, support = spark.createDataFrame([("B", "x"), ("B", "y")], "id string, tfm string"), spark.createDataFrame([("B", "1.0", "x"), ("B", "2.0", "x"), ("B", "2.0", "y")], "id string, version string, tfm string")
+    assert {tuple(r) for r in versions.supports_all(options, usage, support).collect()} == {("A", "1.0"), ("A", "3.0"), ("B", "2.0"), ("C", "2.0")}
+
+
+def test_shortest_edit_scripts():
+    import random
+
+    from tesserae.operators.facts import edit_script
+
+    random.seed(1)
+    for _ in range(300):
+        a, b = ([random.choice("abc") for _ in range(random.randint(0, 9))] for _ in range(2))
+        script, common = edit_script(a, b), [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
+        gone, come = {i for o, i in script if o == "-"}, {i for o, i in script if o == "+"}
+        assert [x for i, x in enumerate(a) if i not in gone] == [y for j, y in enumerate(b) if j not in come]
+        assert len(script) == len(a) + len(b) - 2 * common[-1][-1]
+
+
+def test_hosted_framework_project_blocks_its_application(spark):
+    projects = spark.createDataFrame([("app", "standard"), ("area", "framework")], "id string, framework_class string")
+    edges = spark.createDataFrame([("app", "x")], "src string, dst string")
+    row = reports.application(projects, edges, spark.createDataFrame([("area", "app")], "id string, hosted_by string"), "app").first()
+    assert (row["remaining"], row["status"], row["next"]) == (1, "blocked", ["area"])
