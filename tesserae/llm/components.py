@@ -19,6 +19,8 @@ from tesserae.session import checkpoint_ready
 
 #: A key of more rows than this, and than this share of all rows, is dealt out; so there are at most MOST_HOT such keys.
 LEAST_HOT, MOST_HOT = 1024, 10_000
+#: Least neighbours are broadcast while the pairs, which are counted, are no more than this, and their ids are numbers.
+BROADCAST_PAIRS = 131_072
 
 
 def with_least(pairs: DataFrame, key: str, value: str, total: int, n: int = 1, most: int | None = None) -> DataFrame:
@@ -26,12 +28,13 @@ def with_least(pairs: DataFrame, key: str, value: str, total: int, n: int = 1, m
 
     total: the number of pairs, or more; most: no key has more pairs, if that is known. A hot key's pairs go to as many
     places as they fill, and its least value to each of them. Hot keys are broadcast: each holds more than one in
-    MOST_HOT of all pairs, so they are at most that many. Where no key can be hot, a plain join does.
+    MOST_HOT of all pairs, so they are at most that many. Where no key can be hot a plain join does, and where pairs are
+    few the least values are broadcast and nothing is dealt.
     """
-    size = max(LEAST_HOT, total // MOST_HOT)
-    if most is not None and most <= size:
+    size, fixed = max(LEAST_HOT, total // MOST_HOT), {kind for _, kind in pairs.select(key, value).dtypes} <= {"bigint", "int", "smallint", "tinyint"}
+    if most is not None and (most <= size or (total <= BROADCAST_PAIRS and fixed)):
         least = pairs.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("least"))
-        return pairs.join(least, F.col(key) == F.col("__key")).select(key, value, "least")
+        return pairs.join(F.broadcast(least) if total <= BROADCAST_PAIRS and fixed else least, F.col(key) == F.col("__key")).select(key, value, "least")
     low = pairs.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("least"), F.count(value).alias("__n")).filter(F.col("__n") >= n)
     parts = F.ceil(F.col("__n") / size).cast("int")
     hot = low.filter(F.col("__n") > size).select(F.col("__key").alias("__hot"), parts.alias("__parts"))
@@ -47,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        most = both.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+        most = 2 * state[0] if 2 * state[0] <= BROADCAST_PAIRS else both.groupBy("u").count().agg(F.max("count")).first()[0]
         large = with_least(both, "u", "v", 2 * state[0], most=most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         joined = with_least(large, "u", "v", state[0], most=most)
         small = joined.filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(joined.select("u", F.col("least").alias("v"))).distinct()

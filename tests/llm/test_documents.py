@@ -412,8 +412,10 @@ def test_best_fit_packing_query(spark):
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
-def test_hot_keys_are_dealt_out(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 131_072])
+def test_hot_keys_are_dealt_out(spark, monkeypatch, few):
     monkeypatch.setattr(components, "LEAST_HOT", 8)
+    monkeypatch.setattr(components, "BROADCAST_PAIRS", few)
     random.seed(6)
     edges = [(0, k) for k in range(1, 400)] + [(500 + k, 500 + random.randrange(k)) for k in range(1, 200)] + [(None, 3), (3, None), (900, 900)] + [(0, 1)] * 50
     df = spark.createDataFrame(edges, "u long, v long")
