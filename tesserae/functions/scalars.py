@@ -108,7 +108,7 @@ def framework_class(tfms: Column) -> Column:
     )
 
 
-def first_match(*cases: tuple[Column, str, str], otherwise: tuple[str, str]) -> Column:
+def first_match(*cases: tuple[Column, str, str | Column], otherwise: tuple[str, str | Column]) -> Column:
     """struct(kind, evidence) of the first case that holds."""
     made = lambda kind, evidence: F.struct(F.lit(kind).alias("kind"), F.lit(evidence).alias("evidence"))
     chain = None
@@ -117,6 +117,70 @@ def first_match(*cases: tuple[Column, str, str], otherwise: tuple[str, str]) ->
     return made(*otherwise) if chain is None else chain.otherwise(made(*otherwise))
 
 
+# Project type identifiers, test frameworks and service packages.
+TEST_GUID = "3AC096D0-A1C2-E12C-1390-A8335801FDAB"
+WEB_GUIDS = [
+    "349C5851-65DF-11DA-9384-00065B846F21",
+    "E24C65DC-7377-472B-9ABA-BC803B73C61A",
+    "603C0E0B-DB56-11DC-BE95-000D561079B0",
+    "F85E285D-A4E0-4152-9332-AB1D724D3325",
+    "E53F8FEA-EAE0-44A6-8774-FFD645390401",
+    "E3E379DF-F4C6-4180-9B81-6769533ABE47",
+]
+WPF_GUID = "60DC8134-EBA5-43B8-BCC9-BB4BC16C2548"
+TEST_PACKAGES = "xunit xunit.core xunit.v3 xunit.v3.core xunit.runner.visualstudio NUnit NUnit3TestAdapter NUnit4TestAdapter MSTest MSTest.TestFramework MSTest.TestAdapter TUnit TUnit.Core TUnit.Engine".split()
+TEST_ASSEMBLIES = "Microsoft.VisualStudio.QualityTools.UnitTestFramework Microsoft.VisualStudio.TestPlatform.TestFramework nunit.framework TUnit.Core xunit xunit.core xunit.v3.core MbUnit.Framework".split()
+SERVICE_PACKAGES = ["Topshelf", "Microsoft.Extensions.Hosting.WindowsServices"]
+
+
+def project_kind(guids: Column, sdk: Column, output_type: Column, references: Column, packages: Column, config_packages: Column, is_test: Column, web_config: Column, winforms: Column, wpf: Column) -> Column:
+    """struct(kind, evidence) of a project by its facts; the first rule that holds decides, and unknown facts don't hold.
+
+    Names and output types ignore case, an SDK does not; no output type is a library. A test framework is no evidence
+    in an executable that is a desktop or service application by a later rule.
+    """
+    names = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), F.lower)
+    refs, direct, listed = names(references), names(packages), names(config_packages)
+    has = lambda a, name: F.array_contains(a, name.lower())
+    typed = lambda g: F.coalesce(F.upper(guids).contains(g), F.lit(False))
+    sdk_is = lambda name: F.coalesce(sdk == name, F.lit(False))
+    out = F.coalesce(output_type, F.lit("Library"))
+    exe, windowed, library = F.lower(out) == "exe", F.lower(out) == "winexe", F.lower(out) == "library"
+
+    application = [
+        (winforms, "winforms", "UseWindowsForms=true"),
+        (has(refs, "System.Windows.Forms") & windowed, "winforms", "Reference System.Windows.Forms + OutputType=WinExe"),
+        (wpf, "wpf", "UseWPF=true"),
+        (sdk_is("Microsoft.NET.Sdk.WindowsDesktop") & has(refs, "PresentationFramework"), "wpf", "Sdk=Microsoft.NET.Sdk.WindowsDesktop + PresentationFramework"),
+        (typed(WPF_GUID), "wpf", f"ProjectTypeGuids {{{WPF_GUID}}}"),
+        (has(refs, "System.ServiceProcess") & exe, "service", "Reference System.ServiceProcess + OutputType=Exe"),
+    ]
+    for p in SERVICE_PACKAGES:
+        application += [(has(direct, p), "service", f"PackageReference {p}"), (has(listed, p) & exe, "service", f"packages.config {p} + OutputType=Exe")]
+    application.append((sdk_is("Microsoft.NET.Sdk.Worker"), "service", "Sdk=Microsoft.NET.Sdk.Worker"))
+    runs = (exe | windowed) & F.greatest(*[F.coalesce(holds, F.lit(False)) for holds, _, _ in application])
+
+    def first_of(fixed: list[str], held: Column) -> Column:
+        """The first of the fixed names that is held, as it is spelled there."""
+        low = F.array(*[F.lit(n.lower()) for n in fixed])
+        return F.get(F.array(*map(F.lit, fixed)), F.array_position(low, F.get(F.array_intersect(low, held), F.lit(0))).cast("int") - 1)
+
+    tested = [("PackageReference ", first_of(TEST_PACKAGES, direct), ""), ("packages.config ", first_of(TEST_PACKAGES, listed), "")]
+    tested.append(("Reference ", F.when(library, first_of(TEST_ASSEMBLIES, refs)), " + OutputType=Library"))
+    return first_match(
+        (is_test, "test", "IsTestProject=true"),
+        (typed(TEST_GUID), "test", f"ProjectTypeGuids {{{TEST_GUID}}}"),
+        (sdk_is("Microsoft.NET.Sdk.Web"), "web", "Sdk=Microsoft.NET.Sdk.Web"),
+        *[(typed(g), "web", f"ProjectTypeGuids {{{g}}}") for g in WEB_GUIDS],
+        (has(refs, "System.Web") & library & web_config, "web", "Reference System.Web + OutputType=Library + web.config"),
+        *[(name.isNotNull() & ~runs, "test", F.concat(F.lit(before), name, F.lit(after))) for before, name, after in tested],
+        *application,
+        (exe, "console", "OutputType=Exe"),
+        (library, "library", "OutputType=Library"),
+        otherwise=("unknown", F.concat(F.lit("OutputType="), out)),
+    )
+
+
 # ---- versions
 
 

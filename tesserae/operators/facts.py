@@ -54,6 +54,26 @@ def wire_friendly(types: DataFrame, members: DataFrame) -> DataFrame:
     return types.join(out, F.col("type") == F.col("__b"), "left").withColumn("friendly", F.col("__b").isNull()).drop("__b")
 
 
+def api_differences(outputs: DataFrame, text: str, sides: list[tuple[str, str]], by: tuple = ()) -> DataFrame:
+    """(*by, code, member, only_on, message), distinct: the `CPnnnn: message` lines of comparison outputs, but for CP1nnn.
+
+    sides: two (path, label); paths in messages become labels, whatever their case. member: the first quoted name, else the
+    message; only_on: the label that follows "exists on", if one does. A null text has no lines.
+    """
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    rows = outputs.select(*by, F.explode(F.split(text, "\n")).alias("line")).withColumn("line", line).filter(F.col("line").rlike(r"^CP(?!1)[0-9]{4}:."))
+    message = F.regexp_replace(F.substring("line", 8, 2**31 - 1), r"^\s+", "")
+    for path, label in sides:
+        message = F.regexp_replace(message, F.lit("(?iu)\\Q" + path.replace("\\E", "\\E\\\\E\\Q") + "\\E"), F.lit(label.replace("\\", "\\\\").replace("$", "\\$")))
+    rows = rows.select(*by, F.substring("line", 1, 6).alias("code"), message.alias("message"))
+    member = F.when(F.col("message").rlike("'[^']*'"), F.regexp_extract("message", "'([^']*)'", 1)).otherwise(F.col("message"))
+    rest, only = F.regexp_extract("message", "exists on (.*)$", 1), None
+    for _, label in sides:
+        only = F.when(rest.startswith(label), label) if only is None else only.when(rest.startswith(label), label)
+    # a text without the words has an empty rest, which no label starts
+    return rows.select(*by, "code", member.alias("member"), only.alias("only_on"), "message").distinct()
+
+
 def edit_script(a: list, b: list) -> list[tuple[str, int]]:
     """("-", place in a) and ("+", place in b) of a shortest edit script: the greedy search of furthest ends by diagonals."""
     low = 0

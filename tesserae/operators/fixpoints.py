@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import closure, gathered, reached_set, reverse
@@ -66,6 +66,74 @@ def self_reaching(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame
     return loops.unionByName(back.select(F.col("src").alias("node"))).distinct()
 
 
+def first_self_reaching(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(node): the first by name of those on a cycle; no row if there is none."""
+    return self_reaching(edges, seeds).agg(F.min("node").alias("node")).filter("node IS NOT NULL")
+
+
+def entry_points(starts: DataFrame, callers: DataFrame, verdicts: DataFrame, depth: int = 4, listed: int = 10) -> DataFrame:
+    """(start, entry, path, reason, candidates) of every start: its nearest entry point, or why it has none.
+
+    verdicts (node, reason): a null reason qualifies; a node without a verdict is not examined, nor are its callers.
+    callers (src, dst), tests left out. path runs from the entry down to the start. Without an entry the reason is
+    `depth exceeded` if something calls what was examined at the last level, else the start's own, else `not
+    accessible`; candidates (node, reason) are the first examined. Levels are searched in the order of their paths.
+    """
+    checkpoint_ready(starts.sparkSession)
+    up = callers.select(F.col("dst").alias("low"), F.col("src").alias("high")).distinct()
+    told = verdicts.select(F.col("node").alias("v"), "reason").dropDuplicates(["v"])
+    asked = starts.select(F.col(starts.columns[0]).alias("start")).distinct().checkpoint()
+    new = asked.withColumns({"node": F.col("start"), "path": F.array("start")}).checkpoint()
+    seen, hits, tried, over = [new.select("start", "node")], [], [], None
+    for level in range(depth + 1):
+        now = new.join(told, F.col("node") == F.col("v")).drop("v").withColumn("level", F.lit(level)).checkpoint()
+        hit = first_per_key(now.filter("reason IS NULL"), ["start"], [F.col("path")]).select("start", F.col("node").alias("entry"), F.reverse("path").alias("path")).checkpoint()
+        rest = now.join(hit.select(F.col("start").alias("h")), F.col("start") == F.col("h"), "left_anti")
+        hits.append(hit)
+        tried.append(rest)
+        step = rest.join(up, F.col("node") == F.col("low"))
+        if level == depth:
+            over = step.select(F.col("start").alias("o")).distinct()
+            break
+        step = step.select("start", F.col("high").alias("node"), F.concat("path", F.array("high")).alias("path"))
+        known = gathered(seen).select(F.col("start").alias("s"), F.col("node").alias("n"))
+        new = first_per_key(step.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")), "left_anti"), ["start", "node"], [F.col("path")]).checkpoint()
+        seen.append(new.select("start", "node"))
+    found, examined = gathered(hits), gathered(tried)
+    own = examined.filter("level = 0").select(F.col("start").alias("w"), F.col("reason").alias("own"))
+    first = examined.withColumn("k", F.row_number().over(Window.partitionBy("start").orderBy("level", "path"))).filter(F.col("k") <= listed)
+    first = first.groupBy(F.col("start").alias("c")).agg(F.array_sort(F.collect_list(F.struct("k", "node", "reason"))).alias("x"))
+    out = asked.join(found.withColumnRenamed("start", "f"), F.col("start") == F.col("f"), "left").join(over, F.col("start") == F.col("o"), "left")
+    out = out.join(own, F.col("start") == F.col("w"), "left").join(first, F.col("start") == F.col("c"), "left")
+    why = F.when(F.col("entry").isNotNull(), F.lit(None).cast("string")).when(F.col("o").isNotNull(), "depth exceeded").otherwise(F.coalesce("own", F.lit("not accessible")))
+    listing = F.when(F.col("entry").isNull(), F.coalesce(F.transform("x", lambda e: F.struct(e["node"].alias("node"), e["reason"].alias("reason"))), F.array()))
+    return out.select("start", "entry", "path", why.alias("reason"), listing.alias("candidates"))
+
+
+def first_violation(starts: DataFrame, calls: DataFrame, bad: DataFrame, depth: int = 6) -> DataFrame:
+    """(start, callee, path): the first bad node that a start calls within `depth` levels, and the calls that lead to it.
+
+    The nearest comes first, among equals the one whose path is least; starts that call none have no row, and a start
+    that is bad itself counts only where it is called.
+    """
+    checkpoint_ready(starts.sparkSession)
+    down = calls.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
+    wrong = bad.select(F.col(bad.columns[0]).alias("b")).distinct()
+    new = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumns({"node": F.col("start"), "path": F.array("start")}).checkpoint()
+    seen, found = [new.select("start", "node")], []
+    for level in range(1, depth + 1):
+        step = new.join(down, F.col("node") == F.col("from")).select("start", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path")).checkpoint()
+        hit = first_per_key(step.join(wrong, F.col("node") == F.col("b"), "left_semi"), ["start"], [F.col("path")]).select("start", F.col("node").alias("callee"), "path").checkpoint()
+        found.append(hit)
+        rest = step.join(hit.select(F.col("start").alias("h")), F.col("start") == F.col("h"), "left_anti")
+        if level == depth or rest.isEmpty():
+            break
+        known = gathered(seen).select(F.col("start").alias("s"), F.col("node").alias("n"))
+        new = first_per_key(rest.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")), "left_anti"), ["start", "node"], [F.col("path")]).checkpoint()
+        seen.append(new.select("start", "node"))
+    return gathered(found)
+
+
 def nearest_entry(starts: DataFrame, callers: DataFrame, entries: DataFrame, depth: int = 4) -> DataFrame:
     """(start, entry, path): for each start the first entry found going up callers, level by level.
 

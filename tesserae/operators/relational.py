@@ -181,18 +181,21 @@ def first_answer(df: DataFrame, key: str, lookups: list[DataFrame], answer: str,
     return df.withColumns({out: F.coalesce(*cols), f"{out}_source": which}).drop(*cols)
 
 
+def few(df: DataFrame, column: str) -> Column:
+    """The distinct values of a column as one array; more of them than `SMALL_ROWS` are refused."""
+    held = [r[0] for r in df.select(column).distinct().limit(SMALL_ROWS + 1).collect()]
+    if len(held) > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} of {column}")
+    return F.array(*map(F.lit, held)).cast(f"array<{df.schema[column].dataType.simpleString()}>")
+
+
 def compatible(targets: DataFrame, assets: DataFrame, relation: DataFrame) -> DataFrame:
     """(package, version, target, supports): any asset fits the target; a version without assets fits all.
 
     assets (package, version, framework), relation (target, framework): pairs that fit. Targets are few by nature; their
     number is checked, and each version is exploded to all of them, which is the answer's size.
     """
-    asked = [r[0] for r in targets.select("target").distinct().limit(SMALL_ROWS + 1).collect()]
-    if len(asked) > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} targets")
-    kind = targets.schema["target"].dataType.simpleString()
-    each = F.explode(F.array(*map(F.lit, asked)).cast(f"array<{kind}>"))
-    versions = assets.select("package", "version").distinct().withColumn("target", each)
+    versions = assets.select("package", "version").distinct().withColumn("target", F.explode(few(targets, "target")))
     fits = assets.filter("framework IS NOT NULL").join(relation.select(F.col("framework").alias("__f"), F.col("target").alias("__t")), F.col("framework") == F.col("__f"), "left")
     held = fits.groupBy(F.col("package").alias("__p"), F.col("version").alias("__v")).agg(F.collect_set("__t").alias("__ts"))
     out = versions.join(held, (F.col("package") == F.col("__p")) & (F.col("version") == F.col("__v")), "left")
@@ -205,8 +208,14 @@ def majority(votes: DataFrame, key: str, choice: str) -> DataFrame:
     return first_per_key(counted, [key], [F.desc("votes"), F.col(choice)])
 
 
-def covering(candidates: DataFrame, key: str, member: str) -> DataFrame:
-    """Of sets (key, member), the one that contains every other, else the strictly largest; `choice` tells how, or that it is a tie."""
+def covering(candidates: DataFrame, key: str, member: str, flawed: DataFrame | None = None) -> DataFrame:
+    """Of sets (key, member), the one that contains every other, else the strictly largest; `choice` tells how, or that it is a tie.
+
+    flawed: a one-column frame of keys that are set aside, unless there are no others.
+    """
+    if flawed is not None:
+        sound = candidates.join(flawed.select(F.col(flawed.columns[0]).alias("__f")).distinct(), F.col(key) == F.col("__f"), "left_anti")
+        candidates = candidates if sound.isEmpty() else sound
     sizes = candidates.distinct().groupBy(key).agg(F.countDistinct(member).alias("n"))
     total = candidates.select(member).distinct().count()
     top = sizes.agg(F.max("n").alias("top"), F.max_by(key, F.struct("n", key)).alias(key)).first()

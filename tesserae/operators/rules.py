@@ -79,6 +79,27 @@ def portability(files: DataFrame, findings: DataFrame, by: str) -> DataFrame:
     return joined.groupBy(by).agg(n.alias("files"), bad.alias("touched"), F.coalesce(F.bround(F.try_divide(n - bad, n), 3), F.lit(1.0)).alias("portability"))
 
 
+def ledger(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(project, files, portable_files, portability, by_category, by_namespace): a row for each project of `files`.
+
+    files (project, file), a null file for a project without any; findings (project, file, severity, category,
+    namespace). A file with an error is not portable; the share rounds half to even, 1.0 for no files. The maps count
+    all findings of a project by key, keys in order; a null namespace is in none.
+    """
+    blocked = findings.filter("severity = 'error'").select(F.col("project").alias("__p"), F.col("file").alias("__f")).distinct().withColumn("__hit", F.lit(1))
+    each = files.select("project", "file").distinct().join(blocked, (F.col("project") == F.col("__p")) & (F.col("file") == F.col("__f")), "left")
+    n = F.count("file")
+    out = each.groupBy("project").agg(n.alias("files"), (n - F.count("__hit")).alias("portable_files"))
+    out = out.withColumn("portability", F.coalesce(F.bround(F.try_divide("portable_files", "files"), 3), F.lit(1.0)))
+    empty = F.create_map().cast("map<string,bigint>")
+    for key in ("category", "namespace"):
+        # counted by key first, so that a project with most findings is no group of its own size
+        counted = findings.filter(F.col(key).isNotNull()).groupBy(F.col("project").alias("__p"), key).count()
+        counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("count")))))
+        out = out.join(counted.groupBy("__p").agg(counts.alias("__m")), F.col("project") == F.col("__p"), "left").withColumn(f"by_{key}", F.coalesce("__m", empty)).drop("__p", "__m")
+    return out
+
+
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("project").alias("projects")).orderBy(F.desc("findings"), "rule")
 
@@ -87,9 +108,13 @@ def top_namespaces(findings: DataFrame, k: int = 20) -> DataFrame:
     return findings.filter("namespace IS NOT NULL").groupBy("namespace").count().orderBy(F.desc("count"), "namespace").limit(k)
 
 
-def word_index(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """The first (doc, place) at which each word appears; words are runs of letters, decimal digits and underscores."""
+def word_index(texts: DataFrame, doc: str, text: str, ignore_case: bool = False) -> DataFrame:
+    """The first (doc, place) at which each word appears; words are runs of letters, decimal digits and underscores.
+
+    ignore_case: words that differ in case alone are one, in lower case.
+    """
     words = texts.select(doc, F.posexplode(F.expr(rf"regexp_extract_all({text}, '[\\p{{L}}\\p{{Nd}}_]+', 0)")).alias("place", "word"))
+    words = words.withColumn("word", F.lower("word")) if ignore_case else words
     return words.groupBy("word").agg(F.min(F.struct(doc, "place")).alias("at")).select("word", F.col(f"at.{doc}").alias(doc), F.col("at.place").alias("place"))
 
 

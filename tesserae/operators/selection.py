@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import ancestors, unix_path
 from tesserae.operators.graph import bounded, closure, hosted_projects, leaf_first, local_components, with_starts
-from tesserae.operators.relational import first_per_key, first_with_ties, not_in
+from tesserae.operators.relational import few, first_per_key, first_with_ties, not_in
+from tesserae.session import checkpoint_ready
 
 
 def nearest_group(wanted: DataFrame, groups: DataFrame, precedence: DataFrame) -> DataFrame:
@@ -29,6 +30,28 @@ def platform_only(assets: DataFrame, marker: str = "windows") -> DataFrame:
     return first_per_key(rows, ["package"], [order, F.col("framework")]).select("package", F.concat_ws("/", "folder", "framework").alias("evidence"))
 
 
+def windows_evidence(assets: DataFrame, precedence: DataFrame, native: DataFrame) -> DataFrame:
+    """(package, target, evidence): why a package serves a target on Windows alone.
+
+    assets (package, path, framework, marker): a marker says what ties an assembly to Windows. precedence (target,
+    framework, rank). Of lib, else ref, the framework nearest to the target decides, by its first marked assembly. A package
+    with neither whose runtime files, native (package, path) first, are all for Windows is told by the first of them.
+    """
+    root = F.when(F.lower("path").startswith("lib/"), 0).when(F.lower("path").startswith("ref/"), 1)
+    held = assets.withColumn("root", root)
+    fits = held.filter("root IS NOT NULL").join(precedence.withColumnRenamed("framework", "__w"), F.col("framework") == F.col("__w"))
+    near = first_with_ties(fits, ["package", "target"], [F.col("root"), F.col("rank"), F.col("framework")])
+    by_assembly = near.filter("marker IS NOT NULL").groupBy("package", "target").agg(F.min_by(F.concat_ws(": ", "path", "marker"), "path").alias("evidence"))
+    runtime = native.select("package", "path", F.lit(0).alias("kind")).unionByName(held.filter(F.lower("path").startswith("runtimes/")).select("package", "path", F.lit(1).alias("kind")))
+    runtime = not_in(runtime, held.filter("root IS NOT NULL"), ["package"])
+    parts = F.split("path", "/")
+    ours = F.coalesce((F.size(parts) > 1) & F.lower(F.get(parts, F.lit(1))).startswith("win"), F.lit(False))
+    first = runtime.groupBy("package").agg(F.min(F.struct("kind", "path")).alias("x"), F.min(ours).alias("all")).filter("all")
+    what = F.when(F.col("x.kind") == 0, ": native code for Windows only").otherwise(": code for Windows only")
+    each = first.select("package", F.concat("x.path", what).alias("evidence"), F.explode(few(precedence, "target")).alias("target"))
+    return by_assembly.unionByName(each.select("package", "target", "evidence"))
+
+
 def zipped(left: Column, right: Column) -> Column:
     """Pairs by position, as long as the shorter of two arrays."""
     n = F.least(F.size(left), F.size(right))
@@ -55,6 +78,25 @@ def governing(folders: DataFrame, marks: DataFrame) -> DataFrame:
     return found.groupBy("folder").agg(F.max_by("mark", depth).alias("mark"))
 
 
+def version_hazards(props: DataFrame, projects: DataFrame, listed: DataFrame, old_style: DataFrame) -> DataFrame:
+    """(hazard, path, folder): what goes wrong with central package versions.
+
+    props (folder, imports_parent): folders that hold central versions. `outside`: a project that the solution doesn't list
+    but a folder governs; `shadows`: a folder below another one that doesn't import it; `old style`: a listed project
+    with a package list of its own. projects, listed, old_style (id); listing ignores case.
+    """
+    folder = lambda c: F.when(c.contains("/"), F.regexp_replace(c, "/[^/]*$", "")).otherwise(".")
+    known = listed.select(F.lower("id").alias("__k")).distinct()
+    out = projects.select("id").distinct().join(known, F.lower("id") == F.col("__k"), "left_anti").withColumn("__in", folder(F.col("id")))
+    over = governing(out.select(F.col("__in").alias("folder")).distinct(), props)
+    outside = out.join(over, F.col("__in") == F.col("folder")).select(F.lit("outside").alias("hazard"), F.col("id").alias("path"), F.col("mark").alias("folder"))
+    nested = props.filter("folder != '.'").select(F.col("folder").alias("at"), "imports_parent", folder(F.col("folder")).alias("__in"))
+    above = governing(nested.select(F.col("__in").alias("folder")).distinct(), props)
+    shadows = nested.filter("NOT coalesce(imports_parent, false)").join(above, F.col("__in") == F.col("folder")).select(F.lit("shadows").alias("hazard"), F.col("at").alias("path"), F.col("mark").alias("folder"))
+    old = listed.select("id").distinct().join(old_style.select("id"), "id", "left_semi")
+    return outside.unionByName(shadows).unionByName(old.select(F.lit("old style").alias("hazard"), F.col("id").alias("path"), F.lit(None).cast("string").alias("folder")))
+
+
 def below_but_missing(on_disk: DataFrame, listed: DataFrame, folder: str) -> DataFrame:
     """(id): projects below a folder that the solution doesn't list, whatever their case."""
     inside = on_disk if folder == "." else on_disk.filter(F.lower("id").startswith(folder.lower().rstrip("/") + "/"))
@@ -118,6 +160,31 @@ def case_mismatches(asked: DataFrame, files: DataFrame) -> DataFrame:
     return missing.join(spelled, F.lower("path") == F.col("__k")).select("path", "found")
 
 
+def case_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, found, segment, actual): asked paths that exist only in another case, followed segment by segment.
+
+    In each folder the spelling asked for is taken if it is there, else the least one that differs in case alone; a
+    path that has neither is not on disk. segment and actual are the first that differ. files (path); their folders exist too.
+    """
+    checkpoint_ready(asked.sparkSession)
+    parts = F.split("path", "/")
+    inside = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("folder"), F.element_at(parts, i).alias("name")))).alias("e"))
+    names = inside.groupBy("e.folder", F.lower("e.name").alias("key")).agg(F.array_sort(F.collect_set("e.name")).alias("names")).checkpoint()
+    none = F.lit(None).cast("string")
+    rows = asked.select("path").distinct().select("path", parts.alias("parts"), F.lit("").alias("at"), none.alias("segment"), none.alias("actual")).checkpoint()
+    out = rows.limit(0)
+    for i in range(rows.agg(F.max(F.size("parts"))).first()[0] or 0):
+        own = F.get("parts", F.lit(i))
+        step = rows.join(names, (F.col("at") == F.col("folder")) & (F.lower(own) == F.col("key")))
+        took = F.when(F.array_contains("names", own), own).otherwise(F.get("names", F.lit(0)))
+        new = F.col("segment").isNull() & (took != own)
+        at = took if i == 0 else F.concat_ws("/", "at", took)
+        rows = step.select("path", "parts", at.alias("at"), F.when(new, own).otherwise(F.col("segment")).alias("segment"), F.when(new, took).otherwise(F.col("actual")).alias("actual")).checkpoint()
+        out = out.unionByName(rows.filter(F.size("parts") == i + 1))
+        rows = rows.filter(F.size("parts") > i + 1)
+    return out.filter("segment IS NOT NULL").select("path", F.col("at").alias("found"), "segment", "actual")
+
+
 def greedy_edits(edits: Column) -> Column:
     """Of edits (start, end), the longest of each start, then from the left those that overlap none kept before."""
     longest = F.array_sort(edits, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]).cast("int"))

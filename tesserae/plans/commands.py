@@ -73,9 +73,17 @@ def audit(uses: DataFrame, rule_table: DataFrame, rule_keys: DataFrame, packs: l
     return {"findings": found, "summary": rules.summary(found), "namespaces": rules.top_namespaces(found)}
 
 
-def deps_audit(t: dict[str, DataFrame], support: DataFrame, found: DataFrame, replacements: DataFrame) -> DataFrame:
-    """(id, status, replacement): support (id, version, supports, empty), replacements (pattern, replacement, whole)."""
-    in_use = t["package_usage"].select("id", "version").distinct().join(support, ["id", "version"], "left")
+def deps_audit(t: dict[str, DataFrame], support: DataFrame, found: DataFrame, replacements: DataFrame, package: str | None = None, project: str | None = None, ignored: tuple = ()) -> DataFrame:
+    """(id, status, replacement): support (id, version, supports, empty), replacements (pattern, replacement, whole).
+
+    Ignored packages are left out; with `package`, all others are, and with `project`, versions it doesn't use. Package
+    names ignore case.
+    """
+    usage = t["package_usage"]
+    usage = usage.filter(~F.lower("id").isin(*[i.lower() for i in ignored])) if ignored else usage
+    usage = usage.filter(F.lower("id") == package.lower()) if package is not None else usage
+    usage = usage.filter(F.col("project") == project) if project is not None else usage
+    in_use = usage.select("id", "version").distinct().join(support, ["id", "version"], "left")
     known = longest_prefix(in_use.select("id").distinct(), "id", replacements, "pattern", "whole")
     has = known.filter("replacement IS NOT NULL")
     status = versions.audit_status(in_use, found, support, has.select("id"))

@@ -7,6 +7,7 @@ its bound and refuses more.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +82,22 @@ def grouped_markdown(df: DataFrame, group: str, line: str, k: int) -> str:
     return "\n".join(out) + "\n"
 
 
-def sarif(findings: DataFrame, tool: str, version: str) -> str:
+def rule_entry(r: dict, tool: str) -> dict:
+    """A rule's description: (rule, title, recommendation, help_uri, severity, category, pack); what is null is left out."""
+    text = lambda v: {"text": v} if v is not None else None
+    name = "".join(w[:1].upper() + w[1:] for w in re.findall(r"[^\W_]+", r["title"] or ""))
+    held = {
+        "id": r["rule"], "name": name or None, "shortDescription": text(r["title"]), "helpUri": r["help_uri"], "help": text(r["recommendation"]),
+        "defaultConfiguration": {"level": LEVELS.get(r["severity"], "note")}, "properties": {"category": r["category"], "tags": [x for x in (tool, r["pack"], r["category"]) if x is not None]},
+    }
+    return {k: v for k, v in held.items() if v is not None}
+
+
+def sarif(findings: DataFrame, tool: str, version: str, rules: DataFrame | None = None) -> str:
+    """Findings in order; rules, if given, are listed whole, those without a finding too."""
     rows = rows_of(findings.orderBy("rule", "project", "file", "line", "column", "symbol"))
-    names = sorted({r["rule"] for r in rows})
+    told = {r["rule"]: rule_entry(r.asDict(), tool) for r in rows_of(rules)} if rules is not None else {}
+    names = sorted({r["rule"] for r in rows} | set(told))
     place = {n: i for i, n in enumerate(names)}
     results = [
         {
@@ -92,7 +106,7 @@ def sarif(findings: DataFrame, tool: str, version: str) -> str:
         }
         for r in rows
     ]
-    driver = {"name": tool, "version": version, "rules": [{"id": n} for n in names]}
+    driver = {"name": tool, "version": version, "rules": [told.get(n, {"id": n}) for n in names]}
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=1, ensure_ascii=False)
 
 
