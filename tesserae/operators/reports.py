@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import ancestors, directory_key, unix_path
-from tesserae.operators.graph import application_closure, readiness
+from tesserae.operators.graph import application_closure, closure, readiness, with_starts
 from tesserae.operators.relational import complete, first_per_key, first_with_ties, not_in
 
 # The framework classes.
@@ -73,6 +73,25 @@ def application(projects: DataFrame, edges: DataFrame, hosted: DataFrame, start)
     return rows.agg(F.lit(start).alias("application"), F.count("id").alias("projects"), left.alias("remaining"), status.alias("status"), ready.alias("next"))
 
 
+def library_report(projects: DataFrame, edges: DataFrame, shipped: DataFrame, hosted: DataFrame) -> DataFrame:
+    """(project, shipped, status, closure, remaining, remaining_loc, next) of each shipped library that nothing hosts.
+
+    projects (id, kind, framework_class, loc), shipped (id, reason), hosted (id, ...). A library is done if no
+    framework-only project is left in its closure, itself included, ready if it is the only one, else blocked; next are those that are ready.
+    """
+    own = projects.filter("kind = 'library'").join(shipped.select("id", F.col("reason").alias("shipped")), "id").join(hosted.select("id"), "id", "left_anti").select(F.col("id").alias("project"), "shipped")
+    starts = own.select("project")
+    states = readiness(projects, edges).withColumnRenamed("id", "__i")
+    near = with_starts(closure(edges, starts), starts).join(projects, F.col("dst") == F.col("id")).join(states, F.col("id") == F.col("__i"), "left")
+    left = F.col("framework_class") == "framework"
+    n, mine = F.count_if(left), F.count_if(left & (F.col("id") == F.col("src")))
+    status = F.when(n == 0, "done").when((n == 1) & (mine == 1), "ready").otherwise("blocked")
+    told = near.groupBy("src").agg(
+        status.alias("status"), F.count("id").alias("closure"), n.alias("remaining"), F.coalesce(F.sum(F.when(left, F.col("loc"))), F.lit(0)).alias("remaining_loc"), F.array_sort(F.collect_set(F.when(left & (F.col("readiness") == "ready"), F.col("id")))).alias("next")
+    )
+    return own.join(told, F.col("project") == F.col("src")).drop("src")
+
+
 def error_rollup(errors: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """By code: errors and projects, most first; and the k most frequent texts. Repeats of one error count once."""
     rows = errors.select("code", "project", "file", "line", "message").distinct()

@@ -121,6 +121,49 @@ def priority_mapping(sources: DataFrame, entries: list[tuple[str, str]], referen
     return first_with_ties(rows, ["source"], [F.col("level")]).drop("level").distinct()
 
 
+def counterparts(projects: DataFrame, entries: list[tuple[str, str]], edges: DataFrame, unsuited: DataFrame) -> DataFrame:
+    """(project, counterpart, source, problem): where the code of each project that applies may go; a problem says why not.
+
+    projects (id, name, applies, language, excluded, frozen, framework_class, compiled, test). entries (pattern, template)
+    in order of precedence, as in `priority_mapping`, over names; a target is an id or else a name, whatever its case, and
+    one that no project has, or several have, counts as none. A project with a matching entry takes entries alone; any other, unless a
+    test, takes what it refers to, if that is portable, no test and without a problem. A project without a
+    candidate has one row without a counterpart, of source `map` or `none`. unsuited (project, counterpart, target):
+    targets for which a project can't refer to a counterpart.
+    """
+    asked, low = projects.filter("applies"), F.lower
+    made = None
+    for pattern, template in entries:
+        hit = F.col("name").startswith(pattern[:-1]) if pattern.endswith("*") else F.col("name") == pattern
+        part = asked.filter(hit).select(F.col("id").alias("project"), F.replace(F.lit(template), F.lit("{name}"), F.col("name")).alias("to"))
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        made = asked.limit(0).select(F.col("id").alias("project"), F.col("name").alias("to"))
+    by_id = projects.groupBy(low("id").alias("i")).agg(F.min("id").alias("a"))
+    by_name = projects.groupBy(low("name").alias("n")).agg(F.min("id").alias("b"), F.count("id").alias("k")).filter("k = 1")
+    mapped = made.distinct().join(by_id, low("to") == F.col("i"), "left").join(by_name, low("to") == F.col("n"), "left")
+    mapped = mapped.select("project", F.coalesce("a", "b").alias("counterpart"), F.lit("map").alias("source")).distinct()
+    rest = not_in(asked.filter("NOT test").select(F.col("id").alias("project")), made, ["project"])
+    fit = projects.filter("framework_class IN ('standard', 'dual') AND NOT test").select(F.col("id").alias("__c"))
+    referred = rest.join(edges.select("src", "dst").distinct(), F.col("project") == F.col("src")).join(fit, F.col("dst") == F.col("__c"), "left_semi").select("project", F.col("dst").alias("counterpart"), F.lit("references").alias("source"))
+    rows = mapped.filter("counterpart IS NOT NULL").unionByName(referred)
+
+    facts = projects.select(F.col("id").alias("__c"), "language", "excluded", "frozen", "framework_class", "compiled")
+    back = closure(edges, rows.select("counterpart").distinct()).select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
+    least = unsuited.groupBy(F.col("project").alias("__p"), F.col("counterpart").alias("__u")).agg(F.min("target").alias("target"))
+    rows = rows.join(facts, F.col("counterpart") == F.col("__c")).join(back, (F.col("counterpart") == F.col("__s")) & (F.col("project") == F.col("__d")), "left")
+    rows = rows.join(least, (F.col("project") == F.col("__p")) & (F.col("counterpart") == F.col("__u")), "left")
+    problem = (
+        F.when(F.col("project") == F.col("counterpart"), "itself").when(F.col("language") != "csharp", "language").when(F.col("excluded"), "excluded").when(F.col("frozen"), "frozen")
+        .when(F.col("framework_class") == "framework", "framework only").when(F.col("framework_class") == "modern", "modern only").when(~F.col("compiled"), "not compiled")
+        .when(F.col("__d").isNotNull(), "depends on it").when(F.col("target").isNotNull(), F.concat(F.lit("no reference for "), "target"))
+    )
+    rows = rows.select("project", "counterpart", "source", problem.alias("problem")).filter("source = 'map' OR problem IS NULL")
+    bare = not_in(asked.select(F.col("id").alias("project")), rows, ["project"]).join(made.select(F.col("project").alias("__m")).distinct(), F.col("project") == F.col("__m"), "left")
+    kind = projects.schema["id"].dataType
+    return rows.unionByName(bare.select("project", F.lit(None).cast(kind).alias("counterpart"), F.when(F.col("__m").isNotNull(), "map").otherwise("none").alias("source"), F.lit(None).cast("string").alias("problem")))
+
+
 def ordered_candidates(names: DataFrame, configured: DataFrame, built_in: DataFrame) -> DataFrame:
     """(name, place, id): configured ids, then built-in ones, then the name itself; repeats in another case are left out.
 

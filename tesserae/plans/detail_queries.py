@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalars
-from tesserae.operators import facts, fixpoints, relational, rules
+from tesserae.operators import facts, fixpoints, relational, reports, rules
 from tesserae.operators import selection as S
-from tesserae.plans.graph_queries import C, D, REACH_C, cyclic, dag
+from tesserae.plans.graph_queries import C, D, HOSTED, REACH_C, REACH_D, READY, cyclic, dag, hosting, parts
 from tesserae.session import table
 
 QUERIES: dict = {}
@@ -195,3 +195,38 @@ def windows_evidence(spark, d):
     assets = p.select(package.alias("package"), F.concat(root, k, F.lit(".dll")).alias("path"), F.substring_index("p_type", " ", 1).alias("framework"), F.when(s % 3 == 0, F.concat(F.lit("uses "), s)).alias("marker"))
     native = p.filter("p_size % 7 = 0").select(package.alias("package"), F.concat(F.lit("runtimes/"), F.when(s % 4 == 0, "linux").otherwise("win10"), F.lit("/native/"), k, F.lit(".so")).alias("path"))
     return S.windows_evidence(assets, precedence, native)
+
+
+@query(f"""WITH RECURSIVE {D}, p AS (SELECT p_partkey AS id, 'n' || p_partkey AS name, p_size > 44 AND p_partkey >= 16 AS applies, CASE WHEN p_partkey % 17 = 3 THEN 'basic' ELSE 'csharp' END AS language, p_partkey % 19 = 4 AS excluded, p_partkey % 23 = 5 AS frozen,
+  CASE WHEN p_size > 44 AND p_partkey >= 16 THEN 'framework' WHEN p_size % 7 = 0 THEN 'modern' WHEN p_size % 2 = 0 THEN 'dual' ELSE 'standard' END AS cls, p_partkey % 29 != 6 AS compiled, p_partkey % 5 = 0 AS test FROM part),
+m AS (SELECT id AS project, 'n77' AS target FROM p WHERE applies AND name LIKE 'n7%' UNION SELECT id, CASE WHEN name = 'n31' THEN 'N31' ELSE name || '0' END FROM p WHERE applies AND (name LIKE 'n1%' OR name = 'n31')),
+r0 AS (SELECT project, c.id AS counterpart, 'map' AS source FROM m JOIN p c ON lower(c.name) = lower(target) UNION SELECT a.id, c.id, 'references' FROM p a JOIN d ON d.src = a.id JOIN p c ON c.id = d.dst WHERE a.applies AND NOT a.test AND NOT c.test AND c.cls IN ('standard', 'dual') AND a.id NOT IN (SELECT project FROM m)),
+b(s, node) AS (SELECT DISTINCT counterpart, d.dst FROM r0 JOIN d ON d.src = counterpart UNION SELECT s, d.dst FROM b JOIN d ON d.src = b.node),
+r AS (SELECT project, counterpart, source, CASE WHEN project = counterpart THEN 'itself' WHEN language != 'csharp' THEN 'language' WHEN excluded THEN 'excluded' WHEN frozen THEN 'frozen' WHEN cls = 'framework' THEN 'framework only' WHEN cls = 'modern' THEN 'modern only' WHEN NOT compiled THEN 'not compiled'
+  WHEN EXISTS (SELECT 1 FROM b WHERE b.s = counterpart AND b.node = project) THEN 'depends on it' WHEN project % 3 = 0 AND counterpart % 4 = 1 THEN 'no reference for net48' END AS problem FROM r0 JOIN p ON p.id = counterpart)
+SELECT project, counterpart, source, problem FROM r WHERE source = 'map' OR problem IS NULL
+UNION ALL SELECT id, NULL, CASE WHEN id IN (SELECT project FROM m) THEN 'map' ELSE 'none' END, NULL FROM p WHERE applies AND id NOT IN (SELECT project FROM r WHERE source = 'map' OR problem IS NULL)""")
+def counterparts(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    old = (size > 44) & (k >= 16)
+    p = table(spark, d, "part").select(
+        k.alias("id"), F.concat(F.lit("n"), k).alias("name"), old.alias("applies"), F.when(k % 17 == 3, "basic").otherwise("csharp").alias("language"), (k % 19 == 4).alias("excluded"), (k % 23 == 5).alias("frozen"),
+        F.when(old, "framework").when(size % 7 == 0, "modern").when(size % 2 == 0, "dual").otherwise("standard").alias("framework_class"), (k % 29 != 6).alias("compiled"), (k % 5 == 0).alias("test"),
+    )
+    e = dag(spark, d)
+    pairs = e.select(F.col("src").alias("project"), F.col("dst").alias("counterpart")).unionByName(p.select(F.col("id").alias("project"), (F.col("id") * 10).alias("counterpart")))
+    pairs = pairs.unionByName(p.select(F.col("id").alias("project"), F.lit(77).cast("long").alias("counterpart")))
+    unsuited = pairs.filter("project % 3 = 0 AND counterpart % 4 = 1").withColumn("target", F.explode(F.array(F.lit("net8.0"), F.lit("net48"))))
+    return S.counterparts(p, [("n7*", "n77"), ("n1*", "{name}0"), ("n31", "N31")], e, unsuited)
+
+
+@query(f"""WITH RECURSIVE {D}, {REACH_D}, {READY}, {HOSTED}, sh AS (SELECT p_partkey AS id, 'packable' AS reason FROM part WHERE p_partkey % 6 = 1),
+o AS (SELECT id AS project, reason AS shipped FROM sh WHERE id % 5 != 0 AND id NOT IN (SELECT id FROM h)), near AS (SELECT project, project AS node FROM o UNION SELECT project, dst FROM o JOIN r ON r.src = project),
+x AS (SELECT n.project, n.node, n.node IN (SELECT id FROM fw) AS l, p_size, readiness FROM near n JOIN part ON p_partkey = n.node LEFT JOIN st ON st.id = n.node)
+SELECT project, shipped, CASE WHEN count(*) FILTER (l) = 0 THEN 'done' WHEN count(*) FILTER (l) = 1 AND count(*) FILTER (l AND node = project) = 1 THEN 'ready' ELSE 'blocked' END AS status, count(*) AS closure, count(*) FILTER (l) AS remaining,
+  coalesce(sum(p_size) FILTER (l), 0)::BIGINT AS remaining_loc, coalesce(string_agg(node::VARCHAR, ',' ORDER BY node) FILTER (l AND readiness = 'ready'), '') AS next FROM x JOIN o USING (project) GROUP BY project, shipped""")
+def library_report(spark, d):
+    p = parts(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("loc")), "id")
+    shipped = p.filter("id % 6 = 1").select("id", F.lit("packable").alias("reason"))
+    out = reports.library_report(p, dag(spark, d), shipped, hosting(spark, d))
+    return out.select("project", "shipped", "status", "closure", "remaining", "remaining_loc", F.array_join("next", ",").alias("next"))

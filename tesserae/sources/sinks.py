@@ -114,6 +114,30 @@ def quoted(text) -> str:
     return '"' + str(text).replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
+# How marks of a graph are drawn, by class, by kind, and for cycles and references to files.
+FILLS = {"framework": "firebrick", "standard": "seagreen", "modern": "steelblue", "dual": "darkorange"}
+SHAPES = {"library": "box", "console": "box", "service": "hexagon", "web": "tab", "test": "box", "winforms": "box", "wpf": "box"}
+CYCLE, FILE_EDGE = "red", "assembly"
+
+
+def marked_dot(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> str:
+    """A directed graph with its marks: fill for the class, shape for the kind, cycles in red, references to files dashed.
+
+    nodes (id, framework_class, kind), edges (src, dst, kind), cycles (component, members).
+    """
+    of = {m: r["component"] for r in rows_of(cycles.select("component", "members")) for m in r["members"]}
+    out = ["digraph g {", "  node [style=filled, fontcolor=white];"]
+    for r in rows_of(nodes.select("id", "framework_class", "kind").orderBy("id")):
+        held = {"fillcolor": FILLS.get(r["framework_class"], "gray"), "shape": SHAPES.get(r["kind"], "ellipse")}
+        held |= {"style": quoted("filled,dashed")} if r["kind"] == "test" else {"peripheries": 2} if r["kind"] in ("winforms", "wpf") else {}
+        held |= {"color": CYCLE} if r["id"] in of else {}
+        out.append(f"  {quoted(r['id'])} [{', '.join(f'{k}={v}' for k, v in held.items())}];")
+    for r in rows_of(edges.select("src", "dst", "kind").distinct().orderBy("src", "dst", "kind")):
+        held = ["style=dashed"] * (r["kind"] == FILE_EDGE) + [f"color={CYCLE}"] * (r["src"] in of and of[r["src"]] == of.get(r["dst"]))
+        out.append(f"  {quoted(r['src'])} -> {quoted(r['dst'])}" + (f" [{', '.join(held)}];" if held else ";"))
+    return "\n".join([*out, "}"]) + "\n"
+
+
 def dot(nodes: DataFrame, edges: DataFrame, cluster: str | None = None) -> str:
     """A directed graph, nodes (id, ...) and edges (src, dst) in order, in a cluster for each value of a column."""
     rows, out, last = rows_of(nodes.orderBy(*([cluster] if cluster else []), "id")), ["digraph g {"], None

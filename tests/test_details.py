@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalars
-from tesserae.operators import facts, fixpoints, relational, rules, selection
+from tesserae.operators import facts, fixpoints, relational, reports, rules, selection
 from tesserae.plans import commands
 from tesserae.sources import sinks
 
@@ -138,3 +138,37 @@ def test_sarif_lists_rules(spark):
     first, second = run["tool"]["driver"]["rules"]
     assert first == {"id": "R1", "name": "NoFileAccess", "shortDescription": {"text": "No file access"}, "help": {"text": "Use streams"}, "defaultConfiguration": {"level": "note"}, "properties": {"category": "io", "tags": ["t", "core", "io"]}}
     assert second["helpUri"] == "h" and "help" not in second and run["results"][0]["ruleIndex"] == 1
+
+
+def test_counterparts_and_their_problems(spark):
+    fields = "id string, name string, applies boolean, language string, excluded boolean, frozen boolean, framework_class string, compiled boolean, test boolean"
+    one = lambda id_, applies=False, cls="standard", language="csharp", test=False: (id_, id_.upper(), applies, language, False, False, cls, True, test)
+    p = spark.createDataFrame([one("a", True, "framework"), one("b", True, "framework"), one("c", True, "framework"), one("d", True, "framework"), one("s"), one("m", cls="modern"), one("v", language="basic"), one("t", test=True)], fields)
+    e = spark.createDataFrame([("b", "s"), ("b", "t"), ("b", "m"), ("s", "d")], "src string, dst string")
+    unsuited = spark.createDataFrame([("b", "s", "net48")], "project string, counterpart string, target string").limit(0)
+    entries = [("A", "s"), ("A", "V"), ("A", "nowhere"), ("D*", "s"), ("D*", "{name}"), ("C", "nowhere")]
+    found = {(r[0], r[1]): (r[2], r[3]) for r in selection.counterparts(p, entries, e, unsuited).collect()}
+    assert found == {
+        ("a", "s"): ("map", None), ("a", "v"): ("map", "language"), ("b", "s"): ("references", None), ("c", None): ("map", None),
+        ("d", "s"): ("map", "depends on it"), ("d", "d"): ("map", "itself"),
+    }
+    bad = spark.createDataFrame([("b", "s", "net48")], "project string, counterpart string, target string")
+    found = {(r[0], r[1]): (r[2], r[3]) for r in selection.counterparts(p, [], e, bad).collect()}
+    assert found == {(x, None): ("none", None) for x in "abcd"}
+
+
+def test_library_report(spark):
+    p = spark.createDataFrame([("l", "library", "framework", 5), ("k", "library", "standard", 2), ("w", "web", "framework", 1), ("x", "library", "framework", 7)], "id string, kind string, framework_class string, loc long")
+    e = spark.createDataFrame([("k", "x")], "src string, dst string")
+    shipped = p.select("id", F.lit("packable").alias("reason"))
+    hosted = spark.createDataFrame([("x", "w")], "id string, hosted_by string")
+    rows = [(r["project"], r["status"], r["closure"], r["remaining"], r["remaining_loc"], r["next"]) for r in reports.library_report(p, e, shipped, hosted).orderBy("project").collect()]
+    assert rows == [("k", "blocked", 2, 1, 7, ["x"]), ("l", "ready", 1, 1, 5, ["l"])]
+
+
+def test_marked_graph(spark):
+    nodes = spark.createDataFrame([("a", "framework", "test"), ("b", "dual", "wpf"), ("c", None, "odd")], "id string, framework_class string, kind string")
+    edges = spark.createDataFrame([("a", "b", "project"), ("b", "a", "assembly"), ("c", "a", "assembly")], "src string, dst string, kind string")
+    text = sinks.marked_dot(nodes, edges, spark.createDataFrame([("a", ["a", "b"])], "component string, members array<string>"))
+    assert '"a" [fillcolor=firebrick, shape=box, style="filled,dashed", color=red];' in text and '"b" [fillcolor=darkorange, shape=box, peripheries=2, color=red];' in text
+    assert '"c" [fillcolor=gray, shape=ellipse];' in text and '"a" -> "b" [color=red];' in text and '"b" -> "a" [style=dashed, color=red];' in text and '"c" -> "a" [style=dashed];' in text
