@@ -114,6 +114,25 @@ def explained_difference(before: DataFrame, after: DataFrame, packages: DataFram
     return rows.groupBy("change", reason.alias("reason")).agg(F.count("name").alias("n"), F.array_sort(F.collect_set("name")).alias("names")).orderBy("change", "reason")
 
 
+def compile_differences(before: DataFrame, after: DataFrame, packages: DataFrame, declared: DataFrame, facades: DataFrame) -> DataFrame:
+    """(kind, change, reason, source, n, names): what a compilation gains and loses, references told by where they come from.
+
+    before, after (kind, name): references ignore case, sources and resources do not. A reference is told by its
+    package, packages (name, package), else by a framework declaration, declared (name), else by a facade, facades (name); the
+    reason is null for what isn't a reference.
+    """
+    reference = F.col("kind") == "reference"
+    # a reference is known by its lower case and told by its least spelling
+    sides = [df.groupBy("kind", F.when(reference, F.lower("name")).otherwise(F.col("name")).alias("key")).agg(F.min("name").alias("name")) for df in (before, after)]
+    rows = not_in(sides[1], sides[0], ["kind", "key"]).withColumn("change", F.lit("added")).unionByName(not_in(sides[0], sides[1], ["kind", "key"]).withColumn("change", F.lit("removed")))
+    low = lambda df, name: df.select(F.lower("name").alias(name)).distinct()
+    by_package = packages.groupBy(F.lower("name").alias("__p")).agg(F.min("package").alias("package"))
+    rows = rows.join(by_package, F.col("key") == F.col("__p"), "left").join(low(declared, "__d"), F.col("key") == F.col("__d"), "left").join(low(facades, "__f"), F.col("key") == F.col("__f"), "left")
+    why = F.when(F.col("package").isNotNull(), "package").when(F.col("__d").isNotNull(), "declaration").when(F.col("__f").isNotNull(), "facade").otherwise("unexplained")
+    rows = rows.select("kind", "change", "name", F.when(reference, why).alias("reason"), F.when(reference, F.col("package")).alias("source"))
+    return rows.groupBy("kind", "change", "reason", "source").agg(F.count("name").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+
+
 # Names and endings of files that builds pick up for every project beneath their folder.
 BUILD_WIDE = r"(?i)(^|/)(global\.json|nuget\.config|[^/]*\.props|[^/]*\.targets)$"
 

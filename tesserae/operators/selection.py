@@ -309,10 +309,11 @@ def batches(edges: DataFrame, nodes: DataFrame, size: int) -> list[list]:
     return out
 
 
-def kept_move_set(candidates: DataFrame, needs: DataFrame, movable: DataFrame) -> DataFrame:
+def kept_move_set(candidates: DataFrame, needs: DataFrame, movable: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(node): the largest set of movable candidates whose needs are all in the set or outside the candidates.
 
-    needs (src, dst). A candidate that can't move takes those that need it along, round by round.
+    needs (src, dst). A candidate that can't move takes those that need it along, round by round. With `wanted`, a
+    one-column frame, what is left and neither wanted nor needed by what is, directly or not, is dropped.
     """
     from tesserae.operators.graph import reached_set, reverse
 
@@ -320,4 +321,9 @@ def kept_move_set(candidates: DataFrame, needs: DataFrame, movable: DataFrame) -
     stuck = c.join(movable.select(F.col(movable.columns[0]).alias("m")), F.col("node") == F.col("m"), "left_anti")
     inner = needs.join(c.select(F.col("node").alias("a")), F.col("src") == F.col("a"), "left_semi").join(c.select(F.col("node").alias("b")), F.col("dst") == F.col("b"), "left_semi")
     out = reached_set(reverse(inner), stuck).withColumnRenamed("node", "o")
-    return c.join(out, F.col("node") == F.col("o"), "left_anti")
+    kept = c.join(out, F.col("node") == F.col("o"), "left_anti")
+    if wanted is None:
+        return kept
+    asked = kept.join(wanted.select(F.col(wanted.columns[0]).alias("w")), F.col("node") == F.col("w"), "left_semi")
+    # what a kept candidate needs among the candidates is kept as well, so the walk stays inside
+    return reached_set(inner.select("src", "dst"), asked)

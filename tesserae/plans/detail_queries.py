@@ -230,3 +230,27 @@ def library_report(spark, d):
     shipped = p.filter("id % 6 = 1").select("id", F.lit("packable").alias("reason"))
     out = reports.library_report(p, dag(spark, d), shipped, hosting(spark, d))
     return out.select("project", "shipped", "status", "closure", "remaining", "remaining_loc", F.array_join("next", ",").alias("next"))
+
+
+@query(f"""WITH RECURSIVE {D}, c AS (SELECT p_partkey AS id, p_size FROM part WHERE p_partkey >= 10), s(id) AS (SELECT id FROM c WHERE p_size <= 4 UNION SELECT d.src FROM s JOIN d ON d.dst = s.id WHERE d.src IN (SELECT id FROM c)),
+k AS (SELECT id FROM c WHERE id NOT IN (SELECT id FROM s)), n(id) AS (SELECT id FROM k WHERE id % 3 = 0 UNION SELECT d.dst FROM n JOIN d ON d.src = n.id WHERE d.dst IN (SELECT id FROM k)) SELECT id AS node FROM n""")
+def needed_move_set(spark, d):
+    c = table(spark, d, "part").filter("p_partkey >= 10")
+    return S.kept_move_set(c.select("p_partkey"), dag(spark, d).select("src", "dst"), c.filter("p_size > 4").select("p_partkey"), c.filter("p_partkey % 3 = 0").select("p_partkey"))
+
+
+@query("""WITH b AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'source' ELSE 'resource' END AS kind, p_type || p_partkey % 300 AS name, p_size, p_partkey AS k FROM part),
+x AS (SELECT kind, name FROM b WHERE p_size < 35), y AS (SELECT kind, CASE WHEN k % 2 = 0 THEN lower(name) ELSE name END AS name FROM b WHERE p_size > 15),
+a AS (SELECT kind, CASE WHEN kind = 'reference' THEN lower(name) ELSE name END AS key, min(name) AS name FROM x GROUP BY ALL), z AS (SELECT kind, CASE WHEN kind = 'reference' THEN lower(name) ELSE name END AS key, min(name) AS name FROM y GROUP BY ALL),
+t AS (SELECT 'added' AS change, * FROM z WHERE (kind, key) NOT IN (SELECT (kind, key) FROM a) UNION ALL SELECT 'removed', * FROM a WHERE (kind, key) NOT IN (SELECT (kind, key) FROM z)),
+pk AS (SELECT lower(name) AS key, min('pack' || k % 5) AS package FROM b WHERE k % 7 = 0 GROUP BY ALL),
+e AS (SELECT t.*, CASE WHEN kind != 'reference' THEN NULL WHEN package IS NOT NULL THEN 'package' WHEN key IN (SELECT lower(name) FROM b WHERE k % 8 = 0) THEN 'declaration' WHEN key IN (SELECT lower(name) FROM b WHERE k % 9 = 0) THEN 'facade' ELSE 'unexplained' END AS reason, CASE WHEN kind = 'reference' THEN package END AS source FROM t LEFT JOIN pk USING (key))
+SELECT kind, change, reason, source, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM e GROUP BY ALL""")
+def compile_differences(spark, d):
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "reference").when(k % 3 == 1, "source").otherwise("resource")
+    rows = table(spark, d, "part").select(kind.alias("kind"), F.concat("p_type", k % 300).alias("name"), "p_size", "p_partkey")
+    after = rows.filter("p_size > 15").select("kind", F.when(k % 2 == 0, F.lower("name")).otherwise(F.col("name")).alias("name"))
+    packages = rows.filter("p_partkey % 7 = 0").select("name", F.concat(F.lit("pack"), k % 5).alias("package"))
+    found = reports.compile_differences(rows.filter("p_size < 35").select("kind", "name"), after, packages, rows.filter("p_partkey % 8 = 0"), rows.filter("p_partkey % 9 = 0"))
+    return found.withColumn("names", F.array_join("names", ","))

@@ -172,3 +172,22 @@ def test_marked_graph(spark):
     text = sinks.marked_dot(nodes, edges, spark.createDataFrame([("a", ["a", "b"])], "component string, members array<string>"))
     assert '"a" [fillcolor=firebrick, shape=box, style="filled,dashed", color=red];' in text and '"b" [fillcolor=darkorange, shape=box, peripheries=2, color=red];' in text
     assert '"c" [fillcolor=gray, shape=ellipse];' in text and '"a" -> "b" [color=red];' in text and '"b" -> "a" [style=dashed, color=red];' in text and '"c" -> "a" [style=dashed];' in text
+
+
+def test_compile_differences(spark):
+    before = spark.createDataFrame([("reference", "Old"), ("reference", "Same"), ("source", "A.cs")], "kind string, name string")
+    after = spark.createDataFrame([("reference", "same"), ("reference", "New"), ("reference", "Face"), ("source", "a.cs"), ("resource", "r")], "kind string, name string")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    packages = spark.createDataFrame([("new", "P")], "name string, package string")
+    found = {tuple(r)[:4]: r["names"] for r in reports.compile_differences(before, after, packages, names("NEW", "old"), names("old", "face")).collect()}
+    assert found == {
+        ("reference", "added", "package", "P"): ["New"], ("reference", "added", "facade", None): ["Face"], ("reference", "removed", "declaration", None): ["Old"],
+        ("source", "added", None, None): ["a.cs"], ("source", "removed", None, None): ["A.cs"], ("resource", "added", None, None): ["r"],
+    }
+
+
+def test_move_set_drops_what_nothing_wanted_needs(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "n string")
+    needs = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("a", "outside")], "src string, dst string")
+    kept = selection.kept_move_set(names(*"abcdef"), needs, names(*"abcdf"), names("a", "d", "f"))
+    assert got(kept, "node") == [("a",), ("b",), ("c",), ("f",)]
