@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import byte_bpe, chat, filter_audit, language, licenses, lm, media, near_dedup, packing, quality, token_counts
+from tesserae.llm import byte_bpe, chat, filter_audit, language, licenses, lm, media, near_dedup, packing, prefix_trie, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_media_columns": media.op10_media_columns,
+    "op11_conversation_prefix_trie": prefix_trie.op11_conversation_prefix_trie,
     "op12_filter_interaction_audit": filter_audit.op12_filter_interaction_audit,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 #: Tokenizers, fitted models, packing and media formats are beyond SQL; tests hold them against brute force.
 ORACLES = {
@@ -24,5 +26,7 @@ ORACLES = {
     "op6_chat_formatting": chat.SQL,
     "op7_lm_scoring": lm.SQL,
     "op9_minhash_near_dedup": near_dedup.SQL,
+    "op11_conversation_prefix_trie": prefix_trie.SQL,
     "op12_filter_interaction_audit": filter_audit.SQL,
+    "op13_substring_dedup": substring_dedup.SQL,
 }
