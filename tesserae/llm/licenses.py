@@ -15,9 +15,14 @@ how often they occur in all texts, rarest first, and
 and what remains is counted in full. The templates are a fixed list, so index and order are broadcast in the
 function; what grows (the texts) is only ever streamed, block by block.
 
+Sets can't tell notices of one family apart that differ by a few words (`FAMILIES`). So what a block matches is then
+held against its words in order: of a family's matches in a block those stay that hold the greatest part of their
+distinct runs of `RUN` words; a notice that is another one with more to it (`EXTENDS`) stands for both; and a line that
+a whole notice over the same words contains (`EXPLAINED`) is told by the notice alone.
+
 Defined results: a null or empty text has no words, no places, no labels and score 0; repeated rows are scanned
-one by one; a text of many blocks is scanned block by block, whatever its length; of equal containments all labels
-count; an empty table gives an empty table; only the id and text columns are read, whatever else there is.
+one by one; a text of many blocks is scanned block by block, whatever its length; of equal parts all labels
+of a family count; an empty table gives an empty table; only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -130,6 +135,14 @@ NOTICE_WORDS = 2 * max(len(text.split()) for _, text in NOTICES)
 # Phrases whose words must stand side by side, and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
+# Families of licenses whose notices are alike, and notices that hold a whole other one.
+FAMILIES = {
+    "agpl-3.0": "gnu", "gpl-2.0": "gnu", "gpl-3.0": "gnu", "lgpl-3.0": "gnu", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "cc-by-4.0": "cc", "cc-by-nc-4.0": "cc", "cc-by-sa-4.0": "cc",
+}
+EXTENDS = {"bsd-3-clause": "bsd-2-clause"}
+#: Words in a run by which siblings are told apart.
+RUN = 3
+
 _WORD = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -138,6 +151,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
+def runs_of(words: list[bytes]) -> set[tuple]:
+    return set(zip(*(words[i:] for i in range(RUN))))
+
+
+def explained(lines: list[tuple[str, str]], notices: list[tuple[str, str]], threshold: float) -> set[tuple[str, str]]:
+    """(label of a line, label of a notice) for each notice that matches the line by its own words, under another label."""
+    sets = [(label, set(words_of(text))) for label, text in notices]
+    return {(label, other) for label, text in lines for other, held in sets if label != other and len(held & (own := set(words_of(text)))) >= math.ceil(round(threshold * len(own), 9))}
+
+
+EXPLAINED = explained(TEMPLATES, NOTICES, THRESHOLD)
+
+
 class Index:
     """Templates in the global order, and their prefixes by token."""
 
@@ -145,6 +171,7 @@ class Index:
         tokens = [(label, sorted(set(words_of(text)), key=lambda t: (counts.get(t, 0), t))) for label, text in templates]
         self.rank = {t: i for i, t in enumerate(sorted({t for _, ts in tokens for t in ts}, key=lambda t: (counts.get(t, 0), t)))}
         self.templates = [(label, [self.rank[t] for t in ts], math.ceil(round(threshold * len(ts), 9))) for label, ts in tokens]
+        self.runs = {label: runs_of(words_of(text)) for label, text in templates}
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, ts) in enumerate(tokens):
             for i, t in enumerate(ts[: len(ts) - self.templates[k][2] + 1]):
@@ -167,6 +194,24 @@ class Index:
                     yield label, n / len(ranks)
 
 
+    def told_apart(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """The block's matches without siblings that the order of its words speaks against."""
+        found = list(self.match(block))
+        if len(found) < 2:
+            return found
+        base = {EXTENDS[label] for label, _ in found if label in EXTENDS}
+        found = [x for x in found if x[0] not in base]
+        held, best = None, {}
+        kin = Counter(FAMILIES.get(label) for label, _ in found)
+        part = {}
+        for label, _ in found:
+            if (family := FAMILIES.get(label)) and kin[family] > 1:
+                held = runs_of(block) if held is None else held
+                part[label] = len(self.runs[label] & held) / max(1, len(self.runs[label]))
+                best[family] = max(best.get(family, 0.0), part[label])
+        return [x for x in found if x[0] not in part or part[x[0]] == best[FAMILIES[x[0]]]]
+
+
 def scan(words: list[bytes], index: Index, width: int) -> list[tuple[int, str, float]]:
     """(first word of the block, label, containment) of every match; only blocks with a prefix token are built."""
     step = width // 2
@@ -176,7 +221,12 @@ def scan(words: list[bytes], index: Index, width: int) -> list[tuple[int, str, f
         if w in index.prefix:
             k = min(i // step, last)
             starts.update(x * step for x in range(max(0, (i - width) // step + 1), k + 1))
-    return [(s, label, c) for s in sorted(starts) for label, c in index.match(words[s : s + width])]
+    return [(s, label, c) for s in sorted(starts) for label, c in index.told_apart(words[s : s + width])]
+
+
+def without_explained(lines: list[tuple[int, str, float]], notices: list[tuple[int, str, float]], pairs: set) -> list[tuple[int, str, float]]:
+    """Matches of lines but those over whose words a notice lies that contains the line."""
+    return [x for x in lines if not any((x[1], label) in pairs and x[0] < at + NOTICE_WORDS and at < x[0] + BLOCK_WORDS for at, label, _ in notices)]
 
 
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -212,7 +262,7 @@ def license_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """One row per text: n_words, the phrase places and the matching blocks as arrays of structs."""
     short, long = TEMPLATES if templates is None else templates, NOTICES if notices is None else notices
     counts = token_counts(df, [*short, *long], text)
-    joins = [(Index(short, counts, threshold), BLOCK_WORDS), (Index(long, counts, threshold), NOTICE_WORDS)]
+    lines, whole, pairs = Index(short, counts, threshold), Index(long, counts, threshold), explained(short, long, threshold)
     id_type = df.schema[doc_id].dataType.simpleString()
     places_type = pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())]))
     blocks_type = pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
@@ -224,7 +274,8 @@ def license_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
                 words = words_of(x)
                 n.append(len(words))
                 places.append([{"at": a, "label": b} for a, b in phrase_places(words)])
-                blocks.append([{"at": a, "label": b, "containment": c} for index, width in joins for a, b, c in scan(words, index, width)])
+                over = scan(words, whole, NOTICE_WORDS)
+                blocks.append([{"at": a, "label": b, "containment": c} for a, b, c in [*without_explained(scan(words, lines, BLOCK_WORDS), over, pairs), *over]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(places, places_type), pa.array(blocks, blocks_type)], ["doc_id", "n_words", "places", "blocks"])
 
     out = f"doc_id {id_type}, n_words long, places array<struct<at:long,label:string>>, blocks array<struct<at:long,label:string,containment:double>>"
@@ -246,8 +297,11 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(f"('{kind}:{label}', '{word}', {width // 2})" for kind, made, width in (("line", TEMPLATES, BLOCK_WORDS), ("notice", NOTICES, NOTICE_WORDS)) for label, text in made for word in sorted(set(text.split())))
+_RUN_ROWS = ", ".join(f"('{kind}:{label}', '{a}', '{b}', '{c}')" for kind, made in (("line", TEMPLATES), ("notice", NOTICES)) for label, text in made for a, b, c in sorted(set(zip(text.split(), text.split()[1:], text.split()[2:]))))
+_KIN_ROWS = ", ".join(f"('{kind}:{label}', '{family}')" for kind in ("line", "notice") for label, family in FAMILIES.items())
+_EXPLAINED_ROWS = ", ".join(f"('line:{a}', 'notice:{b}')" for a, b in sorted(EXPLAINED))
 _PHRASE_ROWS = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES)
-#: DuckDB: explode words, group the template words of each block, and compare counts; no filters.
+#: DuckDB: explode words, group the template words of each block, and compare counts; no filters. Then siblings, by runs of words.
 SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -266,8 +320,24 @@ WITH d AS (
 ), b AS (
   SELECT DISTINCT rid, k, label, w.token FROM w JOIN tpl ON w.token = tpl.token, unnest([0, 1]) AS s(back), LATERAL (SELECT i // step - back AS k)
   WHERE k >= 0 AND k * step <= i AND i < k * step + 2 * step AND k <= greatest(0, ceil((total - 2 * step) / step))
+), m0 AS (
+  SELECT rid, k, b.label, count(*) / max(n) AS c FROM b JOIN sz ON b.label = sz.label GROUP BY rid, k, b.label HAVING count(*) >= ceil(round({THRESHOLD} * max(n), 9))
+), m1 AS (
+  SELECT m0.*, split_part(label, ':', 1) AS kind, CASE WHEN label LIKE 'notice:%' THEN {NOTICE_WORDS // 2} ELSE {BLOCK_WORDS // 2} END AS step FROM m0
+  WHERE NOT EXISTS (SELECT 1 FROM m0 x WHERE x.rid = m0.rid AND x.k = m0.k AND split_part(x.label, ':', 1) = split_part(m0.label, ':', 1) AND split_part(x.label, ':', 2) = 'bsd-3-clause' AND split_part(m0.label, ':', 2) = 'bsd-2-clause')
+), run(label, x, y, z) AS (VALUES {_RUN_ROWS}
+), kin(label, family) AS (VALUES {_KIN_ROWS}
+), part AS (
+  SELECT m1.rid, m1.k, m1.kind, m1.label, family, count(DISTINCT run.x || ' ' || run.y || ' ' || run.z) FILTER (w.rid IS NOT NULL) / count(DISTINCT run.x || ' ' || run.y || ' ' || run.z) AS share
+  FROM m1 JOIN kin ON kin.label = m1.label JOIN run ON run.label = m1.label LEFT JOIN w ON w.rid = m1.rid AND w.token = run.x AND w.t1 = run.y AND w.t2 = run.z AND w.i >= m1.k * step AND w.i + 2 < m1.k * step + 2 * step
+  GROUP BY m1.rid, m1.k, m1.kind, m1.label, family
+), less AS (
+  SELECT rid, k, kind, label FROM part QUALIFY share < max(share) OVER (PARTITION BY rid, k, kind, family)
+), m2 AS (
+  SELECT * FROM m1 WHERE NOT EXISTS (SELECT 1 FROM less WHERE less.rid = m1.rid AND less.k = m1.k AND less.label = m1.label)
+), explained(line, notice) AS (VALUES {_EXPLAINED_ROWS}
 ), m AS (
-  SELECT rid, b.label, count(*) / max(n) AS c FROM b JOIN sz ON b.label = sz.label GROUP BY rid, k, b.label HAVING count(*) >= ceil(round({THRESHOLD} * max(n), 9))
+  SELECT rid, label, c FROM m2 WHERE NOT EXISTS (SELECT 1 FROM m2 x JOIN explained ON notice = x.label WHERE line = m2.label AND x.rid = m2.rid AND m2.k * m2.step < x.k * x.step + 2 * x.step AND x.k * x.step < m2.k * m2.step + 2 * m2.step)
 ), ma AS (SELECT rid, max(c) AS c, list_distinct(list(split_part(label, ':', 2))) AS ls FROM m GROUP BY rid)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(pa.ls, [])), ',') AS base_labels,

@@ -2,7 +2,7 @@
 
 type_edge (project, src, dst, member); the capacity of an edge is the number of members that use it. Of all minimum
 cuts the one nearest the tainted side is taken: the source side is everything that can't reach the sink any more.
-A project's types are few thousands by nature, so a project is one group.
+A project's types are few thousands by nature, so a project is one group, which gives its cut and its dominators at once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,8 +82,102 @@ def seam_score(friendly: Column, members: Column, articulates: Column) -> Column
     return F.bround(share / (1 + 0.1 * F.greatest(members - 1, F.lit(0))) * F.when(articulates, 1.0).otherwise(0.8), 2)
 
 
+def dominators(edges: dict, roots: set, sinks: set) -> list | None:
+    """Nodes that every way from a root to a sink goes through, the nearest to the roots first; None if there is no way.
+
+    The tree of immediate dominators below a node before all roots, by passes over the nodes in reverse postorder until
+    nothing changes; the answer is the line above a node behind all sinks.
+    """
+    top, end = object(), object()
+    ways = lambda n: sorted(roots) if n is top else [] if n is end else [*sorted(edges.get(n, ())), *([end] if n in sinks else [])]
+    order, seen, stack = [], {top}, [(top, iter(ways(top)))]
+    while stack:
+        node, rest = stack[-1]
+        for n in rest:
+            if n not in seen:
+                seen.add(n)
+                stack.append((n, iter(ways(n))))
+                break
+        else:
+            order.append(node)
+            stack.pop()
+    if end not in seen:
+        return None
+    order.reverse()
+    place, before = {n: i for i, n in enumerate(order)}, defaultdict(list)
+    for n in order:
+        for m in ways(n):
+            before[place[m]].append(place[n])
+    above, changed = [0] + [-1] * (len(order) - 1), True
+    while changed:
+        changed = False
+        for i in range(1, len(order)):
+            known = [p for p in before[i] if above[p] >= 0]
+            low = known[0]
+            for p in known[1:]:
+                while low != p:
+                    while p > low:
+                        p = above[p]
+                    while low > p:
+                        low = above[low]
+            if above[i] != low:
+                above[i], changed = low, True
+    line, at = [], above[place[end]]
+    while at:
+        line.append(order[at])
+        at = above[at]
+    return line[::-1]
+
+
+def project_cuts(type_edges: DataFrame, tainted: DataFrame) -> DataFrame:
+    """(project, src, dst, members, articulates, gateways): the cut between clean entry points and the taint of each project.
+
+    type_edges (project, src, dst, member), tainted (project, node). Entry points are clean types that no other type
+    uses. articulates: whether dst alone parts all entry points from the taint, from one dominator tree for a project;
+    gateways are all types that do so. A project without a way from an entry point to the taint has no rows; one with
+    a way has one at least.
+    """
+    none = F.lit(None).cast("string")
+    facts = type_edges.groupBy("project", "src", "dst").agg(F.countDistinct("member").alias("members")).withColumn("tainted", F.lit(False))
+    facts = facts.unionByName(tainted.select("project", F.col("node").alias("src"), none.alias("dst"), F.lit(0).cast("long").alias("members"), F.lit(True).alias("tainted")))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf[~pdf.tainted]
+        edges, ways = {(a, b): int(n) for a, b, n in zip(rows.src, rows.dst, rows.members)}, defaultdict(list)
+        for a, b in edges:
+            ways[a].append(b)
+        dirty = set(pdf.src[pdf.tainted])
+        roots = set(rows.src) - {b for _, b in edges} - dirty
+        line = dominators(ways, roots, dirty)
+        found = minimum_cut(edges, roots, dirty) if line is not None else []
+        return pd.DataFrame([(pdf.project.iloc[0], a, b, edges[a, b], b in line, line) for a, b in found], columns=["project", "src", "dst", "members", "articulates", "gateways"])
+
+    return facts.groupBy("project").applyInPandas(cut, "project string, src string, dst string, members long, articulates boolean, gateways array<string>")
+
+
+def seams(type_edges: DataFrame, tainted: DataFrame, sites: DataFrame) -> DataFrame:
+    """(project, seam, boundary, callers, members, friendly, score, articulates) of each boundary of a project's cut.
+
+    sites (project, src, dst, signature, wire_friendly, is_static): uses of a type's members, without constructors and
+    the type itself. Members are those of the boundary that its callers across the cut use; they are friendly if they
+    are wire-friendly and not static. Boundaries are numbered by fewest members, most callers, most wire-friendly
+    members and name, within their project.
+    """
+    found = project_cuts(type_edges, tainted).select("project", F.col("src").alias("caller"), F.col("dst").alias("boundary"), "articulates")
+    across = found.select(F.col("project").alias("p"), F.col("caller").alias("c"), F.col("boundary").alias("b"))
+    used = sites.join(across, (F.col("project") == F.col("p")) & (F.col("src") == F.col("c")) & (F.col("dst") == F.col("b")))
+    used = used.groupBy("p", "b", "signature").agg(F.count(F.lit(1)).alias("call_sites"), F.bool_and("wire_friendly").alias("wire"), F.bool_or("is_static").alias("static"))
+    held = used.groupBy("p", "b").agg(F.count("signature").alias("n"), F.count_if(F.col("wire")).alias("wired"), F.count_if(F.col("wire") & ~F.col("static")).alias("good"), F.array_sort(F.collect_list(F.struct("signature", "call_sites"))).alias("x"))
+    rows = found.groupBy("project", "boundary").agg(F.array_sort(F.collect_set("caller")).alias("callers"), F.bool_and("articulates").alias("articulates"))
+    rows = rows.join(held, (F.col("project") == F.col("p")) & (F.col("boundary") == F.col("b")), "left").fillna(0, ["n", "wired", "good"])
+    share = F.coalesce(F.try_divide(F.col("good"), F.col("n")), F.lit(1.0))
+    rows = rows.withColumn("score", seam_score(share, F.col("n"), F.col("articulates")))
+    place = F.row_number().over(Window.partitionBy("project").orderBy("n", F.desc(F.size("callers")), F.desc("wired"), "boundary"))
+    return rows.select("project", F.concat(F.lit("seam-"), place).alias("seam"), "boundary", "callers", F.coalesce("x", F.array()).alias("members"), F.col("good").alias("friendly"), "score", "articulates")
+
+
 def articulates(edges: DataFrame, boundary, clean_roots: DataFrame, tainted: DataFrame) -> bool:
-    """Whether no clean root reaches a tainted node once the boundary node is taken away."""
+    """Whether no clean root reaches a tainted node once the boundary node is taken away: one walk, for one boundary of any graph."""
     from tesserae.operators.graph import reached_set
 
     rest = edges.filter((F.col("src") != F.lit(boundary)) & (F.col("dst") != F.lit(boundary)))

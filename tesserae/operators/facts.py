@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import reached_set, reverse
 from tesserae.operators.relational import not_in
+from tesserae.operators.rules import small
 
 
 def looked_up(key: Column, values: dict, default) -> Column:
@@ -33,7 +35,8 @@ def unless_in_project(findings: DataFrame, rule: str, others: DataFrame) -> Data
 def detected(facts: DataFrame, detectors: DataFrame) -> DataFrame:
     """Facts (shape, name, ...) with each detector (detector, shape, pattern) of their shape whose LIKE pattern the name fits."""
     asked = detectors.select("detector", F.col("shape").alias("__shape"), "pattern")
-    return facts.join(asked, (F.col("shape") == F.col("__shape")) & F.expr("name LIKE pattern")).drop("__shape", "pattern")
+    # shapes are a handful of hot keys: detectors, few by nature and counted, go to the facts
+    return facts.join(small(asked), (F.col("shape") == F.col("__shape")) & F.expr("name LIKE pattern")).drop("__shape", "pattern")
 
 
 # Kinds of type that cross a wire as they are, and that cross it if all their members do.
@@ -74,42 +77,88 @@ def api_differences(outputs: DataFrame, text: str, sides: list[tuple[str, str]],
     return rows.select(*by, "code", member.alias("member"), only.alias("only_on"), "message").distinct()
 
 
+#: Lines on a side, without what both sides begin and end with, beyond which all of them count as changed.
+MOST_LINES = 5000
+#: Levels of the search between frontiers that are kept; the way back makes those between anew.
+KEPT_EVERY = 64
+
+
 def edit_script(a: list, b: list) -> list[tuple[str, int]]:
-    """("-", place in a) and ("+", place in b) of a shortest edit script: the greedy search of furthest ends by diagonals."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - low and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x0, n, m = low, len(a) - low - tail, len(b) - low - tail
-    furthest, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(furthest))
-        for k in range(-d, d + 1, 2):
-            x = furthest[k + 1] if k == -d or (k != d and furthest[k - 1] < furthest[k + 1]) else furthest[k - 1] + 1
-            while x < n and x - k < m and a[x0 + x] == b[x0 + x - k]:
-                x += 1
-            furthest[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
+    """("-", place in a) and ("+", place in b) of a shortest edit script: the greedy search of furthest ends by diagonals.
+
+    Of the frontiers one in KEPT_EVERY is kept, so that memory stays within MOST_LINES² / KEPT_EVERY numbers. Sides that
+    differ in more than MOST_LINES lines count as changed throughout: all of one go, all of the other come.
+    """
+    code: dict = {}
+    left, right = (np.fromiter((code.setdefault(x, len(code)) for x in side), np.int64, len(side)) for side in (a, b))
+    most = min(len(left), len(right))
+    differ = np.flatnonzero(left[:most] != right[:most])
+    low = int(differ[0]) if len(differ) else most
+    differ = np.flatnonzero(left[::-1][: most - low] != right[::-1][: most - low])
+    tail = int(differ[0]) if len(differ) else most - low
+    left, right = left[low : len(left) - tail], right[low : len(right) - tail]
+    n, m = len(left), len(right)
+    if not n or not m or max(n, m) > MOST_LINES:
+        return [("-", low + i) for i in range(n)] + [("+", low + j) for j in range(m)]
+    off = n + m + 1
+    furthest = np.zeros(2 * off + 1, np.int32)
+    kept, d = [], 0
+    while True:
+        if d % KEPT_EVERY == 0:
+            kept.append(furthest[off - d - 1 : off + d + 2].copy())
+        next_level(furthest, off, d, left, right)
+        if furthest[off + n - m] >= n and abs(n - m) <= d and (n - m - d) % 2 == 0:
+            break
+        d += 1
     out, x, y = [], n, m
-    for d in range(len(trail) - 1, 0, -1):
-        before, k = trail[d], x - y
-        down = k == -d or (k != d and before[k - 1] < before[k + 1])
-        x = before[k + 1] if down else before[k - 1]
-        y = x - (k + 1 if down else k - 1)
-        out.append(("+", x0 + y) if down else ("-", x0 + x))
+    while d > 0:
+        begin = (d // KEPT_EVERY) * KEPT_EVERY
+        trail = [kept[begin // KEPT_EVERY]]
+        now = np.zeros_like(furthest)
+        now[off - begin - 1 : off + begin + 2] = trail[0]
+        for e in range(begin, d):
+            next_level(now, off, e, left, right)
+            trail.append(now[off - e - 2 : off + e + 3].copy())
+        for e in range(d, max(begin, 1) - 1, -1):
+            before, k = trail[e - begin], x - y
+            at = k + e + 1
+            down = k == -e or (k != e and before[at - 1] < before[at + 1])
+            x = int(before[at + 1] if down else before[at - 1])
+            y = x - (k + 1 if down else k - 1)
+            out.append(("+", low + y) if down else ("-", low + x))
+        d = begin - 1
     return out[::-1]
 
 
+def next_level(furthest: np.ndarray, off: int, d: int, left: np.ndarray, right: np.ndarray) -> None:
+    """The furthest ends of scripts of d edits, of those of d - 1, on every second diagonal at once."""
+    n, m = len(left), len(right)
+    k = np.arange(-d, d + 1, 2)
+    before, after = furthest[off + k - 1], furthest[off + k + 1]
+    x = np.where((k == -d) | ((k != d) & (before < after)), after, before + 1)
+    if d == 0:
+        x = np.zeros(1, x.dtype)
+    live = np.arange(len(k))
+    while len(live):
+        live = live[(x[live] < n) & (x[live] - k[live] < m)]
+        live = live[left[x[live]] == right[x[live] - k[live]]]
+        x[live] += 1
+    furthest[off + k] = x
+
+
+def lines_of(text: str | None) -> list[str]:
+    """The lines of a text; a line feed at its end begins no line, and a carriage return before one is part of it."""
+    if not text:
+        return []
+    lines = text.replace("\r\n", "\n").split("\n")
+    return lines[:-1] if text.endswith("\n") else lines
+
+
 def line_differences(pairs: DataFrame, key: str, before: str = "before", after: str = "after") -> DataFrame:
     """(key, removed, added, edits) of two texts, line by line; edits (op, line): lines are numbered from 1 in their own text.
 
-    A null text has no lines. Rows are compared one by one, in memory that grows with a text's lines and differences.
+    A null text has no lines (`lines_of` tells what a line is). Rows are compared one by one, in bounded memory beside the
+    texts; where more than MOST_LINES lines differ on a side, all of them count as changed.
     """
     edit = pa.list_(pa.struct([("op", pa.string()), ("line", pa.int32())]))
 
@@ -117,7 +166,7 @@ def line_differences(pairs: DataFrame, key: str, before: str = "before", after:
         for batch in batches:
             scripts = []
             for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                scripts.append(edit_script([] if a is None else a.split("\n"), [] if b is None else b.split("\n")))
+                scripts.append(edit_script(lines_of(a), lines_of(b)))
             count = lambda op: pa.array([sum(o == op for o, _ in s) for s in scripts], pa.int64())  # noqa: B023, E731
             edits = pa.array([[{"op": o, "line": i + 1} for o, i in s] for s in scripts], edit)
             yield pa.RecordBatch.from_arrays([batch.column(0), count("-"), count("+"), edits], ["key", "removed", "added", "edits"])

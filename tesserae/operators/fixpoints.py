@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.graph import closure, gathered, reached_set, reverse
+from tesserae.operators.graph import closure, gathered, reached_set, reverse, scc
 from tesserae.operators.relational import first_per_key
 from tesserae.session import checkpoint_ready
 
@@ -59,11 +59,10 @@ def extended(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> Da
 
 
 def self_reaching(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(node) on a cycle: a node with an edge to itself, or one that reaches a node that leads back."""
+    """(node) on a cycle: a node with an edge to itself, or one of a component of several; of the seeds, if given."""
     loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-    reach = closure(edges, seeds)
-    back = reach.join(edges.select(F.col("src").alias("s"), F.col("dst").alias("d")), (F.col("dst") == F.col("s")) & (F.col("src") == F.col("d")), "left_semi")
-    return loops.unionByName(back.select(F.col("src").alias("node"))).distinct()
+    found = loops.unionByName(scc(edges).select("node")).distinct()
+    return found if seeds is None else found.join(seeds.select(F.col(seeds.columns[0]).alias("s")), F.col("node") == F.col("s"), "left_semi")
 
 
 def first_self_reaching(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -110,28 +109,54 @@ def entry_points(starts: DataFrame, callers: DataFrame, verdicts: DataFrame, dep
     return out.select("start", "entry", "path", why.alias("reason"), listing.alias("candidates"))
 
 
-def first_violation(starts: DataFrame, calls: DataFrame, bad: DataFrame, depth: int = 6) -> DataFrame:
-    """(start, callee, path): the first bad node that a start calls within `depth` levels, and the calls that lead to it.
+def violation_steps(calls: DataFrame, bad: DataFrame, aliases: DataFrame | None = None, depth: int = 6) -> DataFrame:
+    """(node, away, next): how many calls each node is away from a bad one (at most depth), and its first call on the way.
 
-    The nearest comes first, among equals the one whose path is least; starts that call none have no row, and a start
-    that is bad itself counts only where it is called.
+    One labelling for all starts, backward from what is bad, level by level: a node is met once, so that work goes by
+    edges. calls (src, dst, and place, if calls have an order of their own; else they go by dst). aliases (name,
+    implementation): a call of a name leads on to its implementations too, after the name itself, but only the name
+    that is called can be bad.
     """
-    checkpoint_ready(starts.sparkSession)
-    down = calls.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
+    checkpoint_ready(calls.sparkSession)
+    place = F.col("place") if "place" in calls.columns else F.lit(0)
+    direct = calls.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.min(place).alias("place")).checkpoint()
     wrong = bad.select(F.col(bad.columns[0]).alias("b")).distinct()
-    new = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumns({"node": F.col("start"), "path": F.array("start")}).checkpoint()
-    seen, found = [new.select("start", "node")], []
-    for level in range(1, depth + 1):
-        step = new.join(down, F.col("node") == F.col("from")).select("start", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path")).checkpoint()
-        hit = first_per_key(step.join(wrong, F.col("node") == F.col("b"), "left_semi"), ["start"], [F.col("path")]).select("start", F.col("node").alias("callee"), "path").checkpoint()
-        found.append(hit)
-        rest = step.join(hit.select(F.col("start").alias("h")), F.col("start") == F.col("h"), "left_anti")
-        if level == depth or rest.isEmpty():
+    first = F.min(F.struct("place", "dst", "turn", "to"))
+    found = direct.withColumns({"to": F.col("dst"), "turn": F.lit(0)})
+    new = found.join(wrong, F.col("dst") == F.col("b"), "left_semi").groupBy(F.col("src").alias("node")).agg(first.alias("x")).select("node", F.lit(1).alias("away"), "x.to").checkpoint()
+    ways = found
+    if aliases is not None:
+        other = aliases.select(F.col("name").alias("n"), F.col("implementation").alias("impl")).distinct()
+        ways = found.unionByName(direct.join(other, F.col("dst") == F.col("n")).select("src", "dst", "place", F.col("impl").alias("to"), F.lit(1).alias("turn")))
+    ways = ways.checkpoint()
+    parts, level = [new], 1
+    while level < depth and not new.isEmpty():
+        level += 1
+        step = ways.join(new.select(F.col("node").alias("met")), F.col("to") == F.col("met"), "left_semi")
+        step = step.groupBy(F.col("src").alias("node")).agg(first.alias("x")).select("node", F.lit(level).alias("away"), "x.to")
+        new = step.join(gathered(parts).select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti").checkpoint()
+        parts.append(new)
+    return gathered(parts).select("node", "away", F.col("to").alias("next"))
+
+
+def first_violation(starts: DataFrame, calls: DataFrame, bad: DataFrame, depth: int = 6, aliases: DataFrame | None = None) -> DataFrame:
+    """(start, callee, path): the first bad node that a start calls within `depth` levels, and the calls that lead to it.
+
+    The nearest comes first, among equals the one whose path is least in the order of calls (`violation_steps`); starts
+    that call none have no row, and a start that is bad itself counts only where it is called.
+    """
+    steps = violation_steps(calls, bad, aliases, depth).checkpoint()
+    asked = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+    now = asked.withColumns({"node": F.col("start"), "path": F.array("start")}).join(steps, "node")
+    done, levels = [], depth
+    for _ in range(levels):  # down falling distances: a start has one row
+        moved = now.select("start", "away", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")).checkpoint()
+        done.append(moved.filter("away = 1").select("start", F.col("node").alias("callee"), "path"))
+        rest = moved.filter("away > 1").drop("away")
+        if rest.isEmpty():
             break
-        known = gathered(seen).select(F.col("start").alias("s"), F.col("node").alias("n"))
-        new = first_per_key(rest.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")), "left_anti"), ["start", "node"], [F.col("path")]).checkpoint()
-        seen.append(new.select("start", "node"))
-    return gathered(found)
+        now = rest.join(steps, "node")
+    return gathered(done)
 
 
 def nearest_entry(starts: DataFrame, callers: DataFrame, entries: DataFrame, depth: int = 4) -> DataFrame:

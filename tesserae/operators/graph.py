@@ -231,6 +231,14 @@ def blockers(projects: DataFrame, edges: DataFrame) -> DataFrame:
     return closure(reverse(edges), framework).join(known, F.col("dst") == F.col("__i"), "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("blocker"))
 
 
+def blocked_counts(projects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(blocker, n): how many projects each framework-only project blocks, without a row for each pair."""
+    from tesserae.operators.reach import reach_counts
+
+    framework = projects.filter("framework_class = 'framework'").select("id")
+    return reach_counts(reverse(edges), framework, projects.select("id")).filter("n > 0").withColumnRenamed("node", "blocker")
+
+
 def readiness(projects: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, readiness): blocked by a framework-only dependency, else ready if itself framework-only, else done."""
     return standings(projects, edges).select("id", "readiness")
@@ -334,11 +342,13 @@ def waves(projects: DataFrame, edges: DataFrame, whole: DataFrame | None = None)
 def plan(projects: DataFrame, edges: DataFrame, used: DataFrame | None = None, only_for=None, frontier: bool = False, exclude_kinds: tuple = (), hosted: DataFrame | None = None) -> DataFrame:
     """The listing: numbers come from the whole graph, filters only narrow the rows."""
     used = edges if used is None else used
+    from tesserae.operators.reach import reach_counts, reach_lists
+
     checkpoint_ready(projects.sparkSession)
-    radius = closure(reverse(edges)).groupBy(F.col("src").alias("r")).agg(F.count("dst").alias("n"))
+    radius = reach_counts(reverse(edges)).withColumnRenamed("node", "r")
     rows = projects.join(standings(projects, used, edges).withColumnRenamed("id", "a"), F.col("id") == F.col("a")).drop("a")
     rows = rows.join(radius, F.col("id") == F.col("r"), "left").withColumn("blast_radius", F.coalesce("n", F.lit(0))).drop("r", "n")
-    found = blockers(projects, used).groupBy(F.col("id").alias("a")).agg(F.array_sort(F.collect_set("blocker")).alias("blockers"))
+    found = reach_lists(used, projects.filter("framework_class = 'framework'").select("id")).select(F.col("node").alias("a"), F.col("reached").alias("blockers"))
     rows = rows.join(found, F.col("id") == F.col("a"), "left").drop("a")
     member = scc(edges).select(F.col("node").alias("a"), F.lit(True).alias("in_cycle"))
     rows = rows.join(member, F.col("id") == F.col("a"), "left").drop("a").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
@@ -381,24 +391,57 @@ def application_closure(edges: DataFrame, hosted: DataFrame, start) -> DataFrame
     return reached_set(edges, reached_set(link, seed))
 
 
-def slice_closure(projects: DataFrame, edges: DataFrame, requested: DataFrame, dependents: bool = False, tests: bool = False) -> DataFrame:
+def slice_closure(projects: DataFrame, edges: DataFrame, requested: DataFrame, dependents: bool = False, tests: bool = False, local_limit: int = LOCAL_EDGES) -> DataFrame:
     """(node): the requested projects and their dependencies; dependents and tests with a direct reference bring theirs."""
-    closed = reached_set(edges, requested)
+    adjacency = local_edges(plain(edges), local_limit)
+    if adjacency is not None:
+        asked = requested.select(F.col(requested.columns[0]).alias("node")).distinct().limit(local_limit + 1).collect()
+        known = projects.filter("kind = 'test'").select("id").limit(local_limit + 1).collect() if tests else []
+        if max(len(asked), len(known)) <= local_limit:
+            found = sorted(local_slice(adjacency, {r[0] for r in asked}, dependents, {r[0] for r in known}))
+            return edges.sparkSession.createDataFrame([(n,) for n in found], f"node {edges.schema['src'].dataType.simpleString()}")
+    closed = reached_set(edges, requested, local_limit)
     if dependents:
-        up = reached_set(reverse(edges), requested).join(closed.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left_anti")
-        closed = closed.unionByName(reached_set(edges, up)).distinct()
+        up = reached_set(reverse(edges), requested, local_limit).join(closed.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left_anti")
+        closed = closed.unionByName(reached_set(edges, up, local_limit)).distinct()
     if tests:
         inside = closed.withColumnRenamed("node", "c")
         direct = edges.join(inside, F.col("dst") == F.col("c"), "left_semi").select(F.col("src").alias("node")).distinct()
         found = direct.join(projects.filter("kind = 'test'").select("id"), F.col("node") == F.col("id"), "left_semi").join(inside, F.col("node") == F.col("c"), "left_anti")
-        closed = closed.unionByName(reached_set(edges, found)).distinct()
+        closed = closed.unionByName(reached_set(edges, found, local_limit)).distinct()
     return closed
 
 
+def local_slice(adjacency: dict, requested: set, dependents: bool, tests: set) -> set:
+    """The slice over one adjacency: each node is walked once each way."""
+    closed = walked(adjacency, requested, set())
+    if dependents:
+        back = defaultdict(list)
+        for s, ds in adjacency.items():
+            for d in ds:
+                back[d].append(s)
+        walked(adjacency, walked(back, requested, set()), closed)
+    return walked(adjacency, {t for t in tests if closed.intersection(adjacency.get(t, ()))}, closed)
+
+
+def walked(adjacency: dict, seeds: set, seen: set) -> set:
+    """seen with all that the seeds reach, seeds included; what was seen before is not entered again."""
+    todo = [s for s in seeds if s not in seen]
+    seen.update(todo)
+    while todo:
+        for n in adjacency.get(todo.pop(), ()):
+            if n not in seen:
+                seen.add(n)
+                todo.append(n)
+    return seen
+
+
 def least_label(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, label): the least of the seeds that reach a node; a seed reaches itself."""
-    own = seeds.select(F.col(seeds.columns[0]).alias("src"))
-    return with_starts(closure(edges, own), own).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("label"))
+    """(node, label): the least of the seeds that reach a node; a seed reaches itself. No pairs are made."""
+    from tesserae.operators.reach import carried
+
+    own = F.col(seeds.columns[0])
+    return carried(edges, seeds.select(own.alias("node"), own.alias("label")))
 
 
 def levels(edges: DataFrame) -> DataFrame:

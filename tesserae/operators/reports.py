@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import ancestors, directory_key, unix_path
@@ -54,8 +55,13 @@ def series(snapshots: DataFrame, solution: str | None, created_at: str, since: s
 
 
 def change_since_first(points: DataFrame, at: str, value: str, keys: list[str] = ()) -> DataFrame:
-    window = W.partitionBy(*keys).orderBy(at) if keys else W.orderBy(at)
-    return points.withColumn("change", F.col(value) - F.first(value).over(window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    """points with change, the value less the first one's (of the keys, if any); of equal times the least value is first."""
+    first = F.min(F.struct(at, value))
+    if not keys:
+        return points.withColumn("change", F.col(value) - points.agg(first.alias("x")).select(F.col(f"x.{value}")).scalar())
+    low = points.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(first.alias("__x"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return points.join(low, same).withColumn("change", F.col(value) - F.col(f"__x.{value}")).drop("__x", *[f"__{k}" for k in keys])
 
 
 def application(projects: DataFrame, edges: DataFrame, hosted: DataFrame, start) -> DataFrame:

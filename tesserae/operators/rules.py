@@ -1,8 +1,8 @@
 """Rules over symbol facts: keys, matching, exclusion, suppression, severity and ledgers.
 
 Facts come from an extractor outside this library: symbol_use (symbol_id, project, file, line, position, ...). A
-symbol answers to several keys, so matching is an equi-join on exploded keys. Rules are a dimension written by
-hand; their number is checked before they are broadcast.
+symbol answers to several keys. Rules are a dimension written by hand: their number is checked before they go to
+every task, and more of them are joined on exploded keys.
 """
 
 from __future__ import annotations
@@ -30,16 +30,37 @@ def symbol_keys(symbol: Column) -> Column:
     return F.array_distinct(F.concat(F.array(symbol, bare, plain), held))
 
 
+#: Slots of the table that rules are looked up in.
+SLOTS = 1024
+
+
 def match(uses: DataFrame, rule_keys: DataFrame, keys: str = "keys") -> DataFrame:
-    """Uses with each rule that names one of their keys and excludes none: rule_keys (rule, key, is_exclude)."""
+    """Uses with each rule that names one of their keys and excludes none: rule_keys (rule, key, is_exclude).
+
+    Rules are counted; up to SMALL_ROWS of their keys become one table of slots that goes to every task, so that uses
+    neither move nor are numbered. More are joined by key.
+    """
+    held = rule_keys.filter("rule IS NOT NULL AND key IS NOT NULL").select("rule", "key", F.coalesce("is_exclude", F.lit(False)).alias("bars")).distinct()
+    if len(held.select(F.lit(1)).limit(SMALL_ROWS + 1).collect()) > SMALL_ROWS:
+        return match_by_joins(uses, rule_keys, keys)
+    slots = held.groupBy(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")).agg(F.collect_list(F.struct("key", "rule", "bars")).alias("rules"))
+    table = slots.agg(F.map_from_entries(F.collect_list(F.struct("slot", "rules"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.array().cast("array<struct<key:string,rule:string,bars:boolean>>"))).alias("t"))
+    found = F.flatten(F.transform(F.array_distinct(keys), lambda k: F.filter(F.element_at("__t", (F.pmod(F.xxhash64(k), F.lit(SLOTS)) + 1).cast("int")), lambda e: e["key"] == k)))
+    names = lambda bars: F.transform(F.filter("__f", lambda e: e["bars"] == F.lit(bars)), lambda e: e["rule"])
+    rows = uses.withColumn("__t", table.scalar()).withColumn("__f", found).drop("__t")
+    return rows.withColumn("rule", F.explode(F.array_except(names(False), names(True)))).drop("__f")
+
+
+def match_by_joins(uses: DataFrame, rule_keys: DataFrame, keys: str = "keys") -> DataFrame:
+    """The same for any number of rules."""
     # numbered once and kept: a number given anew might go to another row
     checkpoint_ready(uses.sparkSession)
     rows = uses.withColumn("__use", F.monotonically_increasing_id()).checkpoint()
     tried = rows.select("__use", F.explode(F.array_distinct(keys)).alias("__key"))
     wanted = rule_keys.filter("NOT is_exclude").select("rule", F.col("key").alias("__k")).distinct()
     barred = rule_keys.filter("is_exclude").select(F.col("rule").alias("__r"), F.col("key").alias("__k")).distinct()
-    hits = tried.join(small(wanted), F.col("__key") == F.col("__k")).select("__use", "rule").distinct()
-    out = tried.join(small(barred), F.col("__key") == F.col("__k")).select(F.col("__use").alias("__u"), "__r").distinct()
+    hits = tried.join(wanted, F.col("__key") == F.col("__k")).select("__use", "rule").distinct()
+    out = tried.join(barred, F.col("__key") == F.col("__k")).select(F.col("__use").alias("__u"), "__r").distinct()
     kept = hits.join(out, (F.col("__use") == F.col("__u")) & (F.col("rule") == F.col("__r")), "left_anti")
     return rows.join(kept, "__use").drop("__use")
 

@@ -283,15 +283,14 @@ def partial_dependency(projects: DataFrame, edges: DataFrame, hosted: DataFrame
 
     hosted (id, hosted_by): what a project hosts, directly or not, counts with what that depends on.
     """
+    from tesserae.operators.reach import carried
+
     part = projects.filter("partial").select(F.col("id").alias("p"))
-    reach = closure(edges, projects.select("id"))
-    if hosted is not None:
-        inner = hosted_projects(hosted).select(F.col("src").alias("h"), F.col("dst").alias("in"))
-        beyond = inner.join(reach, F.col("in") == F.col("src")).select(F.col("h").alias("src"), "dst")
-        reach = reach.unionByName(inner.select(F.col("h").alias("src"), F.col("in").alias("dst"))).unionByName(beyond).filter("src != dst").distinct()
-    through = reach.join(part, F.col("dst") == F.col("p")).select(F.col("src").alias("id"), F.col("dst").alias("because"), F.lit(1).alias("level"))
-    rows = part.select(F.col("p").alias("id"), F.col("p").alias("because"), F.lit(0).alias("level")).unionByName(through)
-    return first_per_key(rows, ["id"], [F.col("level"), F.col("because")]).drop("level")
+    label = carried(reverse(edges), part.select(F.col("p").alias("node"), F.col("p").alias("label")))
+    if hosted is not None:  # what a host hosts stands above what that depends on: labels go there first, then to the hosts
+        label = carried(hosted.filter("hosted_by IS NOT NULL").select(F.col("id").alias("src"), F.col("hosted_by").alias("dst")), label)
+    rows = projects.select("id").distinct().join(label, F.col("id") == F.col("node")).join(part, F.col("id") == F.col("p"), "left")
+    return rows.select("id", F.coalesce("p", "label").alias("because"))
 
 
 def batches(edges: DataFrame, nodes: DataFrame, size: int) -> list[list]:

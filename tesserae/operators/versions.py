@@ -6,14 +6,11 @@ Versions travel as strings beside a sortable key (functions.scalars.version_key)
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import in_range, version_key, version_range
+from tesserae.operators.consolidation import settle
 from tesserae.operators.relational import first_per_key
-from tesserae.session import checkpoint_ready
-
-MAX_CONSOLIDATION_ROUNDS = 8
 
 
 def candidates(feed: DataFrame, in_use: DataFrame, prerelease: bool = False) -> DataFrame:
@@ -76,10 +73,17 @@ def deciding(constraints: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def align_families(chosen: DataFrame, families: DataFrame, available: DataFrame, constraints: DataFrame | None = None) -> DataFrame:
-    """Members of a family take its highest member version; those that lack it, or whose own ranges (id, range) forbid it, keep theirs."""
-    rows = chosen.join(families.select(F.col("id").alias("__f"), "family"), F.col("id") == F.col("__f"), "left").drop("__f")
-    top = F.max(F.struct(version_key(F.col("version")).alias("k"), F.col("version").alias("v"))).over(W.partitionBy("family"))["v"]
-    rows = rows.withColumn("__top", F.when(F.col("family").isNotNull(), top))
+    """Members of a family take its highest member version; those that lack it, or whose own ranges (id, range) forbid it, keep theirs.
+
+    Packages without a family are not brought together.
+    """
+    known = families.select(F.col("id").alias("__f"), "family").filter("family IS NOT NULL").distinct()
+    rows = chosen.join(known, F.col("id") == F.col("__f"), "left").drop("__f")
+    alone = rows.filter("family IS NULL").select("id", "version")
+    rows = rows.filter("family IS NOT NULL")
+    key = version_key(F.col("version"))
+    top = rows.groupBy(F.col("family").alias("__g")).agg(F.max(F.struct(key.alias("k"), F.col("version").alias("v")))["v"].alias("__top"))
+    rows = rows.join(top, F.col("family") == F.col("__g"))
     has = available.select(F.col("id").alias("__i"), F.col("version").alias("__v")).distinct()
     rows = rows.join(has, (F.col("id") == F.col("__i")) & (F.col("__top") == F.col("__v")), "left")
     takes = F.col("__v").isNotNull()
@@ -87,7 +91,7 @@ def align_families(chosen: DataFrame, families: DataFrame, available: DataFrame,
         asked = constraints.select(F.col("id").alias("__c"), version_range(F.col("range")).alias("__b")).distinct()
         barred = rows.join(asked, F.col("id") == F.col("__c")).filter(~in_range(version_key(F.col("__top")), F.col("__b"))).select(F.col("__c").alias("__bar")).distinct()
         rows, takes = rows.join(barred, F.col("id") == F.col("__bar"), "left"), takes & F.col("__bar").isNull()
-    return rows.select("id", F.when(takes, F.col("__top")).otherwise(F.col("version")).alias("version"))
+    return rows.select("id", F.when(takes, F.col("__top")).otherwise(F.col("version")).alias("version")).unionByName(alone)
 
 
 def supports_all(options: DataFrame, usage: DataFrame, support: DataFrame) -> DataFrame:
@@ -113,36 +117,15 @@ def pins_below(chosen: DataFrame, pins: DataFrame) -> DataFrame:
     return rows.filter(version_key(F.col("version")) < version_key(F.col("__v"))).select("id", "project", F.col("version").alias("pin"), F.col("__v").alias("version"))
 
 
-def apply_pins(constraints: DataFrame, pins: DataFrame) -> DataFrame:
-    """Constraints without those that a pin replaces, and the pins. pins (id, project, version); null project pins all."""
-    asked = pins.select(F.col("id").alias("__i"), F.col("project").alias("__p"))
-    hit = (F.lower("id") == F.lower("__i")) & (F.col("__p").isNull() | (F.col("project") == F.col("__p")))
-    rest = constraints.join(asked, hit, "left_anti")
-    return rest.unionByName(pins.select("id", "project", F.lit("pin").alias("kind"), F.concat(F.lit("["), F.col("version"), F.lit("]")).alias("range")), allowMissingColumns=True)
-
-
 def consolidate(direct: DataFrame, options: DataFrame, dependencies: DataFrame, families: DataFrame | None = None, pins: DataFrame | None = None, lowest: bool = True) -> tuple[DataFrame, int]:
-    """One version for each package: choose, take in what the choices ask for, align families, until nothing changes.
+    """One version for each package, and the rounds it took: `consolidation.settle` for constraints without a chain.
 
-    direct (id, project, kind, range), options (id, version), dependencies (id, version, dep_id, range): what a chosen
-    version asks of other packages. Returns the choice and the rounds it took; choices that still change after 8 rounds
-    raise. `unsatisfied` tells which packages no version suits.
+    direct (id, project, kind, range), options (id, version), dependencies (id, version, dep_id, range), pins (id, project,
+    version): a project's pin takes its constraints away, one without a project asks for its version beside the others.
     """
-    checkpoint_ready(direct.sparkSession)
-    asked = apply_pins(direct, pins) if pins is not None else direct
-    asked = asked.select("id", "range").distinct()
-    chosen = choose(options, asked, lowest).checkpoint()
-    for round_ in range(1, MAX_CONSOLIDATION_ROUNDS + 1):
-        if families is not None:
-            chosen = align_families(chosen, families, options, asked)
-        now = chosen.select(F.col("id").alias("__i"), F.col("version").alias("__v"))
-        needs = dependencies.join(now, (F.col("id") == F.col("__i")) & (F.col("version") == F.col("__v"))).select(F.col("dep_id").alias("id"), "range")
-        new = choose(options, asked.unionByName(needs).distinct(), lowest)
-        new = (align_families(new, families, options, asked.unionByName(needs)) if families is not None else new).checkpoint()
-        if new.exceptAll(chosen).isEmpty() and chosen.exceptAll(new).isEmpty():
-            return new, round_
-        chosen = new
-    raise RuntimeError(f"versions still change after {MAX_CONSOLIDATION_ROUNDS} rounds")
+    base = direct.select("id", "project", "kind", "range", F.array(F.concat_ws(" ", "project", "range")).alias("chain"))
+    settled = settle(base, options, dependencies, families, pins, lowest, options)
+    return settled.chosen.select("id", "version"), settled.rounds
 
 
 def redirects(referenced: DataFrame, deployed: DataFrame, existing: DataFrame, prune: bool = False) -> DataFrame:

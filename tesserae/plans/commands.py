@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import directory_key
-from tesserae.operators import cuts, facts, fixpoints, graph, reports, rules, versions
-from tesserae.operators.relational import SMALL_ROWS, baseline, longest_prefix, numbered
+from tesserae.operators import consolidation, cuts, facts, fixpoints, graph, reports, rules, versions
+from tesserae.operators.relational import baseline, longest_prefix
 
 
 def used(t: dict[str, DataFrame]) -> DataFrame:
@@ -40,7 +40,7 @@ def graph_view(t: dict[str, DataFrame], focus=None, depth: int | None = None, di
     states = graph.readiness(p, used(t)).withColumnRenamed("id", "a")
     key = directory_key(F.col("id")) if cluster == "directory" else F.col("kind") if cluster == "kind" else F.lit(None).cast("string")
     nodes = p.join(keep, F.col("id") == F.col("s"), "left_semi").join(states, F.col("id") == F.col("a")).drop("a").withColumn("cluster", key).orderBy("id")
-    blocks = graph.blockers(p, used(t)).groupBy("blocker").agg(F.count("id").alias("blocks"))
+    blocks = graph.blocked_counts(p, used(t)).withColumnRenamed("n", "blocks")
     top = blocks.join(keep, F.col("blocker") == F.col("s"), "left_semi").orderBy(F.desc("blocks"), "blocker").limit(10)
     return {"nodes": nodes, "edges": inside.orderBy("src", "dst", "kind"), "cycles": shown_cycles(t["edge"], keep, inside), "top_blockers": top}
 
@@ -96,12 +96,39 @@ def deps_gac(references: DataFrame) -> DataFrame:
     return rows.groupBy("project").agg(F.count("name").alias("uses"), F.array_sort(F.collect_set(F.lower("name"))).alias("names")).orderBy("project")
 
 
-def deps_consolidate(direct: DataFrame, options: DataFrame, dependencies: DataFrame, usage: DataFrame | None = None, support: DataFrame | None = None, families: DataFrame | None = None, pins: DataFrame | None = None, newest: bool = False) -> dict[str, DataFrame]:
-    """chosen versions, what decided them, packages that no version suits, and pins below the choice."""
-    options = versions.supports_all(options, usage, support) if usage is not None else options
-    chosen, _ = versions.consolidate(direct, options, dependencies, families, pins, not newest)
-    none = pins if pins is not None else direct.select("id", "project", F.lit(None).cast("string").alias("version")).limit(0)
-    return {"chosen": chosen.orderBy("id"), "deciding": versions.deciding(direct, chosen), "unsatisfied": versions.unsatisfied(direct, chosen), "pins_below": versions.pins_below(chosen, none)}
+def deps_consolidate(t: dict[str, DataFrame], options: DataFrame, dependencies: DataFrame, support: DataFrame | None = None, families: DataFrame | None = None, pins: DataFrame | None = None, package: str | None = None, family: str | None = None, ignored: tuple = (), newest: bool = False) -> dict[str, DataFrame]:
+    """chosen versions with what decided them, conflicts with their chain, constraints of the last round, and pins to report.
+
+    options (id, version) and dependencies (id, version, dep_id, range) come from a feed; support (id, version, tfm) keeps
+    options that every framework of a package's projects can use, projects that pin it aside. package or family (a prefix)
+    narrow the choice; what shares a family with a package that is chosen for is chosen for as well.
+    """
+    usage = t["package_usage"]
+    usage = usage.filter(~F.lower("id").isin(*[i.lower() for i in ignored])) if ignored else usage
+    known = families.filter("family IS NOT NULL").select(F.upper("id").alias("__u"), F.col("family").alias("__family")).distinct() if families is not None else None
+    if package is not None or family is not None:
+        asked = F.lit(False)
+        asked = asked | (F.lower("id") == package.lower()) if package is not None else asked
+        asked = asked | F.lower("id").startswith(family.lower()) if family is not None else asked
+        ids = usage.filter(asked).select("id").distinct()
+        if known is not None:
+            near = ids.join(known, F.upper("id") == F.col("__u")).select(F.col("__family").alias("__near")).distinct()
+            ids = ids.unionByName(usage.select("id").distinct().join(known.join(near, F.col("__family") == F.col("__near")), F.upper("id") == F.col("__u"), "left_semi")).distinct()
+        usage = usage.join(ids.select(F.col("id").alias("__i")), F.col("id") == F.col("__i"), "left_semi")
+    ids = usage.select("id").distinct()
+    transitive = consolidation.transitive_constraints(ids, t["resolved_package"], t["resolved_dependency"])
+    none = usage.select("id", "project", "version").limit(0)
+    pins = pins if pins is not None else none
+    if support is not None:
+        asking = consolidation.without_pinned(usage, pins).select("id", F.col("project").alias("__p"))
+        frameworks = t["project"].select(F.col("id").alias("__q"), F.explode("tfms").alias("tfm"))
+        options = versions.supports_all(options, asking.join(frameworks, F.col("__p") == F.col("__q")).select("id", "tfm"), support)
+    settled = consolidation.settle(consolidation.direct_constraints(usage).unionByName(transitive), options, dependencies, families, pins, not newest)
+    return {
+        "chosen": consolidation.reasons(settled, not newest).orderBy("id"), "conflicts": consolidation.conflicts(settled.constraints, settled.chosen, ids).orderBy("id"),
+        "constraints": settled.constraints.orderBy("id", "kind", "project", "range"), "pins": consolidation.pin_report(pins, transitive, settled.chosen).orderBy("id", "project"),
+        "missing": settled.chosen.filter("missing IS NOT NULL").select("id", "family", "missing").orderBy("id"),
+    }
 
 
 def redirects_sync(referenced: DataFrame, deployed: DataFrame, existing: DataFrame, only: list[str] | None = None, prune: bool = False) -> DataFrame:
@@ -126,10 +153,9 @@ def ifdef_report(regions: DataFrame, symbol: str | None = None) -> DataFrame:
     return reports.directive_totals(regions if symbol is None else regions.filter(F.col("symbol") == symbol))
 
 
-def seams(type_edges: DataFrame, clean: DataFrame, tainted: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
-    """The cut of each project, and its boundaries (project, boundary, friendly, members, articulates) by score."""
-    scored = members.withColumn("score", cuts.seam_score(F.col("friendly"), F.col("members"), F.col("articulates")))
-    return {"cuts": cuts.seam_cuts(type_edges, clean, tainted), "seams": numbered(scored, [F.col("project"), F.desc("score"), F.col("boundary")], "place")}
+def seams(type_edges: DataFrame, tainted: DataFrame, sites: DataFrame) -> dict[str, DataFrame]:
+    """The cut of each project, and its boundaries by number with their score (`cuts.seams`)."""
+    return {"cuts": cuts.project_cuts(type_edges, tainted).select("project", "src", "dst", "members").orderBy("project", "src", "dst"), "seams": cuts.seams(type_edges, tainted, sites).orderBy("project", F.length("seam"), "seam")}
 
 
 def verify(paths: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
@@ -140,13 +166,13 @@ def verify(paths: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 
 def verdict(current: DataFrame, known: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
-    """One row: new, known and fixed errors, codes that the baseline has nowhere, and whether it passes."""
+    """One row: new, known and fixed errors, all codes that the baseline has nowhere, and whether it passes."""
     sides = baseline(current, known, keys)
     fresh = sides.filter("standing = 'new'").select(code).distinct().join(known.select(F.col(code).alias("__c")).distinct(), F.col(code) == F.col("__c"), "left_anti")
-    codes = [r[0] for r in fresh.orderBy(code).limit(SMALL_ROWS).collect()]
     count = lambda s: F.count_if(F.col("standing") == s).alias(s)
+    codes = fresh.agg(F.array_sort(F.collect_set(F.col(code).cast("string"))).alias("c"))
     rows = sides.agg(count("new"), count("known"), count("fixed"))
-    return rows.withColumns({"new_codes": F.array(*map(F.lit, codes)).cast("array<string>"), "passes": F.col("new") == 0})
+    return rows.withColumns({"new_codes": codes.scalar(), "passes": F.col("new") == 0})
 
 
 def serializer_scan(facts_: DataFrame, detectors: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 4) -> dict[str, DataFrame]:

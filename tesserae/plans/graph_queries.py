@@ -115,8 +115,7 @@ def slice_closure(spark, d):
 
 @query(f"WITH RECURSIVE {D}, {REACH_D} SELECT dst AS blocker, count(*) AS n FROM r JOIN fw ON r.dst = fw.id WHERE r.src IN (SELECT p_partkey FROM part) GROUP BY dst ORDER BY n DESC, dst LIMIT 10")
 def top_blockers(spark, d):
-    found = graph.blockers(parts(spark, d), dag(spark, d))
-    return found.groupBy("blocker").agg(F.count("id").alias("n")).orderBy(F.desc("n"), "blocker").limit(10)
+    return graph.blocked_counts(parts(spark, d), dag(spark, d)).orderBy(F.desc("n"), "blocker").limit(10)
 
 
 @query(f"WITH {D} SELECT src, dst FROM d WHERE src NOT IN (SELECT id FROM fw) AND dst IN (SELECT id FROM fw)")

@@ -218,20 +218,20 @@ def fact_matchers(spark, d):
     return facts.unless_in_project(found, "V", e.filter("name = 'purchase'")).select("event_id", "rule")
 
 
-@query("SELECT l_orderkey, coalesce(CASE l_returnflag WHEN 'A' THEN 'first' WHEN 'R' THEN 'second' END, 'other') AS label FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, coalesce(CASE l_returnflag WHEN 'A' THEN 'first' WHEN 'R' THEN 'second' END, 'other') AS label FROM lineitem")
 def map_lookup_default(spark, d):
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", facts.looked_up(F.col("l_returnflag"), {"A": "first", "R": "second"}, "other").alias("label"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", facts.looked_up(F.col("l_returnflag"), {"A": "first", "R": "second"}, "other").alias("label"))
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 3 AND n_chars < 4000), s AS (SELECT doc_id, len(a) AS n, len(list_filter(list_zip(a, range(1, len(a) + 1)), lambda x: x[2] % 3 = 0)) AS gone FROM t)
-SELECT doc_id, gone::BIGINT AS removed, 0::BIGINT AS added FROM s""")
+@query("""WITH t AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS x FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, chr(10))) - ends_with(x, chr(10))::INTEGER END AS n FROM t)
+SELECT doc_id, (n // 3)::BIGINT AS removed, (n // 4)::BIGINT AS added FROM s""")
 def line_differences(spark, d):
-    """Each text against itself without every third line: the shortest edit script removes just those lines."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL AND doc_id % 7 = 3 AND n_chars < 4000")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: (i + 1) % 3 != 0)
-    pairs = docs.select("doc_id", F.col("text").alias("before"), F.array_join(kept, "\n").alias("after"), (F.size(lines) < 3).alias("short"))
-    return facts.line_differences(pairs, "doc_id").select("doc_id", "removed", "added")
+    """Each text against itself without every third line and with a new one after every fourth: a shortest script undoes just that."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").withColumn("x", F.regexp_replace("text", "\r\n", "\n"))
+    lines = F.when(F.col("x") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("x", r"\n\z", ""), "\n", -1))
+    edited = F.flatten(F.transform(lines, lambda x, i: F.concat(F.when((i + 1) % 3 != 0, F.array(x)).otherwise(F.array().cast("array<string>")), F.when((i + 1) % 4 == 0, F.array(F.concat(F.lit("\u0001new line "), i))).otherwise(F.array().cast("array<string>")))))
+    after = F.when(F.size(edited) > 0, F.concat(F.array_join(edited, "\n"), F.lit("\n"))).otherwise("")
+    return facts.line_differences(docs.select("doc_id", F.col("text").alias("before"), after.alias("after")), "doc_id").select("doc_id", "removed", "added")
 
 
 DETECT = "f AS (SELECT p_partkey AS symbol, p_brand AS project, CASE p_size % 4 WHEN 0 THEN 'attribute' WHEN 1 THEN 'base' WHEN 2 THEN 'call' ELSE 'member' END AS shape, p_type AS name FROM part)"

@@ -83,7 +83,9 @@ def family_alignment(spark, d):
     return versions.align_families(versions.choose(f, constraints(spark)), families, f)
 
 
-@query()
+@query(f"""WITH {CHOSEN}, asks AS (SELECT DISTINCT replace(f.id, '#1', '#2') AS id, f.p_size * 2 + 1 AS low FROM f JOIN c ON c.id = f.id AND c.version = f.version WHERE f.p_size % 10 = 5 AND f.id LIKE '%#1%'),
+every AS (SELECT id, low, high FROM r UNION ALL SELECT id, low, NULL FROM asks)
+SELECT id, arg_min(version, k) AS version FROM (SELECT DISTINCT id, version, k FROM f) f WHERE NOT EXISTS (SELECT 1 FROM every b WHERE b.id = f.id AND NOT (coalesce(k >= low, true) AND coalesce(k <= high, true))) GROUP BY id""")
 def consolidated(spark, d):
     f = feed(spark, d)
     needs = f.filter("p_size % 10 = 5").select("id", "version", F.regexp_replace("id", "#1", "#2").alias("dep_id"), F.concat(F.lit("[1."), F.col("p_size"), F.lit(".0, )")).alias("range")).filter("dep_id != id")

@@ -416,3 +416,28 @@ def test_language_query_against_plain_predictions(spark):
 def test_unlabelled_texts_stay(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in language.keep_known(df).collect()] == [1]
+
+
+def test_siblings_are_told_apart(spark):
+    """Every whole notice gets its own label and none of its family: alone, in prose, and with a tenth of its words changed."""
+    random.seed(4)
+    prose = lambda n: " ".join(random.choice("lorem ipsum the of and is to in for this with any you may".split()) for _ in range(n))
+    rows = []
+    for label, text in licenses.NOTICES:
+        words = text.split()
+        for k in range(8):
+            changed = list(words)
+            for i in random.sample(range(len(words)), len(set(words)) // 10 if k > 1 else 0):
+                changed[i] = f"zz{i}"
+            one = " ".join(changed)
+            rows.append((len(rows), label, one if k % 2 else f"{prose(300)} {one} {prose(450)}"))
+    df = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    confusion = {}
+    for r in licenses.license_matches(df).collect():
+        want = rows[r["doc_id"]][1]
+        for b in {x["label"] for x in r["blocks"]}:
+            confusion[want, b] = confusion.get((want, b), 0) + 1
+    assert confusion == {(label, label): 8 for label, _ in licenses.NOTICES}
+    both = " ".join(t for n, t in licenses.NOTICES if n in ("bsd-2-clause", "bsd-3-clause"))
+    found = licenses.license_matches(spark.createDataFrame([(1, both), (2, dict(licenses.NOTICES)["gpl-2.0"] + " " + prose(900) + " " + dict(licenses.NOTICES)["gpl-3.0"])], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: {x["label"] for x in r["blocks"]} for r in found} == {1: {"bsd-3-clause"}, 2: {"gpl-2.0", "gpl-3.0"}}
