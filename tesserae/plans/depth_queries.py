@@ -113,7 +113,7 @@ def gateways(spark, d):
     e = t.filter("t > 0").select("project", F.col("t").alias("src"), F.expr("t div 2").alias("dst")).unionByName(t.filter("t > 0 AND p_size > 25").select("project", F.col("t").alias("src"), F.expr("t div 3").alias("dst")))
     named = lambda *cs: [F.col("project").cast("string")] + [F.col(c).cast("string") for c in cs]
     found = cuts.project_cuts(e.distinct().select(*named("src", "dst"), F.lit("m").alias("member")), t.select("project", (F.col("project") % 4).alias("node")).distinct().select(*named("node")))
-    return found.select(F.col("project").cast("long"), F.explode("gateways").cast("long").alias("node")).distinct()
+    return found.select(F.col("project").cast("long"), F.explode("gateways").alias("node")).withColumn("node", F.col("node").cast("long")).distinct()
 
 
 # ---- moves
