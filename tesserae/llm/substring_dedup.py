@@ -11,7 +11,7 @@ their anchor. (4) A shard indexes its pieces (`fm_index.FmIndex`: Burrows-Wheele
 streams the documents' pieces through it by backward search; where the matching statistic reaches the window's
 length, the least doc_id of the matching suffixes decides. Anchors of more than `HOT` pieces (a passage or line that
 much text shares) would be one large group: their windows go one by one instead, are made one for each distinct
-window before they are shuffled, and are indexed in shards of their own; what comes back is the document that keeps
+window within a task and again as they are shuffled, and are indexed in shards of their own; what comes back is the document that keeps
 each. (5) Documents with such windows are put together from what the shards found.
 
 Defined results: a null text has no words; rows without doc_id keep all and make nothing repeat; rows that share a
@@ -39,6 +39,8 @@ WINDOW, GRAM = 50, 10
 PIECE, HOT = 64, 512
 #: Words that a task indexes at a time; an anchor's pieces, which stay together, are HOT * (PIECE + WINDOW) words at most.
 BLOCK_WORDS = 200_000
+#: Distinct hot windows that a task holds before it hands them on.
+HELD = 65_536
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,32 +125,62 @@ def facts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column(0), part.column(1), pa.array(np.diff(words.at)), pa.array(whole), *lists], ["doc_id", "digest", "n_words", "whole", "anchors", "pieces"])
 
 
-def cut(batches: Iterable[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
-    """Pieces (anchor, digest, doc_id, start, text) of (digest, doc_id, text, anchors, hot), or hot windows (doc_id, text)."""
+def listed_in(part: pa.RecordBatch, k: int, hot: bool) -> np.ndarray:
+    """The anchors of row k of (digest, doc_id, text, anchors, hot) that are hot, or that are not."""
+    return np.asarray(part.column(3)[k].as_py(), np.int64)[np.asarray(part.column(4)[k].as_py(), bool) == hot]
+
+
+def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (anchor, digest, doc_id, start, text) of (digest, doc_id, text, anchors, hot)."""
     for part in (s for b in batches for s in slices(b, 2)):
         words, rows = Words(part.column(2)), []
         for k, (a, b) in enumerate(zip(words.at[:-1], words.at[1:])):
             found = anchors_of(words.hashes[a:b])
-            listed = np.asarray(part.column(3)[k].as_py(), np.int64)[np.asarray(part.column(4)[k].as_py(), bool) == hot]
-            wanted = np.isin(found.view(np.int64), listed)
-            if hot:
-                starts = np.flatnonzero(wanted)
-                rows.append((np.full(len(starts), k), starts, starts + 1, found[starts]))
-            else:
-                starts, ends = pieces_of(found)
-                use = wanted[starts] if len(starts) else np.zeros(0, bool)
-                rows.append((np.full(use.sum(), k), starts[use], ends[use], found[starts[use]]))
+            starts, ends = pieces_of(found)
+            use = np.isin(found[starts].view(np.int64), listed_in(part, k, False)) if len(starts) else np.zeros(0, bool)
+            rows.append((np.full(use.sum(), k), starts[use], ends[use], found[starts[use]]))
         of, starts, ends, keys = map(np.concatenate, zip(*rows))
         for lo in range(0, len(of), 4096):
             o, s, e = of[lo : lo + 4096], starts[lo : lo + 4096], ends[lo : lo + 4096]
             sizes = e - s + WINDOW - 1
             data, bounds = words.joined(ragged(words.at[o] + s, sizes), sizes)
             texts = pa.Array.from_buffers(pa.string(), len(o), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-            ids = part.column(1).take(pa.array(o))
-            if hot:
-                yield pa.record_batch([ids, texts], ["doc_id", "text"])
-            else:
-                yield pa.record_batch([pa.array(keys[lo : lo + 4096].view(np.int64)), part.column(0).take(pa.array(o)), ids, pa.array(s.astype(np.int32)), texts], ["anchor", "digest", "doc_id", "start", "text"])
+            yield pa.record_batch([pa.array(keys[lo : lo + 4096].view(np.int64)), part.column(0).take(pa.array(o)), part.column(1).take(pa.array(o)), pa.array(s.astype(np.int32)), texts], ["anchor", "digest", "doc_id", "start", "text"])
+
+
+def hot_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) of each distinct hot window and the least document that has it, of (digest, doc_id, text, anchors, hot).
+
+    Windows are made one within the task before they leave it, about HELD at a time; a window may so come out again.
+    """
+    held: dict[bytes, tuple[int, str]] = {}
+
+    def told() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([d for d, _ in held.values()], pa.int64()), pa.array([t for _, t in held.values()], pa.string())], ["doc_id", "text"])
+
+    for part in (s for b in batches for s in slices(b, 2)):
+        words, ids = Words(part.column(2)), part.column(1).to_pylist()
+        for k, (a, b) in enumerate(zip(words.at[:-1], words.at[1:])):
+            listed = listed_in(part, k, True)
+            if not len(listed):
+                continue
+            starts = a + np.flatnonzero(np.isin(anchors_of(words.hashes[a:b]).view(np.int64), listed))
+            for lo in range(0, len(starts), HELD):
+                some = starts[lo : lo + HELD]
+                names = window_names(words, some)
+                fresh = np.array([name not in held for name in names], bool)
+                data, bounds = words.joined(ragged(some[fresh], np.full(fresh.sum(), WINDOW)), np.full(fresh.sum(), WINDOW))
+                data, new = data.tobytes(), iter(zip(bounds[:-1], bounds[1:]))
+                for name, is_fresh in zip(names, fresh):
+                    if is_fresh:
+                        x, y = next(new)
+                        held.setdefault(name, (ids[k], data[x:y].decode()))
+                    if ids[k] < held[name][0]:
+                        held[name] = (ids[k], held[name][1])
+                if len(held) >= HELD:
+                    yield told()
+                    held.clear()
+    yield told()
 
 
 def least_owners(words: Words, doc_ids: np.ndarray) -> np.ndarray:
@@ -224,7 +256,7 @@ def assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(part.column(2))
         change = np.zeros(len(words.starts) + 1, np.int64)
         for k, (a, b) in enumerate(zip(words.at[:-1], words.at[1:])):
-            listed = np.asarray(part.column(3)[k].as_py(), np.int64)[np.asarray(part.column(4)[k].as_py(), bool)]
+            listed = listed_in(part, k, True)
             if len(listed):
                 starts = a + np.flatnonzero(np.isin(anchors_of(words.hashes[a:b]).view(np.int64), listed))
                 own = set(part.column(6)[k].as_py() or ())
@@ -251,9 +283,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     open_ = each.join(shared, "anchor").groupBy("digest", "low").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot")).checkpoint()
 
     asked = texts.join(open_, "digest").filter("doc_id = low").select("digest", "doc_id", "text", "anchors", "hot").checkpoint()
-    pieces = asked.mapInArrow(lambda b: cut(b, False), "anchor long, digest binary, doc_id long, start int, text string")
+    pieces = asked.mapInArrow(cut, "anchor long, digest binary, doc_id long, start int, text string")
     runs = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeats, "digest binary, runs array<long>")
-    windows = asked.filter(F.exists("hot", lambda x: x)).mapInArrow(lambda b: cut(b, True), "doc_id long, text string").groupBy("text").agg(F.min("doc_id").alias("low"))
+    windows = asked.filter(F.exists("hot", lambda x: x)).mapInArrow(hot_windows, "doc_id long, text string").groupBy("text").agg(F.min("doc_id").alias("low"))
     own = windows.mapInArrow(keepers, "doc_id long, window binary").groupBy("doc_id").agg(F.collect_list("window").alias("own"))
     found = asked.join(runs.groupBy("digest").agg(F.collect_list("runs").alias("runs")), "digest", "left").join(own, "doc_id", "left")
     put = found.select("digest", "doc_id", "text", "anchors", "hot", "runs", "own").mapInArrow(assembled, "doc_id long, n_words long, n_removed long, kept_sha256 string")
