@@ -10,9 +10,10 @@ more can repeat. (3) Those are cut in pieces, consecutive windows with one ancho
 their anchor. (4) A shard indexes its pieces (`fm_index.FmIndex`: Burrows-Wheeler transform in a wavelet matrix) and
 streams the documents' pieces through it by backward search; where the matching statistic reaches the window's
 length, the least doc_id of the matching suffixes decides. Anchors of more than `HOT` pieces (a passage or line that
-much text shares) would be one large group: their windows go one by one instead, are made one for each distinct
-window within a task and again as they are shuffled, and are indexed in shards of their own; what comes back is the document that keeps
-each. (5) Documents with such windows are put together from what the shards found.
+much text shares) would be one large group: their windows go one by one instead. Of these only windows whose core, the
+words in whole tens around the anchor, occurs in two texts or more can repeat, so that those which lead from a shared
+passage into a text's own words mostly stay at home. The rest are made one for each distinct window within a task and
+again as they are shuffled, and are indexed in shards of their own; what comes back is the document that keeps each. (5) Documents with such windows are put together from what the shards found.
 
 Defined results: a null text has no words; rows without doc_id keep all and make nothing repeat; rows that share a
 doc_id are no earlier documents of each other; repeated rows are answered each. Texts shorter than a window keep all.
@@ -84,21 +85,46 @@ class Words:
         return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def anchors_of(hashes: np.ndarray) -> np.ndarray:
-    """The anchor of each window of one text."""
+def grams_of(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each run of GRAM words of one text."""
     n = len(hashes) - GRAM + 1
-    if len(hashes) < WINDOW:
-        return np.zeros(0, np.uint64)
     grams = hashes[:n].copy()
     for j in range(1, GRAM):
         grams = grams * _STEP + hashes[j : n + j]
-    low, size, width = mix(grams), 1, WINDOW - GRAM + 1
+    return mix(grams)
+
+
+def anchors_of(hashes: np.ndarray) -> np.ndarray:
+    """The anchor of each window of one text."""
+    if len(hashes) < WINDOW:
+        return np.zeros(0, np.uint64)
+    low, size, width = grams_of(hashes), 1, WINDOW - GRAM + 1
     while 2 * size <= width:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
     rest = width - size
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
+def cores_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the core of the windows that start there, of one text.
+
+    A window's words are counted off in tens from its anchor (the first, if it has the anchor twice), to both sides; the
+    core is what the whole tens cover, 40 words or all 50. Equal windows have equal cores.
+    """
+    low, out = grams_of(hashes) if len(starts) else None, np.zeros(len(starts), np.int64)
+    for lo in range(0, len(starts), 4096):
+        some = starts[lo : lo + 4096]
+        place = np.lib.stride_tricks.sliding_window_view(low, WINDOW - GRAM + 1)[some].argmin(axis=1)
+        begin = place % GRAM
+        core = (place // GRAM).astype(np.uint64)
+        for j in range(WINDOW // GRAM):
+            at = begin + GRAM * j
+            inside = at + GRAM <= WINDOW
+            core = np.where(inside, core * _STEP + low[some + np.where(inside, at, 0)], core)
+        out[lo : lo + 4096] = mix(core).view(np.int64)
+    return out
+
+
 def pieces_of(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the runs of windows with one anchor, each of PIECE windows at most."""
     begins = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
@@ -148,8 +174,29 @@ def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys[lo : lo + 4096].view(np.int64)), part.column(0).take(pa.array(o)), part.column(1).take(pa.array(o)), pa.array(s.astype(np.int32)), texts], ["anchor", "digest", "doc_id", "start", "text"])
 
 
+def hot_starts(words: Words, a: int, b: int, anchors: np.ndarray) -> np.ndarray:
+    """Where the windows with one of these anchors start in the text whose words are a to b, counted from a."""
+    return np.flatnonzero(np.isin(anchors_of(words.hashes[a:b]).view(np.int64), anchors))
+
+
+def shared_starts(words: Words, a: int, b: int, anchors: np.ndarray, cores) -> np.ndarray:
+    """Those of `hot_starts` whose core is one of these, as word places."""
+    starts = hot_starts(words, a, b, anchors)
+    return a + starts[np.isin(cores_of(words.hashes[a:b], starts), np.asarray(cores or (), np.int64))]
+
+
+def hot_cores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, core) of the hot windows of (digest, doc_id, text, anchors, hot), each once for a text."""
+    for part in (s for b in batches for s in slices(b, 2)):
+        words, own = Words(part.column(2)), []
+        for k, (a, b) in enumerate(zip(words.at[:-1], words.at[1:])):
+            own.append(np.unique(cores_of(words.hashes[a:b], hot_starts(words, a, b, listed_in(part, k, True)))))
+        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        yield pa.record_batch([part.column(0).take(pa.array(of)), pa.array(np.concatenate(own))], ["digest", "core"])
+
+
 def hot_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) of each distinct hot window and the least document that has it, of (digest, doc_id, text, anchors, hot).
+    """(doc_id, text) of each distinct hot window and the least document that has it, of (digest, doc_id, text, anchors, hot, cores).
 
     Windows are made one within the task before they leave it, about HELD at a time; a window may so come out again.
     """
@@ -161,10 +208,7 @@ def hot_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in (s for b in batches for s in slices(b, 2)):
         words, ids = Words(part.column(2)), part.column(1).to_pylist()
         for k, (a, b) in enumerate(zip(words.at[:-1], words.at[1:])):
-            listed = listed_in(part, k, True)
-            if not len(listed):
-                continue
-            starts = a + np.flatnonzero(np.isin(anchors_of(words.hashes[a:b]).view(np.int64), listed))
+            starts = shared_starts(words, a, b, listed_in(part, k, True), part.column(5)[k].as_py())
             for lo in range(0, len(starts), HELD):
                 some = starts[lo : lo + HELD]
                 names = window_names(words, some)
@@ -251,19 +295,19 @@ def window_names(words: Words, starts: np.ndarray) -> list[bytes]:
 
 
 def assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_words, n_removed, kept_sha256) of (digest, doc_id, text, anchors, hot, runs, own windows)."""
+    """(doc_id, n_words, n_removed, kept_sha256) of (digest, doc_id, text, anchors, hot, cores, runs, own windows)."""
     for part in (s for b in batches for s in slices(b, 2)):
         words = Words(part.column(2))
         change = np.zeros(len(words.starts) + 1, np.int64)
         for k, (a, b) in enumerate(zip(words.at[:-1], words.at[1:])):
-            listed = listed_in(part, k, True)
-            if len(listed):
-                starts = a + np.flatnonzero(np.isin(anchors_of(words.hashes[a:b]).view(np.int64), listed))
-                own = set(part.column(6)[k].as_py() or ())
+            cores = part.column(5)[k].as_py()
+            if cores:
+                starts = shared_starts(words, a, b, listed_in(part, k, True), cores)
+                own = set(part.column(7)[k].as_py() or ())
                 gone = starts[[name not in own for name in window_names(words, starts)]] if len(starts) else starts
                 np.add.at(change, gone, 1)
                 np.add.at(change, gone + WINDOW, -1)
-            runs = np.asarray([x for r in part.column(5)[k].as_py() or () for x in r], np.int64) + a
+            runs = np.asarray([x for r in part.column(6)[k].as_py() or () for x in r], np.int64) + a
             np.add.at(change, runs[::2], 1)
             np.add.at(change, runs[1::2] + WINDOW - 1, -1)
         kept = np.cumsum(change[:-1]) == 0
@@ -285,10 +329,14 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     asked = texts.join(open_, "digest").filter("doc_id = low").select("digest", "doc_id", "text", "anchors", "hot").checkpoint()
     pieces = asked.mapInArrow(cut, "anchor long, digest binary, doc_id long, start int, text string")
     runs = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeats, "digest binary, runs array<long>")
-    windows = asked.filter(F.exists("hot", lambda x: x)).mapInArrow(hot_windows, "doc_id long, text string").groupBy("text").agg(F.min("doc_id").alias("low"))
+    hot = asked.filter(F.exists("hot", lambda x: x))
+    cores = hot.mapInArrow(hot_cores, "digest binary, core long").checkpoint()
+    common = cores.groupBy("core").agg(F.count("digest").alias("n")).filter("n > 1").select("core")
+    told = cores.join(common, "core").groupBy("digest").agg(F.collect_list("core").alias("cores")).checkpoint()
+    windows = hot.join(told, "digest").select("digest", "doc_id", "text", "anchors", "hot", "cores").mapInArrow(hot_windows, "doc_id long, text string").groupBy("text").agg(F.min("doc_id").alias("low"))
     own = windows.mapInArrow(keepers, "doc_id long, window binary").groupBy("doc_id").agg(F.collect_list("window").alias("own"))
-    found = asked.join(runs.groupBy("digest").agg(F.collect_list("runs").alias("runs")), "digest", "left").join(own, "doc_id", "left")
-    put = found.select("digest", "doc_id", "text", "anchors", "hot", "runs", "own").mapInArrow(assembled, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = asked.join(runs.groupBy("digest").agg(F.collect_list("runs").alias("runs")), "digest", "left").join(own, "doc_id", "left").join(told, "digest", "left")
+    put = found.select("digest", "doc_id", "text", "anchors", "hot", "cores", "runs", "own").mapInArrow(assembled, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
     known = facts.join(units.select("digest", "low"), "digest", "left").join(open_.select("digest", F.lit(True).alias("open")), "digest", "left")
     copy = F.col("doc_id") > F.col("low")
