@@ -318,7 +318,7 @@ def assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     checkpoint_ready(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     facts = texts.mapInArrow(facts_of, "doc_id long, digest binary, n_words long, whole string, anchors array<long>, pieces array<long>").checkpoint()
     listed = F.arrays_zip("anchors", "pieces")
     units = facts.filter(f"doc_id is not null and n_words >= {WINDOW}").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first(listed).alias("listed")).checkpoint()
@@ -335,7 +335,10 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     told = cores.join(common, "core").groupBy("digest").agg(F.collect_list("core").alias("cores")).checkpoint()
     windows = hot.join(told, "digest").select("digest", "doc_id", "text", "anchors", "hot", "cores").mapInArrow(hot_windows, "doc_id long, text string").groupBy("text").agg(F.min("doc_id").alias("low"))
     own = windows.mapInArrow(keepers, "doc_id long, window binary").groupBy("doc_id").agg(F.collect_list("window").alias("own"))
-    found = asked.join(runs.groupBy("digest").agg(F.collect_list("runs").alias("runs")), "digest", "left").join(own, "doc_id", "left").join(told, "digest", "left")
+    # what the shards say meets by digest first, so that the texts move once
+    owned = own.join(open_.select("digest", F.col("low").alias("doc_id")), "doc_id").select("digest", "own")
+    said = runs.groupBy("digest").agg(F.collect_list("runs").alias("runs")).join(owned, "digest", "full").join(told, "digest", "full")
+    found = asked.join(said, "digest", "left")
     put = found.select("digest", "doc_id", "text", "anchors", "hot", "cores", "runs", "own").mapInArrow(assembled, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
     known = facts.join(units.select("digest", "low"), "digest", "left").join(open_.select("digest", F.lit(True).alias("open")), "digest", "left")
