@@ -79,6 +79,33 @@ def application(projects: DataFrame, edges: DataFrame, hosted: DataFrame, start)
     return rows.agg(F.lit(start).alias("application"), F.count("id").alias("projects"), left.alias("remaining"), status.alias("status"), ready.alias("next"))
 
 
+# Kinds of project that are applications.
+APPLICATION_KINDS = ["console", "service", "web", "winforms", "wpf"]
+
+
+def application_report(projects: DataFrame, edges: DataFrame, hosted: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(application, projects, remaining, status, next) of all applications at once; see `application` for one.
+
+    starts: a one-column frame of applications; by default projects of `APPLICATION_KINDS` that nothing hosts.
+    """
+    if starts is None:
+        free = hosted.filter("hosted_by IS NOT NULL").select(F.col("id").alias("__h")).distinct()
+        starts = projects.filter(F.col("kind").isin(*APPLICATION_KINDS)).select("id").join(free, F.col("id") == F.col("__h"), "left_anti")
+    own = starts.select(F.col(starts.columns[0]).cast(edges.schema["src"].dataType).alias("node")).distinct()
+    link = hosted.filter("hosted_by IS NOT NULL").select(F.col("hosted_by").alias("src"), F.col("id").alias("dst"))
+    seeds = with_starts(closure(link, own), own).select(F.col("src").alias("application"), F.col("dst").alias("seed"))
+    roots = seeds.select(F.col("seed").alias("node")).distinct()
+    below = with_starts(closure(edges, roots), roots)
+    near = seeds.join(below, F.col("seed") == F.col("src")).select("application", F.col("dst").alias("node")).distinct()
+    states = readiness(projects, edges).withColumnRenamed("id", "__i")
+    rows = near.join(projects, F.col("node") == F.col("id")).join(states, F.col("id") == F.col("__i"))
+    left = F.count_if(F.col("framework_class") == "framework")
+    mine = F.count_if((F.col("framework_class") == "framework") & (F.col("id") == F.col("application")))
+    status = F.when(left == 0, "done").when((left == 1) & (mine == 1), "ready").otherwise("blocked")
+    ready = F.array_sort(F.collect_set(F.when(F.col("readiness") == "ready", F.col("id"))))
+    return rows.groupBy("application").agg(F.count("id").alias("projects"), left.alias("remaining"), status.alias("status"), ready.alias("next"))
+
+
 def library_report(projects: DataFrame, edges: DataFrame, shipped: DataFrame, hosted: DataFrame) -> DataFrame:
     """(project, shipped, status, closure, remaining, remaining_loc, next) of each shipped library that nothing hosts.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import directory_key
-from tesserae.operators import consolidation, cuts, facts, fixpoints, graph, reports, rules, versions
+from tesserae.operators import consolidation, cuts, facts, fixpoints, gating, graph, reports, rules, versions
 from tesserae.operators.relational import baseline, longest_prefix
 
 
@@ -58,9 +58,26 @@ def slice_view(t: dict[str, DataFrame], requested: DataFrame, dependents: bool =
     return graph.slice_closure(t["project"].select("id", "kind"), t["edge"], requested, dependents, tests).orderBy("node")
 
 
-def report(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def report(t: dict[str, DataFrame], snapshots: DataFrame | None = None, solution: str | None = None, created_at: str | None = None, since: str | None = None, shipped: DataFrame | None = None) -> dict[str, DataFrame]:
+    """headline, classes, areas, frontier and applications; with snapshots the series, with shipped (id, reason) the libraries.
+
+    snapshots (created_at, solution, file, projects, loc, framework_loc): the model's own point, made at created_at, ends
+    the series; change is that of framework lines since the first point. The finished applications (libraries) are
+    counted in `done`.
+    """
     p = t["project"]
-    return {"headline": reports.headline(p), "classes": reports.totals(p), "areas": reports.areas(p), "frontier": graph.readiness(p, used(t)).filter("readiness = 'ready'").orderBy("id")}
+    hosted = p.filter("hosted_by IS NOT NULL").select("id", "hosted_by")
+    out = {"headline": reports.headline(p), "classes": reports.totals(p), "areas": reports.areas(p), "frontier": graph.readiness(p, used(t)).filter("readiness = 'ready'").orderBy("id")}
+    out["applications"] = reports.application_report(p, used(t), hosted).orderBy("application")
+    if shipped is not None:
+        out["libraries"] = reports.library_report(p, used(t), shipped, hosted).orderBy("project")
+    if snapshots is not None:
+        now = out["headline"].select(F.lit(created_at).alias("created_at"), F.lit(solution).alias("solution"), "projects", "loc", "framework_loc")
+        points = reports.series(snapshots, solution, created_at, since, now).select("created_at", "projects", "loc", "framework_loc")
+        out["series"] = reports.change_since_first(points, "created_at", "framework_loc").orderBy("created_at")
+    finished = lambda name: out[name].agg(F.lit(name).alias("of"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "done").alias("done"))
+    out["done"] = finished("applications").unionByName(finished("libraries")) if shipped is not None else finished("applications")
+    return out
 
 
 def audit(uses: DataFrame, rule_table: DataFrame, rule_keys: DataFrame, packs: list[str] | None = None, target: str | None = None, overrides: DataFrame | None = None, weak: str | None = None, strong: tuple = ()) -> dict[str, DataFrame]:
@@ -96,6 +113,38 @@ def deps_gac(references: DataFrame) -> DataFrame:
     return rows.groupBy("project").agg(F.count("name").alias("uses"), F.array_sort(F.collect_set(F.lower("name"))).alias("names")).orderBy("project")
 
 
+# What may become of a framework assembly.
+GAC_KINDS = ["builtin", "package", "compat-pack", "none", "unknown"]
+
+
+def gac_report(references: DataFrame, mapping: DataFrame, usages: DataFrame, refinements: DataFrame | None = None, types: DataFrame | None = None, project: str | None = None) -> dict[str, DataFrame]:
+    """references (project, name, kind, package, usages) with what becomes of each, and a summary of six counts.
+
+    references (project, name, kind), those of kind `framework` are asked; mapping (name, kind, package), names ignore
+    case and unmapped ones are `unknown`; usages (project, name, n), null where they weren't measured; an assembly measured
+    0 times is unused. refinements (name, place, only, needs, kind, package) change the mapping where a project
+    uses some of the assembly's types, all of them are in `only`, and one ends with `needs`, if that is set; the first by
+    place counts. types (project, name, types): what is used.
+    """
+    asked = references.filter("kind = 'framework'").select("project", "name", F.lower("name").alias("__n"))
+    asked = asked.filter(F.lower("project") == project.lower()) if project is not None else asked
+    told = mapping.groupBy(F.lower("name").alias("__m")).agg(F.min(F.struct("kind", "package")).alias("__as"))
+    rows = asked.join(rules.small(told), F.col("__n") == F.col("__m"), "left").drop("__m")
+    if refinements is not None and types is not None:
+        rows = rows.join(types.select(F.col("project").alias("__p"), F.lower("name").alias("__t"), F.array_distinct("types").alias("__used")), (F.col("project") == F.col("__p")) & (F.col("__n") == F.col("__t")), "left").drop("__p", "__t")
+        held = refinements.groupBy(F.lower("name").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("place", "only", "needs", "kind", "package"))).alias("__rs"))
+        some = F.coalesce(F.size("__used") > 0, F.lit(False))
+        fits = F.filter("__rs", lambda r: (F.size(F.array_except("__used", r["only"])) == 0) & (r["needs"].isNull() | F.exists("__used", lambda u: u.endswith(r["needs"]))))
+        better = F.when(some, F.get(fits, F.lit(0)))
+        rows = rows.join(rules.small(held), F.col("__n") == F.col("__r"), "left").withColumn("__better", better)
+        rows = rows.withColumn("__as", F.when(F.col("__better").isNotNull(), F.struct(F.col("__better.kind").alias("kind"), F.col("__better.package").alias("package"))).otherwise(F.col("__as")))
+    counted = usages.select(F.col("project").alias("__p"), F.lower("name").alias("__u"), F.col("n").alias("usages"))
+    rows = rows.join(counted, (F.col("project") == F.col("__p")) & (F.col("__n") == F.col("__u")), "left")
+    rows = rows.select("project", "name", F.coalesce("__as.kind", F.lit("unknown")).alias("kind"), F.col("__as.package").alias("package"), "usages")
+    counts = [F.count_if(F.col("kind") == k).alias(k.replace("-", "_")) for k in GAC_KINDS]
+    return {"references": rows.orderBy("project", F.lower("name"), "name"), "summary": rows.agg(*counts, F.count_if(F.col("usages") == 0).alias("unused"))}
+
+
 def deps_consolidate(t: dict[str, DataFrame], options: DataFrame, dependencies: DataFrame, support: DataFrame | None = None, families: DataFrame | None = None, pins: DataFrame | None = None, package: str | None = None, family: str | None = None, ignored: tuple = (), newest: bool = False) -> dict[str, DataFrame]:
     """chosen versions with what decided them, conflicts with their chain, constraints of the last round, and pins to report.
 
@@ -175,7 +224,37 @@ def verdict(current: DataFrame, known: DataFrame, keys: list[str], code: str = "
     return rows.withColumns({"new_codes": codes.scalar(), "passes": F.col("new") == 0})
 
 
-def serializer_scan(facts_: DataFrame, detectors: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 4) -> dict[str, DataFrame]:
-    """Findings of the detectors, and the nearest entry point above each symbol that has one."""
-    found = facts.detected(facts_, detectors)
-    return {"findings": found, "entries": fixpoints.nearest_entry(found.select("symbol"), calls, entries, depth)}
+def serializer_scan(facts_: DataFrame, detectors: DataFrame, projects: DataFrame, segments: DataFrame, calls: DataFrame, verdicts: DataFrame, depth: int = 4, severities: DataFrame | None = None, directions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """sites with their entry point or why they have none, findings, and a summary of sites and findings by project.
+
+    A site is a fact (shape, name, symbol, project, file, line, column) that a detector (detector, shape, pattern) fits. It
+    is a finding for each case of its detector (segments (detector, case, begins, label)) whose label changes from the version
+    that its project uses to the target: projects (project, current, target). Findings have one order: detector, project,
+    file, line, column, case, symbol. directions (detector, case, direction): cases that no code shows, one
+    finding for each project that has a site of that direction. severities (detector, severity): `info` where none is given.
+    Entry points as in `fixpoints.entry_points`, with calls (src, dst) and verdicts (node, reason).
+    """
+    places = ["project", "file", "line", "column", "symbol"]
+    extra = ["direction"] if directions is not None else []
+    sites = facts.detected(facts_.select("shape", "name", *places, *extra), detectors)
+    entry = fixpoints.entry_points(sites.select("symbol").distinct(), calls, verdicts, depth)
+    sites = sites.join(entry.select(F.col("start").alias("__s"), "entry", "path", "reason"), F.col("symbol") == F.col("__s"), "left").drop("__s")
+    on = gating.gated(projects, segments).select(F.col("project").alias("__p"), F.col("detector").alias("__d"), "case", "was", "becomes")
+    shown = ["detector", *places, "case", "was", "becomes", "entry", "path", "reason"]
+    found = sites.join(on, (F.col("project") == F.col("__p")) & (F.col("detector") == F.col("__d"))).select(*shown)
+    if directions is not None:
+        asked = rules.small(directions.select(F.col("detector").alias("__e"), F.col("case").alias("__c"), F.col("direction").alias("__w")))
+        here = sites.select(F.col("project").alias("__q"), F.col("direction").alias("__x")).distinct()
+        whole = on.join(asked, (F.col("__d") == F.col("__e")) & (F.col("case") == F.col("__c"))).join(here, (F.col("__p") == F.col("__q")) & (F.col("__w") == F.col("__x")), "left_semi")
+        kinds = {f.name: f.dataType for f in found.schema}
+        none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("file", "line", "column", "symbol")]
+        found = found.unionByName(whole.select(F.col("__d").alias("detector"), F.col("__p").alias("project"), *none, "case", "was", "becomes", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("entry", "path", "reason")]))
+    if severities is not None:
+        found = found.join(rules.small(severities.select(F.col("detector").alias("__d"), "severity")), F.col("detector") == F.col("__d"), "left").drop("__d")
+        found = found.withColumn("severity", F.coalesce("severity", F.lit("info")))
+    else:
+        found = found.withColumn("severity", F.lit("info"))
+    n = sites.groupBy("project").agg(F.count(F.lit(1)).alias("sites"))
+    hits = found.groupBy(F.col("project").alias("__p")).agg(F.count(F.lit(1)).alias("findings"))
+    summary = n.join(hits, F.col("project") == F.col("__p"), "left").select("project", "sites", F.coalesce("findings", F.lit(0)).alias("findings"))
+    return {"sites": sites, "findings": found.orderBy("detector", "project", "file", "line", "column", "case", "symbol"), "summary": summary.orderBy("project")}

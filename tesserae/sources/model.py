@@ -110,14 +110,22 @@ def read_nuspec(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.input_file_name().alias("nuspec"), F.replace("_src", F.lit("\\"), F.lit("/")).alias("source"), F.replace("_target", F.lit("\\"), F.lit("/")).alias("target"))
 
 
-def read_inputs(spark: SparkSession, folder: str, glob: str = "*", skip: tuple = ("bin", "obj", ".git", "node_modules", "packages")) -> DataFrame:
-    """(path, sha256) of the files below a folder by name, without skipped folders; bytes are hashed where they are read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    root = folder.rstrip("/") + "/"
-    relative = F.regexp_replace(F.substring_index("path", root, -1), "^/+", "")
+# Folders that hold no inputs.
+SKIPPED = ("bin", "obj", ".git", "node_modules", "packages")
+
+
+def kept_paths(rows: DataFrame, folder: str, skip: tuple, columns: list) -> DataFrame:
+    """(path, *columns) of files below a folder, paths relative to it, without those in skipped folders."""
+    relative = F.regexp_replace(F.substring_index("path", folder.rstrip("/") + "/", -1), "^/+", "")
     parts = F.split(relative, "/")
     skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, skip))) if skip else F.lit(False)
-    return rows.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"), skipped.alias("s")).filter("NOT s").drop("s")
+    return rows.select(relative.alias("path"), *columns, skipped.alias("s")).filter("NOT s").drop("s")
+
+
+def read_inputs(spark: SparkSession, folder: str, glob: str = "*", skip: tuple = SKIPPED) -> DataFrame:
+    """(path, sha256) of the files below a folder by name, without skipped folders; bytes are hashed where they are read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return kept_paths(rows, folder, skip, [F.sha2("content", 256).alias("sha256")])
 
 
 def read_rules(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
