@@ -12,7 +12,7 @@ from tesserae.plans import commands
 from tesserae.plans.graph_queries import D, HOSTED, READY, REACH_D, dag, hosting, parts
 from tesserae.plans.model_queries import STARTS, WALKS, application_sql
 from tesserae.session import checkpoint_ready, table
-from tesserae.sources import documents, inputs, settings
+from tesserae.sources import documents, feed, inputs, settings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,6 +104,23 @@ def effective_settings(spark, d):
     return settings.effective(layers, ("p_partkey",))
 
 
+# ---- a recorded feed
+
+
+@query("""WITH k AS (SELECT p_brand, p_size, min(p_partkey) AS m FROM part GROUP BY 1, 2)
+SELECT replace(p_brand, '#', '.') AS id, '1.' || p_size || '.0' AS version, 'net' || p_size % 3 AS framework, 'Q&' || m AS dep_id, '[1.' || p_size || ', )' AS range, 'lib/net' || p_size % 3 || '/a.dll' AS file FROM k""")
+def feed_round_trip(spark, d):
+    k = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("m"))
+    framework = F.concat(F.lit("net"), F.col("p_size") % 3)
+    need = F.struct(F.concat(F.lit("Q&"), F.col("m")).alias("id"), F.concat(F.lit("[1."), F.col("p_size"), F.lit(", )")).alias("range"))
+    groups = F.array(F.struct(framework.alias("framework"), F.array(need).alias("dependencies")), F.struct(F.lit(None).cast("string").alias("framework"), F.array().cast("array<struct<id:string,`range`:string>>").alias("dependencies")))
+    files = F.array(F.concat(F.lit("lib/"), framework, F.lit("/a.dll")), F.lit("readme <1>.txt"))
+    path = scratch(spark, "feed")
+    feed.recorded(k.select(F.replace("p_brand", F.lit("#"), F.lit(".")).alias("id"), F.concat(F.lit("1."), F.col("p_size"), F.lit(".0")).alias("version"), files.alias("files"), groups.alias("groups"))).write.parquet(path)
+    read = feed.packages(spark.read.parquet(path))
+    return feed.dependencies(read).join(feed.assets(read), ["id", "version", "framework"])
+
+
 # ---- commands
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import gating, reports
 from tesserae.plans import commands
-from tesserae.sources import documents, inputs, settings
+from tesserae.sources import documents, feed, inputs, settings
 
 
 def put(path, text, at):
@@ -123,3 +123,23 @@ def test_the_whole_report(spark):
     assert [tuple(r) for r in out["series"].select("created_at", "framework_loc", "change").collect()] == [("2020", 20, 0), ("2022", 17, -3)]
     assert {tuple(r) for r in out["done"].collect()} == {("applications", 1, 0), ("libraries", 1, 1)}
     assert reports.application_report(p, e, p.filter("hosted_by IS NOT NULL").select("id", "hosted_by"), p.limit(0).select("id")).count() == 0
+
+
+def test_recorded_feed(spark, tmp_path):
+    need = [("net1", [("B", "[1.0, )"), ("C<&>", None)]), (None, [])]
+    rows = [("A", "1.0", ["lib/net1/A.dll", "ref/net2/A.dll", "lib/loose.dll", "x.txt"], need), ("E", "2.0-rc", None, None), (None, "1", [], []), ("F", None, [], [])]
+    told = spark.createDataFrame(rows, f"id string, version string, files array<string>, groups {feed.GROUPS}")
+    made = {r["path"]: bytes(r["content"]) for r in feed.recorded(told).collect()}
+    assert sorted(made) == ["a.1.0.nupkg", "e.2.0-rc.nupkg"]
+    # the same rows make the same bytes, whatever the order of their files
+    again = told.withColumn("files", F.reverse("files")).repartition(3)
+    assert {r["path"]: bytes(r["content"]) for r in feed.recorded(again).collect()} == made
+    old = "<package xmlns='urn:x'><metadata><id>O</id><version>1</version><dependencies><dependency id='B' version='2'/></dependencies></metadata></package>"
+    for name, content in {**made, "old.nupkg": feed.archive({"O.nuspec": old.encode()}), "bad.nupkg": b"PK", "none.nupkg": feed.archive({"a": b""}), "two.nupkg": feed.archive({"a.nuspec": b"", "b.nuspec": b""}), "broken.nupkg": feed.archive({"a.nuspec": b"<a"}), "note.txt": b""}.items():
+        (tmp_path / name).write_bytes(content)
+    read = feed.packages(feed.feed_files(spark, str(tmp_path)))
+    known = {r["path"].rsplit("/", 1)[1]: r for r in read.collect()}
+    assert {k: r["problem"] for k, r in known.items()} == {"a.1.0.nupkg": None, "e.2.0-rc.nupkg": None, "old.nupkg": None, "bad.nupkg": "BadZipFile", "none.nupkg": "no specification", "two.nupkg": "several specifications", "broken.nupkg": "ParseError"}
+    assert (known["e.2.0-rc.nupkg"]["files"], known["e.2.0-rc.nupkg"]["groups"]) == ([], [])
+    assert {tuple(r) for r in feed.dependencies(read).collect()} == {("A", "1.0", "net1", "B", "[1.0, )"), ("A", "1.0", "net1", "C<&>", None), ("O", "1", None, "B", "2")}
+    assert {tuple(r)[2:] for r in feed.assets(read).collect()} == {("net1", "lib/net1/A.dll"), ("net2", "ref/net2/A.dll")}
