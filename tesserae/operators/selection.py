@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import ancestors, unix_path
-from tesserae.operators.graph import bounded, closure, hosted_projects, leaf_first, local_components, with_starts
+from tesserae.operators.graph import bounded, closure, leaf_first, local_components, reverse, with_starts
 from tesserae.operators.relational import few, first_per_key, first_with_ties, not_in
 from tesserae.session import checkpoint_ready
 
@@ -314,7 +314,7 @@ def kept_move_set(candidates: DataFrame, needs: DataFrame, movable: DataFrame, w
     needs (src, dst). A candidate that can't move takes those that need it along, round by round. With `wanted`, a
     one-column frame, what is left and neither wanted nor needed by what is, directly or not, is dropped.
     """
-    from tesserae.operators.graph import reached_set, reverse
+    from tesserae.operators.graph import reached_set
 
     c = candidates.select(F.col(candidates.columns[0]).alias("node")).distinct()
     stuck = c.join(movable.select(F.col(movable.columns[0]).alias("m")), F.col("node") == F.col("m"), "left_anti")

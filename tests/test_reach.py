@@ -105,6 +105,12 @@ def test_partial_dependency_through_hosts(spark):
     assert rows(selection.partial_dependency(projects, frame(spark, edges), hosted), "id", "because") == want
 
 
+def test_partial_dependency_without_hosts(spark):
+    projects = spark.createDataFrame([(i, i in (3, 5)) for i in range(7)], "id long, partial boolean")
+    edges = frame(spark, [(0, 1), (1, 2), (2, 1), (2, 5), (2, 3), (5, 3), (6, 6)])
+    assert rows(selection.partial_dependency(projects, edges), "id", "because") == [(0, 3), (1, 3), (2, 3), (3, 3), (5, 5)]
+
+
 # ---- dominators and seams
 
 
