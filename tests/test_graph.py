@@ -211,3 +211,24 @@ def test_long_chains_end(spark):
     chain = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert graph.reached_set(chain, spark.createDataFrame([(0,)], "n long"), local_limit=0).count() == 41
     assert graph.distances(chain, spark.createDataFrame([(0,)], "n long")).agg(F.max("distance")).first()[0] == 40
+
+
+def test_orders_ways_and_paths_beyond_the_bound(spark):
+    random.seed(2)
+    pairs = sorted({(random.randint(0, 15), random.randint(0, 15)) for _ in range(22)})
+    e = spark.createDataFrame(pairs, "src long, dst long").coalesce(1).cache()
+    nodes = spark.createDataFrame([(0,), (8,), (77,)], "id long")
+    assert [r["node"] for r in graph.leaf_first_places(e, nodes, 0).orderBy("place").collect()] == graph.leaf_first(e, nodes)
+    ways = {r["component"]: r["path"] for r in graph.ways_round(e).collect()}
+    assert ways == {r["component"]: graph.cycle_path(e, r["members"]) for r in graph.cycles(e).collect()}
+    for a, b in ((0, 9), (12, 3), (7, 99)):
+        assert graph.shortest_path(e, a, b, 0) == graph.shortest_path(e, a, b)
+
+
+def test_orders_by_keys_follow_the_heap(spark):
+    # acyclic, with edges from lesser names to greater ones: a key has several turns
+    random.seed(5)
+    rank = random.sample(range(16), 16)
+    pairs = sorted({(rank[max(a, b)], rank[min(a, b)]) for a, b in ((random.randint(0, 15), random.randint(0, 15)) for _ in range(40)) if a != b})
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    assert [r["node"] for r in graph.leaf_first_places(e, e.select("src"), 0).orderBy("place").collect()] == graph.leaf_first(e, e.select("src"))
