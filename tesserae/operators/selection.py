@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import ancestors, unix_path
-from tesserae.operators.graph import bounded, closure, leaf_first, local_components, reverse, with_starts
+from tesserae.operators.graph import bounded, closure, leaf_first, local_components, reverse, wide, with_starts
 from tesserae.operators.relational import few, first_per_key, first_with_ties, not_in
 from tesserae.session import checkpoint_ready
 
@@ -141,25 +141,25 @@ def counterparts(projects: DataFrame, entries: list[tuple[str, str]], edges: Dat
         made = asked.limit(0).select(F.col("id").alias("project"), F.col("name").alias("to"))
     by_id = projects.groupBy(low("id").alias("i")).agg(F.min("id").alias("a"))
     by_name = projects.groupBy(low("name").alias("n")).agg(F.min("id").alias("b"), F.count("id").alias("k")).filter("k = 1")
-    mapped = made.distinct().join(by_id, low("to") == F.col("i"), "left").join(by_name, low("to") == F.col("n"), "left")
+    mapped = made.distinct().join(wide(by_id), low("to") == F.col("i"), "left").join(wide(by_name), low("to") == F.col("n"), "left")
     mapped = mapped.select("project", F.coalesce("a", "b").alias("counterpart"), F.lit("map").alias("source")).distinct()
     rest = not_in(asked.filter("NOT test").select(F.col("id").alias("project")), made, ["project"])
     fit = projects.filter("framework_class IN ('standard', 'dual') AND NOT test").select(F.col("id").alias("__c"))
-    referred = rest.join(edges.select("src", "dst").distinct(), F.col("project") == F.col("src")).join(fit, F.col("dst") == F.col("__c"), "left_semi").select("project", F.col("dst").alias("counterpart"), F.lit("references").alias("source"))
+    referred = rest.join(wide(edges.select("src", "dst").distinct()), F.col("project") == F.col("src")).join(wide(fit), F.col("dst") == F.col("__c"), "left_semi").select("project", F.col("dst").alias("counterpart"), F.lit("references").alias("source"))
     rows = mapped.filter("counterpart IS NOT NULL").unionByName(referred)
 
     facts = projects.select(F.col("id").alias("__c"), "language", "excluded", "frozen", "framework_class", "compiled")
     back = closure(edges, rows.select("counterpart").distinct()).select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
     least = unsuited.groupBy(F.col("project").alias("__p"), F.col("counterpart").alias("__u")).agg(F.min("target").alias("target"))
-    rows = rows.join(facts, F.col("counterpart") == F.col("__c")).join(back, (F.col("counterpart") == F.col("__s")) & (F.col("project") == F.col("__d")), "left")
-    rows = rows.join(least, (F.col("project") == F.col("__p")) & (F.col("counterpart") == F.col("__u")), "left")
+    rows = rows.join(wide(facts), F.col("counterpart") == F.col("__c")).join(wide(back), (F.col("counterpart") == F.col("__s")) & (F.col("project") == F.col("__d")), "left")
+    rows = rows.join(wide(least), (F.col("project") == F.col("__p")) & (F.col("counterpart") == F.col("__u")), "left")
     problem = (
         F.when(F.col("project") == F.col("counterpart"), "itself").when(F.col("language") != "csharp", "language").when(F.col("excluded"), "excluded").when(F.col("frozen"), "frozen")
         .when(F.col("framework_class") == "framework", "framework only").when(F.col("framework_class") == "modern", "modern only").when(~F.col("compiled"), "not compiled")
         .when(F.col("__d").isNotNull(), "depends on it").when(F.col("target").isNotNull(), F.concat(F.lit("no reference for "), "target"))
     )
     rows = rows.select("project", "counterpart", "source", problem.alias("problem")).filter("source = 'map' OR problem IS NULL")
-    bare = not_in(asked.select(F.col("id").alias("project")), rows, ["project"]).join(made.select(F.col("project").alias("__m")).distinct(), F.col("project") == F.col("__m"), "left")
+    bare = not_in(asked.select(F.col("id").alias("project")), rows, ["project"]).join(wide(made.select(F.col("project").alias("__m")).distinct()), F.col("project") == F.col("__m"), "left")
     kind = projects.schema["id"].dataType
     return rows.unionByName(bare.select("project", F.lit(None).cast(kind).alias("counterpart"), F.when(F.col("__m").isNotNull(), "map").otherwise("none").alias("source"), F.lit(None).cast("string").alias("problem")))
 
@@ -274,7 +274,7 @@ def shipped_reasons(projects: DataFrame, external: DataFrame, packable: DataFram
 def libraries(projects: DataFrame, edges: DataFrame, shipped: DataFrame) -> DataFrame:
     """(library, projects, remaining): the closure of each shipped library and the framework-only projects in it."""
     own = shipped.select(F.col(shipped.columns[0]).alias("src"))
-    near = with_starts(closure(edges, own), own).join(projects.select("id", "framework_class"), F.col("dst") == F.col("id"))
+    near = with_starts(closure(edges, own), own).join(wide(projects.select("id", "framework_class")), F.col("dst") == F.col("id"))
     return near.groupBy(F.col("src").alias("library")).agg(F.count("id").alias("projects"), F.count_if(F.col("framework_class") == "framework").alias("remaining"))
 
 
@@ -289,7 +289,7 @@ def partial_dependency(projects: DataFrame, edges: DataFrame, hosted: DataFrame
     label = carried(reverse(edges), part.select(F.col("p").alias("node"), F.col("p").alias("label")))
     if hosted is not None:  # what a host hosts stands above what that depends on: labels go there first, then to the hosts
         label = carried(hosted.filter("hosted_by IS NOT NULL").select(F.col("id").alias("src"), F.col("hosted_by").alias("dst")), label)
-    rows = projects.select("id").distinct().join(label, F.col("id") == F.col("node")).join(part, F.col("id") == F.col("p"), "left")
+    rows = projects.select("id").distinct().join(wide(label), F.col("id") == F.col("node")).join(wide(part), F.col("id") == F.col("p"), "left")
     return rows.select("id", F.coalesce("p", "label").alias("because"))
 
 
