@@ -232,3 +232,11 @@ def test_orders_by_keys_follow_the_heap(spark):
     pairs = sorted({(rank[max(a, b)], rank[min(a, b)]) for a, b in ((random.randint(0, 15), random.randint(0, 15)) for _ in range(40)) if a != b})
     e = spark.createDataFrame(pairs, "src long, dst long")
     assert [r["node"] for r in graph.leaf_first_places(e, e.select("src"), 0).orderBy("place").collect()] == graph.leaf_first(e, e.select("src"))
+
+
+def test_large_joins_stay_off_the_driver(spark):
+    projects, edges = model(spark)
+    assert graph.local_edges(edges, 1) is None
+    found = graph.standings(projects, edges, local_limit=0)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
