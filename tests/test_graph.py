@@ -240,3 +240,10 @@ def test_large_joins_stay_off_the_driver(spark):
     found = graph.standings(projects, edges, local_limit=0)
     found.collect()
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_keys_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "node string, label long")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    plan = edges.join(graph.sent(rows), F.col("src") == F.col("node"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
