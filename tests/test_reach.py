@@ -272,3 +272,16 @@ def test_move_plan_rules(spark):
     assert {r["file"] for r in go.collect()} == {"E"}
     assert {r["file"]: (r["code"], r["details"]) for r in stay.collect()} == {"A": (moves.USED_BY_STAYING, ["X"]), "A.resx": (moves.NOT_NEEDED, ["A"])}
     assert moves.move_plan(ask.limit(0), needs, together, stuck)[0].count() == 0
+
+
+def test_counts_take_the_way_with_fuller_words(spark, monkeypatch):
+    """Each node needs its half and third: a node's users lie together, what it needs does not."""
+    e = frame(spark, [(k, k // m) for k in range(1, 700) for m in (2, 3)])
+    made, plainly = [], reach.words_by_joins
+    monkeypatch.setattr(reach, "words_by_joins", lambda edges, marks: made.append(plainly(edges, marks)) or made[-1])
+    starts, targets = (spark.createDataFrame([(k,) for k in range(0, 900, m)], "x long") for m in (2, 3))
+    for some in ({}, {"starts": starts, "targets": targets}):
+        for edges in (e, graph.reverse(e)):
+            assert rows(reach.reach_counts(edges, local_limit=0, **some), "node", "n") == rows(reach.reach_counts(edges, **some), "node", "n")
+    sizes = [df.count() for df in made]
+    assert len(sizes) == 4 and sizes[0] == sizes[1] < 2000
