@@ -35,6 +35,8 @@ from tesserae.llm import _arrow
 from tesserae.session import checkpoint_ready, table
 
 CAPACITY, END_ID, SHARD_DOCS = 4096, 1, 16384
+#: Most words whose ids a worker holds, and most characters of these that it keeps from one task to the next.
+MEMO_WORDS, KEPT_CHARS = 800_000, 16_000_000
 
 
 def vocabulary_path() -> str:
@@ -52,11 +54,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = _arrow.Memo(self._ids)
+        self.memo = _arrow.Memo(self._ids, MEMO_WORDS)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def rest(self) -> None:
+        """At a task's end: words stay for the worker's next task, unless they are too long to hold."""
+        if sum(map(len, self.memo.place)) > KEPT_CHARS:
+            self.memo.clear()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         flat, offsets = _arrow.text_bytes(texts)
         chunks, at = _arrow.cut(flat, offsets, _arrow.blanks(flat) | _arrow.before_punctuation(flat))
@@ -107,7 +114,7 @@ def pieces_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacit
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt[owner], pa.int64())], names
                 )
-        tool.memo.clear()
+        tool.rest()
         _arrow.release()
 
     kind = df.schema[doc_id].dataType.simpleString()

@@ -441,3 +441,19 @@ def test_siblings_are_told_apart(spark):
     both = " ".join(t for n, t in licenses.NOTICES if n in ("bsd-2-clause", "bsd-3-clause"))
     found = licenses.license_matches(spark.createDataFrame([(1, both), (2, dict(licenses.NOTICES)["gpl-2.0"] + " " + prose(900) + " " + dict(licenses.NOTICES)["gpl-3.0"])], "doc_id long, text string")).collect()
     assert {r["doc_id"]: {x["label"] for x in r["blocks"]} for r in found} == {1: {"bsd-3-clause"}, 2: {"gpl-2.0", "gpl-3.0"}}
+
+
+def test_packing_keeps_words_for_the_next_task(monkeypatch):
+    from tesserae.llm import packing
+
+    tool, asked = packing.WordEncoder(packing.vocabulary_path()), []
+    plainly = tool.memo.make
+    monkeypatch.setattr(tool.memo, "make", lambda words: asked.extend(words) or plainly(words))
+    texts = pa.array(["one two one", "two  THREE"])
+    first = tool.encode(texts)
+    tool.rest()
+    again = tool.encode(texts)
+    assert sorted(asked) == ["", "one", "three", "two"] and all((a == b).all() for a, b in zip(first, again))
+    monkeypatch.setattr(packing, "KEPT_CHARS", 10)
+    tool.rest()
+    assert not tool.memo.place
