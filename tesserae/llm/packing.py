@@ -35,7 +35,7 @@ from tesserae.llm import _arrow
 from tesserae.session import checkpoint_ready, table
 
 CAPACITY, END_ID, SHARD_DOCS = 4096, 1, 16384
-#: Most words whose ids a worker holds, and most characters of these that it keeps from one task to the next.
+#: Most words whose ids a worker holds, and most bytes of these that it keeps from one task to the next.
 MEMO_WORDS, KEPT_CHARS = 800_000, 16_000_000
 
 
@@ -61,7 +61,7 @@ class WordEncoder:
 
     def rest(self) -> None:
         """At a task's end: words stay for the worker's next task, unless they are too long to hold."""
-        if sum(map(len, self.memo.place)) > KEPT_CHARS:
+        if self.memo.place is not None and self.memo.place.nbytes > KEPT_CHARS:
             self.memo.clear()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -457,3 +457,18 @@ def test_packing_keeps_words_for_the_next_task(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_CHARS", 10)
     tool.rest()
     assert not tool.memo.place
+
+
+def test_a_memo_holds_strings_as_one_array_of_bounded_bytes():
+    from tesserae.llm import _arrow
+
+    asked = []
+    memo = _arrow.Memo(lambda words: asked.append(len(words)) or [[len(w), int(w[:9])] for w in words], 20_000, 200_000)
+    for lot in (range(9000), range(5000, 12_000), [7] * 3, range(12_000, 30_000), []):
+        words = pa.array([str(n) for n in lot], pa.string())
+        flat, ends = memo.get(words)
+        assert flat.tolist() == [x for n in lot for x in (len(str(n)), n)] and ends.tolist() == list(range(0, 2 * len(lot) + 1, 2))
+        assert isinstance(memo.place, pa.Array) and len(memo.place) <= 20_000 and memo.place.nbytes <= 200_000
+    assert max(asked) == _arrow.MAKE_ITEMS and sum(asked) == 30_000
+    memo.get(pa.array(["1" * 300_000]))
+    assert len(memo.place) == 1  # one slice alone may be larger
