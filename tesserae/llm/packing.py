@@ -37,6 +37,8 @@ from tesserae.session import checkpoint_ready, table
 CAPACITY, END_ID, SHARD_DOCS = 4096, 1, 16384
 #: Most words whose ids a worker holds, and most bytes of these that it keeps from one task to the next.
 MEMO_WORDS, KEPT_CHARS = 800_000, 16_000_000
+#: Bytes of text that are encoded at a time: what a worker needs for these comes on top of the words that it holds.
+SLICE_BYTES = 2_000_000
 
 
 def vocabulary_path() -> str:
@@ -88,7 +90,7 @@ def pieces_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, met = word_encoder(path), Counter()
         for batch in batches:
-            for part in _arrow.slices(batch, 1):
+            for part in _arrow.slices(batch, 1, SLICE_BYTES):
                 ids, ends = tool.encode(part.column(1))
                 # every text's ids with the end id behind them
                 n, shift = len(ends) - 1, np.arange(len(ends))

@@ -472,3 +472,11 @@ def test_a_memo_holds_strings_as_one_array_of_bounded_bytes():
     assert max(asked) == _arrow.MAKE_ITEMS and sum(asked) == 30_000
     memo.get(pa.array(["1" * 300_000]))
     assert len(memo.place) == 1  # one slice alone may be larger
+
+
+def test_packing_encodes_small_slices():
+    from tesserae.llm import _arrow
+
+    batch = pa.record_batch([pa.array(range(5)), pa.array(["x" * 40, "", "y" * 70, "z" * 500, "w"])], ["doc_id", "text"])
+    assert [part.num_rows for part in _arrow.slices(batch, 1, 100)] == [2, 1, 1, 1]
+    assert [part.num_rows for part in _arrow.slices(batch, 1)] == [5]
