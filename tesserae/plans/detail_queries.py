@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalars
-from tesserae.operators import facts, fixpoints, relational, reports, rules
+from tesserae.operators import facts, fixpoints, graph, relational, reports, rules
 from tesserae.operators import selection as S
 from tesserae.plans.graph_queries import C, D, HOSTED, REACH_C, REACH_D, READY, cyclic, dag, hosting, parts
 from tesserae.session import table
@@ -226,7 +226,7 @@ x AS (SELECT n.project, n.node, n.node IN (SELECT id FROM fw) AS l, p_size, read
 SELECT project, shipped, CASE WHEN count(*) FILTER (l) = 0 THEN 'done' WHEN count(*) FILTER (l) = 1 AND count(*) FILTER (l AND node = project) = 1 THEN 'ready' ELSE 'blocked' END AS status, count(*) AS closure, count(*) FILTER (l) AS remaining,
   coalesce(sum(p_size) FILTER (l), 0)::BIGINT AS remaining_loc, coalesce(string_agg(node::VARCHAR, ',' ORDER BY node) FILTER (l AND readiness = 'ready'), '') AS next FROM x JOIN o USING (project) GROUP BY project, shipped""")
 def library_report(spark, d):
-    p = parts(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("loc")), "id")
+    p = parts(spark, d).join(graph.wide(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("loc"))), "id")
     shipped = p.filter("id % 6 = 1").select("id", F.lit("packable").alias("reason"))
     out = reports.library_report(p, dag(spark, d), shipped, hosting(spark, d))
     return out.select("project", "shipped", "status", "closure", "remaining", "remaining_loc", F.array_join("next", ",").alias("next"))
