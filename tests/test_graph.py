@@ -276,3 +276,21 @@ def test_plan_finds_cycles_once(spark, monkeypatch):
     by_joins(monkeypatch)
     monkeypatch.setattr(graph, "scc", lambda *a: made.append(1) or plainly(*a))
     assert told(graph.plan(projects, edges)) == want and made == [1]
+
+
+def test_closure_by_joins_keeps_no_row_for_each_pair(spark, monkeypatch):
+    k = spark.range(1, 3_000).select(F.col("id").alias("src"))
+    e = k.withColumn("dst", F.explode(F.array(F.expr("src div 2"), F.expr("src div 3")))).distinct()
+    kept, checkpoint = [], type(e).checkpoint
+
+    def counted(self, *args):
+        out = checkpoint(self, *args)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(e), "checkpoint", counted)
+    found = graph.closure(e, local_limit=0)
+    monkeypatch.undo()
+    pairs, want = found.count(), graph.closure(e)
+    assert pairs == want.count() and found.exceptAll(want).isEmpty()
+    assert sum(kept) < pairs, (sum(kept), pairs)
