@@ -15,47 +15,65 @@ from pyspark.sql import functions as F
 
 
 def minimum_cut(edges: dict[tuple, int], sources: set, sinks: set) -> list[tuple]:
-    """Edges of the minimum cut nearest the sinks: augment along shortest ways until none is left."""
+    """Edges of the minimum cut nearest the sinks: in each pass all shortest ways are filled at once, until none is left."""
     if not sources or not sinks:
         return []
-    room, ways = defaultdict(int), defaultdict(set)
+    place = {n: k for k, n in enumerate(dict.fromkeys([*(n for e in edges for n in e), *sources, *sinks]), 2)}
     top = sum(edges.values()) + 1
-    begin, end = object(), object()
+    begin, end = 0, 1
+    # arc x leads to heads[x] and has room[x] left; x ^ 1 is the way back
+    heads, room, ways = [], [], [[] for _ in range(len(place) + 2)]
+
+    def put(a: int, b: int, c: int) -> None:
+        ways[a].append(len(heads))
+        ways[b].append(len(heads) + 1)
+        heads.extend((b, a))
+        room.extend((c, 0))
+
     for (a, b), c in edges.items():
-        room[a, b] += c
-        ways[a].add(b)
-        ways[b].add(a)
-    for extra, pairs in (("s", [(begin, s) for s in sources]), ("t", [(t, end) for t in sinks])):
-        for a, b in pairs:
-            room[a, b] = top
-            ways[a].add(b)
-            ways[b].add(a)
+        put(place[a], place[b], c)
+    for n in sources:
+        put(begin, place[n], top)
+    for n in sinks:
+        put(place[n], end, top)
     while True:
-        before, todo = {begin: None}, deque([begin])
-        while todo and end not in before:
-            a = todo.popleft()
-            for b in ways[a]:
-                if b not in before and room[a, b] > 0:
-                    before[b] = a
-                    todo.append(b)
-        if end not in before:
+        far, todo = [-1] * len(ways), deque([end])
+        far[end] = 0
+        while todo and far[begin] < 0:
+            b = todo.popleft()
+            for x in ways[b]:
+                a = heads[x]
+                if far[a] < 0 and room[x ^ 1] > 0:
+                    far[a] = far[b] + 1
+                    todo.append(a)
+        if far[begin] < 0:
             break
-        path, b = [], end
-        while before[b] is not None:
-            path.append((before[b], b))
-            b = before[b]
-        least = min(room[e] for e in path)
-        for a, b in path:
-            room[a, b] -= least
-            room[b, a] += least
-    # nodes that still reach the sink
-    near, todo = {end}, deque([end])
-    while todo:
-        b = todo.popleft()
-        for a in ways[b]:
-            if a not in near and room[a, b] > 0:
-                near.add(a)
-                todo.append(a)
+        next_way, path, a = [0] * len(ways), [], begin
+        while True:
+            while next_way[a] < len(ways[a]):
+                x = ways[a][next_way[a]]
+                if room[x] > 0 and far[heads[x]] == far[a] - 1:
+                    break
+                next_way[a] += 1
+            else:
+                if not path:
+                    break
+                a = heads[path.pop() ^ 1]
+                next_way[a] += 1
+                continue
+            path.append(x)
+            a = heads[x]
+            if a == end:
+                least = min(room[x] for x in path)
+                for x in path:
+                    room[x] -= least
+                    room[x ^ 1] += least
+                # back to the start of the first full arc
+                full = next(k for k, x in enumerate(path) if not room[x])
+                a = heads[path[full] ^ 1]
+                del path[full:]
+    # the last search found all nodes that still reach the sink
+    near = {n for n, k in place.items() if far[k] >= 0}
     return sorted((a, b) for a, b in edges if a not in near and b in near)
 
 

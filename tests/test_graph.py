@@ -1,6 +1,7 @@
 """Graph operators on hand-made models: migration waves, leaf-first order, cycles, slices, cuts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,29 @@ def test_minimum_cut_nearest_the_sink():
     assert cuts.minimum_cut({("a", "b"): 1}, set(), {"b"}) == []
 
 
+def test_minimum_cuts_equal_the_least_of_all_cuts():
+    random.seed(4)
+    for _ in range(300):
+        edges = {(random.randint(0, 7), random.randint(0, 7)): random.randint(1, 3) for _ in range(14)}
+        nodes = sorted({n for e in edges for n in e})
+        sources = set(random.sample(nodes, 2))
+        sinks = set(random.sample(sorted(set(nodes) - sources), 2)) if len(nodes) > 3 else set()
+        free = sorted(set(nodes) - sources - sinks)
+        sides = [sinks | {n for k, n in enumerate(free) if m >> k & 1} for m in range(2 ** len(free))] if sinks else []
+        cost = lambda side: sum(c for (a, b), c in edges.items() if a not in side and b in side)
+        side = min(sides, key=lambda s: (cost(s), len(s)), default=None)
+        least = [] if side is None else sorted((a, b) for a, b in edges if a not in side and b in side)
+        assert cuts.minimum_cut(edges, sources, sinks) == least
+
+
+def test_minimum_cut_of_many_ways_takes_no_search_for_each():
+    n = 20_000
+    edges = {(f"s{k}", f"m{k}"): 2 for k in range(n)} | {(f"m{k}", f"t{k}"): 1 for k in range(n)}
+    began = time.perf_counter()
+    found = cuts.minimum_cut(edges, {f"s{k}" for k in range(n)}, {f"t{k}" for k in range(n)})
+    assert len(found) == n and all(a[0] == "m" for a, _ in found) and time.perf_counter() - began < 20
+
+
 def test_cut_of_each_project_and_scores(spark):
     rows = [("p", "s", "a", "m1"), ("p", "a", "t", "m1"), ("p", "a", "t", "m1"), ("q", "s", "t", "m1"), ("q", "s", "t", "m2")]
     e = spark.createDataFrame(rows, "project string, src string, dst string, member string")
